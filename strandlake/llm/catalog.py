@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import packing, token_store, viterbi
+from . import exact_topk, mixing, near_dedup, nearest, packing, secrets, token_store, toxicity, viterbi, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,17 +17,76 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark, sf_dir):
     return viterbi.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_nearest(spark, sf_dir):
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
+def op4_warc(spark, sf_dir):
+    return warc.warc_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op5_secrets(spark, sf_dir):
+    return secrets.secret_findings(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark, sf_dir):
+    return mixing.schedule(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_token_binary(spark, sf_dir):
     return token_store.token_binary(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.scored_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_exact_topk(spark, sf_dir):
+    return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 def op10_packing(spark, sf_dir):
     return packing.best_fit_packing(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op7_token_binary, op10_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_nearest, op4_warc, op5_secrets, op6_mixing, op7_token_binary, op8_toxicity, op9_exact_topk, op10_packing)}
+
+SQL = {
+    "op3_nearest": """
+WITH v AS (
+    SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 20""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, url
+FROM f""",
+    "op9_exact_topk": """
+WITH v AS (
+    SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 5""",
+}

@@ -18,7 +18,7 @@ BATCH_ROWS = 256
 #: Bytes of text that the vectorised kernels take at a time.
 CHUNK_BYTES = 1 << 20
 #: Rows that one task ranks together; larger groups are dealt to several.
-RANK_ROWS = 20_000
+RANK_ROWS = 4000
 
 
 def tune(spark: SparkSession) -> None:
@@ -122,11 +122,11 @@ def salted_rank(df: DataFrame, group: list[str], order: list[Column], salt: Colu
     weighed = dealt.withColumn("_w", weight if weight is not None else F.lit(1).cast("long"))
     sums = weighed.groupBy(*keys, "_part").agg(F.sum("_w").alias("_s"))
     before = F.coalesce(F.sum("_s").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.withColumn("_before", before).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), "_before")
+    starts = sums.withColumn("_ahead", before).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), "_ahead")
     here = F.coalesce(F.sum("_w").over(Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = weighed.withColumn("_here", here)
     out = ranked.join(starts, [*same(ranked, starts), ranked["_part"] == starts["_p"]], "left")
-    return out.withColumn(to, F.col("_here") + F.col("_before")).drop("_part", "_w", "_here", "_before", "_p", *[f"_g{i}" for i in range(len(group))])
+    return out.withColumn(to, F.col("_here") + F.col("_ahead")).drop("_part", "_w", "_here", "_ahead", "_p", *[f"_g{i}" for i in range(len(group))])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -64,6 +64,12 @@ class CachedTokenizer:
             return b""
         self.words.turn()
         self.parts.turn()
+        if self.short and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # letter by letter in Latin-1, so that it can be done before as well
+            except UnicodeEncodeError:
+                pass
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 

@@ -166,7 +166,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int, bits: in
         name, writer = f"part-{part:06d}-{TaskContext.get().taskAttemptId()}.tid", None
         for b in batches:
             if writer is None:
-                sink = files.open_output_stream(f"{where}/{name}")
+                sink = files.open_output_stream(f"{where}/{name}", compression=None)
                 writer = PlaneWriter(sink, bits)
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 writer.add(d, code.encode(t.as_py()) + end)
