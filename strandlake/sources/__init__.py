@@ -1 +1,18 @@
-"""Part of the package; see the README."""
+"""Spark data sources for sequence and alignment files."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def register(spark: SparkSession) -> None:
+    """Make the formats fasta, fastq, bam and bai known to a session."""
+    from ..session import ship
+    from .bam import BaiSource, BamSource
+    from .fasta import FastaSource, FastqSource
+
+    ship(spark)
+    # Filters reach Python data sources only with this setting.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (FastaSource, FastqSource, BamSource, BaiSource):
+        spark.dataSource.register(source)
