@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, cigar, dna, flags, sam_header, tags
 from ..functions.reconstruct import reconstruct_reference
-from ..operators import blocks, intervals, search, textindex
-from ..session import ship
+from ..operators import blocks, fmindex, intervals, search, textindex
+from ..session import shared_dir, ship
+from ..sources import register
 from ..streaming.landing import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -518,6 +519,41 @@ def q_reconstruct_ref(spark, sf_dir):
     return a.select("l_orderkey", "ref_id", reconstruct_reference(read, F.col("cigar"), F.lit("3A4")).alias("reference"))
 
 
+@query("SELECT page_id AS header, CAST(length(url) AS BIGINT) AS n_bytes, CAST((length(url) - length(replace(url, 'th', ''))) // 2 AS BIGINT) AS n_matches FROM pages")
+def q_fm_count(spark, sf_dir):
+    fm = fmindex.build_indexes(addresses(spark, sf_dir))
+    return fm.select("header", "n_bytes", fmindex.fm_count(F.col("fm"), "th").alias("n_matches"))
+
+
+@query(f"SELECT header, pos FROM {PLACES.format(key='page_id', size=2, text='url', pattern=chr(39) + 'th' + chr(39), source='pages')} WHERE i < n")
+def q_fm_locate(spark, sf_dir):
+    fm = fmindex.build_indexes(addresses(spark, sf_dir))
+    return fm.select("header", F.explode(fmindex.fm_locate(F.col("fm"), "th")).alias("pos"))
+
+
+# Sources and sinks
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS header, regexp_replace(text, '[\\r\\n]', '', 'g') AS seq, CAST(length(regexp_replace(text, '[\\r\\n]', '', 'g')) AS BIGINT) AS seq_len FROM documents")
+def q_fasta_roundtrip(spark, sf_dir):
+    register(spark)
+    path = shared_dir(spark, "fasta")
+    rows = sequences(spark, sf_dir).select(F.col("header").cast("string").alias("header"), dna.strip_line_ends(F.col("seq")).alias("seq"))
+    rows.write.format("fasta").option("path", path).mode("append").save()
+    return spark.read.format("fasta").load(path).select("header", "seq", "seq_len")
+
+
+@query(f"SELECT l_orderkey || '/' || ref_id AS qname, CAST(flag AS INT) AS flag, CAST(ref_id - 1 AS INT) AS ref_id, 'ref' || ref_id AS rname, CAST(pos AS INT) AS pos, CAST(end_pos AS INT) AS end_pos, cigar, CAST(bin AS INT) AS bin, mapq AS nm FROM {ALN_BIN}")
+def q_bam_roundtrip(spark, sf_dir):
+    register(spark)
+    path, a = shared_dir(spark, "bam"), alignments(spark, sf_dir)
+    header = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:ref{i}\tLN:536870912\n" for i in range(1, 8))
+    i32 = lambda c: c.cast("int")
+    rows = a.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("ref_id").cast("string")).alias("qname"), i32(F.col("flag")).alias("flag"), i32(F.col("ref_id") - 1).alias("ref_id"), i32(F.col("pos")).alias("pos"), i32(F.col("mapq")).alias("mapq"), "cigar", F.create_map(F.lit("NM"), tags.make_tag("C", F.col("mapq"))).alias("tags"))
+    rows.write.format("bam").option("path", path).option("header", header).mode("append").save()
+    return spark.read.format("bam").load(path).select("qname", "flag", "ref_id", "rname", "pos", "end_pos", "cigar", "bin", tags.int_tag(F.col("tags"), "NM").alias("nm"))
+
+
 # Windows and streams
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 import weakref
 from pathlib import Path
 
@@ -25,3 +26,20 @@ def ship(spark: SparkSession) -> None:
         return
     held = tempfile.mkdtemp(prefix="strandlake-ship-")
     context.addPyFile(shutil.make_archive(f"{held}/strandlake", "zip", ROOT, "strandlake"))
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the storage that driver and executors share.
+
+    It lies in ``spark.checkpoint.dir``. Only where that is unset and the master is local, as in tests, a temporary
+    folder takes its place.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="strandlake-")
+        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
