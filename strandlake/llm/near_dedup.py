@@ -2,10 +2,11 @@
 
 A document's shingles fall into buckets by the first bits of their hash. A bucket's register keeps its least hash
 in short: the number of leading zeros of what follows the bucket's bits, and the mantissa bits after the first one.
-Documents with equal sets are one class from the start. Bands of registers deal classes to groups. In each group
-all members are paired with the smallest; pairs whose Jaccard estimate (corrected for chance collisions of short
-registers) may reach the threshold are checked on the full sets. Groups that then still hold several components are
-searched for links between these, against every member, so that no link is lost to the choice of the smallest.
+Documents with equal sets are one class from the start. Bands of registers deal classes to groups, apart by size, as
+sets whose sizes differ by more than a quarter can't be linked. In each group all members are paired with the
+smallest; pairs whose Jaccard estimate (corrected for chance collisions of short registers) may reach the threshold
+are checked on the full sets. Groups that then still hold several components are searched for links between these,
+against every member, so that no link is lost to the choice of the smallest.
 """
 
 from __future__ import annotations
@@ -21,40 +22,70 @@ from .common import arrow_rows, discard, mix64, stored, tune
 from .components import components
 from .shingles import linked, shingle_sets
 
-#: 2**7 buckets; a register is 6 bits of leading zeros and 26 of mantissa.
-BUCKET_BITS, MANTISSA_BITS = 7, 26
-BUCKETS = 1 << BUCKET_BITS
-EMPTY = np.uint32(0xFFFFFFFF)
+#: Estimates read 2**9 short registers: 6 bits of leading zeros and 10 of mantissa.
+BUCKET_BITS, MANTISSA_BITS = 9, 10
+BUCKETS, EMPTY = 1 << BUCKET_BITS, np.uint16(0xFFFF)
+#: Bands read 2**7 registers of 6 and 26 bits, so that a band with one register in use still tells texts apart.
+BAND_BUCKET_BITS, BAND_MANTISSA_BITS = 7, 26
+BAND_EMPTY = np.uint32(0xFFFFFFFF)
 #: Registers of a band. A pair at 0.75 shares one of the 32 bands but for 5 cases in a million.
 BAND_REGISTERS = 4
 #: Estimates this many standard deviations below the threshold are dropped without a check.
-DEVIATIONS = 5.0
+DEVIATIONS = 4.5
 THRESHOLD = 0.75
-#: Members of a tile, and of a stretch of a group that streams past it.
-TILE, STRETCH = 512, 8192
+#: Members of a tile, and of a stretch of a group that streams past it; pairs that a member gives in a first round.
+TILE, STRETCH, FIRST = 512, 4096, 8
+#: One in so many groups gives pairs in the first round.
+PARTS = 8
 
-SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("registers", pa.binary())])
-BANDS = pa.schema([("band", pa.int64()), ("doc", pa.int64())])
+SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("registers", pa.binary()), ("bands", pa.binary())])
+BANDS = pa.schema([("band", pa.int64()), ("doc", pa.int64()), ("n", pa.int64())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
+MARKS = pa.schema([("band", pa.int64()), ("tile", pa.int64()), ("stretch", pa.int64()), ("kind", pa.int32()), ("doc", pa.int64())])
+
+
+def minima(hashes: np.ndarray, bits: int, mantissa_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (first ``bits`` bits) in use by ascending 64-bit hashes, and the short form of each one's least hash."""
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    lead = np.concatenate([[True], bucket[1:] != bucket[:-1]]) if len(hashes) else np.zeros(0, bool)
+    rest = hashes[lead] << np.uint64(bits)
+    # frexp tells the place of the first one, exactly for each half of 32 bits.
+    upper, lower = (rest >> np.uint64(32)).astype(np.float64), (rest & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    zeros = np.where(upper > 0, 32 - np.frexp(upper)[1], 64 - np.where(lower > 0, np.frexp(lower)[1], 0)).astype(np.uint64)
+    zeros = np.minimum(zeros, np.uint64(62))
+    mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - mantissa_bits)
+    return bucket[lead], zeros << np.uint64(mantissa_bits) | mantissa
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """The registers of a set of ascending 64-bit hashes; EMPTY where a bucket has none."""
-    out = np.full(BUCKETS, EMPTY, np.uint32)
-    if len(hashes):
-        bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-        lead = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-        rest = hashes[lead] << np.uint64(BUCKET_BITS)
-        # frexp is exact on the upper 32 bits and then on the lower: the place of the first one.
-        upper, lower = (rest >> np.uint64(32)).astype(np.float64), (rest & np.uint64(0xFFFFFFFF)).astype(np.float64)
-        zeros = np.where(upper > 0, 32 - np.frexp(upper)[1], 64 - np.where(lower > 0, np.frexp(lower)[1], 0)).astype(np.uint64)
-        zeros = np.minimum(zeros, np.uint64(63 - 1))
-        mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA_BITS)
-        out[bucket[lead]] = (zeros.astype(np.uint32) << np.uint32(MANTISSA_BITS)) | mantissa.astype(np.uint32)
+    """The short registers of a set of ascending hashes; EMPTY where a bucket has none."""
+    out = np.full(BUCKETS, EMPTY, np.uint16)
+    used, value = minima(hashes, BUCKET_BITS, MANTISSA_BITS)
+    out[used] = value.astype(np.uint16)
     return out
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of long registers; 0 where none of its registers is in use."""
+    out = np.full(1 << BAND_BUCKET_BITS, BAND_EMPTY, np.uint32)
+    used, value = minima(hashes, BAND_BUCKET_BITS, BAND_MANTISSA_BITS)
+    out[used] = value.astype(np.uint32)
+    out = out.reshape(-1, BAND_REGISTERS)
+    key = np.arange(len(out), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(BAND_REGISTERS):
+        key = mix64(key + out[:, k] + np.uint64(1))
+    return np.where((out != BAND_EMPTY).any(1), key | np.uint64(1), np.uint64(0))
+
+
+def cell(n: np.ndarray) -> np.ndarray:
+    """The size class: sets that can be linked are in the same or in neighbouring ones. A set goes to its own and the next."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(4 / 3) + 1e-9).astype(np.int64)
+
+
+def group_key(keys: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return mix64(keys ^ mix64(cells.astype(np.uint64) + np.uint64(77))).view(np.int64)
+
+
 def collision_rate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The chance that two registers of unrelated sets of n and m shingles agree though neither is empty.
 
@@ -67,48 +98,50 @@ def collision_rate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard estimates of rows of registers, and the number of buckets behind each."""
-    used = (a != EMPTY) | (b != EMPTY)
-    buckets = used.sum(-1)
-    agree = ((a == b) & used).sum(-1)
-    chance = collision_rate(n, m)
-    share = agree / np.maximum(buckets, 1)
-    return (share - chance) / (1 - chance), buckets
+    buckets, agree = ((a != EMPTY) | (b != EMPTY)).sum(-1), ((a == b) & (a != EMPTY)).sum(-1)
+    chance, full = collision_rate(n, m), ((a != EMPTY) & (b != EMPTY)).sum(-1)
+    return (agree - chance * full) / (1 - chance) / np.maximum(buckets, 1), buckets
 
 
 def may_link(a, b, n, m) -> np.ndarray:
-    """Whether pairs' estimates and sizes leave room for the threshold."""
+    """Whether pairs' estimates and sizes leave room for the threshold.
+
+    The least hashes of the buckets in use are a sample of the union without replacement, so that agreements are
+    hypergeometric; a pair at the threshold has a union of (n + m) / 1.75.
+    """
     found, buckets = estimates(a, b, n, m)
-    margin = DEVIATIONS * np.sqrt(THRESHOLD * (1 - THRESHOLD) / np.maximum(buckets, 1))
+    union = (n + m) / (1 + THRESHOLD)
+    unseen = np.clip((union - buckets) / np.maximum(union - 1, 1), 0, 1)
+    margin = DEVIATIONS * np.sqrt(THRESHOLD * (1 - THRESHOLD) / np.maximum(buckets, 1) * unseen) + 1 / np.maximum(buckets, 1) + 0.005
     return (found >= THRESHOLD - margin) & (100 * np.minimum(n, m) >= 75 * np.maximum(n, m))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (equal for equal sets) and registers of each row of docs (doc_id, text)."""
+    """doc_id, n_shingles, digest (equal for equal sets), registers and band keys of each row of docs (doc_id, text)."""
     tune(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist())
-            yield arrow_rows(SIGNATURES, doc_id=b.column(0), n_shingles=[len(s) for s in sets], digest=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], registers=[registers(s).tobytes() for s in sets])
+            yield arrow_rows(SIGNATURES, doc_id=b.column(0), n_shingles=[len(s) for s in sets], digest=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], registers=[registers(s).tobytes() for s in sets], bands=[band_keys(s).tobytes() for s in sets])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary, bands binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(band, doc) rows of classes (doc, registers); bands without any register in use are left out."""
+    """(band, doc, n) rows of classes (doc, n, bands): each band in use, for both of the class's sizes."""
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, -1, BAND_REGISTERS)
-            key = np.arange(regs.shape[1], dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-            for k in range(BAND_REGISTERS):
-                key = mix64(key + regs[:, :, k] + np.uint64(1))
-            used = (regs != EMPTY).any(2)
-            yield arrow_rows(BANDS, band=key[used].view(np.int64), doc=np.repeat(b.column(0).to_numpy(), used.sum(1)))
+            if b.num_rows:
+                keys = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+                docs, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+                row, place = np.nonzero(keys)
+                at = cell(n)[row]
+                both = np.concatenate([group_key(keys[row, place], at), group_key(keys[row, place], at + 1)])
+                yield arrow_rows(BANDS, band=both, doc=np.tile(docs[row], 2), n=np.tile(n[row], 2))
 
-    return classes.select("doc", "registers").mapInArrow(run, "band long, doc long")
+    return classes.select("doc", "n", "bands").mapInArrow(run, "band long, doc long, n long")
 
 
 def _with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -124,7 +157,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             n, m = (b.column(i).to_numpy() for i in (2, 3))
-            left, right = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(b.num_rows, -1) for i in (4, 5))
+            left, right = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(b.num_rows, -1) for i in (4, 5))
             keep = pa.array(may_link(left, right, n, m))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema=PAIRS)
 
@@ -154,102 +187,189 @@ def _labels(links: DataFrame) -> DataFrame:
     return stored(found.select("node", "component"), "labels")
 
 
-def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Pairs of a group that are in different components and may be linked: (a, b, more).
-
-    In each group the members outside its largest component are cut to tiles; all members stream past each tile, in
-    stretches. Each member of a tile gives its ``most`` best pairs; ``more`` says that it had others.
-    """
+def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, doc, label, main, others, n) of the members of groups that hold several components."""
     labelled = members.join(labels, F.col("doc") == F.col("node"), "left").select("band", "doc", F.coalesce("component", "doc").alias("label"))
     sizes = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
     groups = sizes.groupBy("band").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top")).filter("n > 2 and n > top.c").select(F.col("band").alias("g"), "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.c")).alias("others"))
-    open_ = labelled.join(groups, F.col("band") == F.col("g")).join(classes.select(F.col("doc").alias("d"), F.col("n").alias("size"), "registers"), F.col("doc") == F.col("d"))
+    return labelled.join(groups, F.col("band") == F.col("g")).drop("g")
+
+
+def _tiled(open_: DataFrame) -> DataFrame:
+    """(band, tile, stretch, kind, doc, label, main): kind 0 rows are a tile's members, kind 1 rows stream past it.
+
+    The members outside a group's largest component are cut to tiles; all members stream past each tile, in stretches.
+    """
     tiles, stretches = F.ceil(F.col("others") / TILE).cast("long"), F.ceil(F.col("n") / STRETCH).cast("long")
     pick = lambda n, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), n)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    outside = open_.filter("label <> main")
-    held = outside.select("band", pick(tiles, 1).alias("tile"), each(stretches).alias("stretch"), F.lit(0).alias("kind"), "doc", "label", "size", "registers", "main")
-    streamed = open_.select("band", each(tiles).alias("tile"), pick(stretches, 2).alias("stretch"), F.lit(1).alias("kind"), "doc", "label", "size", "registers", "main")
-    key = ["band", "tile", "stretch"]
-    dealt = held.unionByName(streamed).repartition(*key).sortWithinPartitions(*key, "kind", "doc")
+    held = open_.filter("label <> main").select("band", pick(tiles, 1).alias("tile"), each(stretches).alias("stretch"), F.lit(0).alias("kind"), "doc", "label", "main")
+    streamed = open_.select("band", each(tiles).alias("tile"), pick(stretches, 2).alias("stretch"), F.lit(1).alias("kind"), "doc", "label", "main")
+    return held.unionByName(streamed)
+
+
+KEY = ["band", "tile", "stretch"]
+
+
+def _dealt(tiled: DataFrame, classes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    sets = classes.select(F.col("doc").alias("d"), F.col("n").alias("size"), "registers", "bands")
+    rows = tiled.join(sets, F.col("doc") == F.col("d")).select(*KEY, "kind", "doc", "label", "main", "size", "registers", "bands")
+    if texts is not None:
+        rows = rows.join(texts.select(F.col("doc").alias("d"), "text"), F.col("doc") == F.col("d")).drop("d")
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "kind", "doc")
+
+
+def _meetings(batches):
+    """(key, tile, doc, label, text, rows): a member that streams past a tile, and where those it may be linked to are in it.
+
+    A tile is (docs, labels, sizes, registers, band keys, texts) arrays. Only members of different components meet, and
+    only in the first group that they share; of two outside the main component the smaller one's tile counts.
+    """
+    at, tile = None, None
+    for b in batches:
+        cols = [b.column(i).to_pylist() for i in range(4)]
+        docs, label, main, size = (b.column(i).to_numpy() for i in range(4, 8))
+        regs, keys = (np.frombuffer(b"".join(b.column(i).to_pylist()), kind).reshape(b.num_rows, -1) for i, kind in ((8, np.uint16), (9, np.uint64)))
+        texts = b.column(10).to_pylist() if b.num_columns > 10 else [None] * b.num_rows
+        for k in range(b.num_rows):
+            here = tuple(c[k] for c in cols[:3])
+            if here != at:
+                at, tile = here, []
+            if cols[3][k] == 0:
+                tile.append((docs[k], label[k], size[k], regs[k], keys[k], texts[k]))
+                continue
+            if isinstance(tile, list):
+                if not tile:
+                    continue
+                tile = (*(np.array(x) for x in list(zip(*tile, strict=True))[:5]), [t[5] for t in tile])
+            t_docs, t_label, t_size, t_regs, t_keys, _ = tile
+            other = (t_label != label[k]) & ((label[k] == main[k]) | (t_docs < docs[k]))
+            rows = np.flatnonzero(other & (100 * np.minimum(t_size, size[k]) >= 75 * np.maximum(t_size, size[k])))
+            if len(rows):
+                rows = rows[may_link(t_regs[rows], regs[k][None, :], t_size[rows], size[k])]
+            if len(rows):
+                shared = (t_keys[rows] == keys[k]) & (t_keys[rows] != 0)
+                rows = rows[group_key(keys[k][shared.argmax(1)], np.maximum(cell(t_size[rows]), cell(size[k]))) == here[0]]
+            if len(rows):
+                yield here, tile, regs[k], int(docs[k]), int(label[k]), texts[k], rows
+
+
+def _best_across(open_: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components: for each member of a tile the FIRST that look nearest."""
 
     def run(batches):
-        at, tile = None, []
-        best: dict[int, list] = {}
+        at, best = None, {}
 
         def flush():
-            rows = []
-            for x, found in best.items():
-                found.sort(reverse=True)
-                rows += [(min(x, y), max(x, y), len(found) > most) for _, y in found[:most]]
+            pairs = [(min(x, y), max(x, y)) for x, found in best.items() for _, y in sorted(found, reverse=True)[:FIRST]]
             best.clear()
-            return arrow_rows(NEAR, **dict(zip(NEAR.names, zip(*rows, strict=True), strict=True))) if rows else None
+            return [arrow_rows(PAIRS, **dict(zip(PAIRS.names, zip(*pairs, strict=True), strict=True)))] if pairs else []
 
-        for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(9)]
-            i = 0
-            while i < b.num_rows:
-                here = (cols[0][i], cols[1][i], cols[2][i])
-                j = i
-                while j < b.num_rows and (cols[0][j], cols[1][j], cols[2][j]) == here and cols[3][j] == cols[3][i]:
-                    j += 1
-                if here != at:
-                    if (out := flush()) is not None:
-                        yield out
-                    at, tile = here, []
-                regs = np.frombuffer(b"".join(cols[7][i:j]), np.uint32).reshape(j - i, -1)
-                docs, label, size = (np.array(cols[k][i:j], np.int64) for k in (4, 5, 6))
-                if cols[3][i] == 0:
-                    tile.append((docs, label, size, regs))
-                elif tile:
-                    if len(tile) > 1:
-                        tile = [tuple(np.concatenate(p) for p in zip(*tile, strict=True))]
-                    t_docs, t_label, t_size, t_regs = tile[0]
-                    for k in range(len(docs)):
-                        # Two members outside the main component meet twice; the smaller one's tile counts them.
-                        other = (t_label != label[k]) & ((label[k] == cols[8][i]) | (t_docs < docs[k]))
-                        if other.any():
-                            rows = np.flatnonzero(other)
-                            rows = rows[may_link(t_regs[rows], regs[k][None, :], t_size[rows], size[k])]
-                            score = (t_regs[rows] == regs[k][None, :]).sum(1).tolist()
-                            for s, x in zip(score, t_docs[rows].tolist(), strict=True):
-                                found = best.setdefault(x, [])
-                                found.append((s, int(docs[k])))
-                                if len(found) > 8 * (most + 1):
-                                    found.sort(reverse=True)
-                                    del found[most + 1 :]
-                i = j
-        if (out := flush()) is not None:
-            yield out
-
-    return dealt.mapInArrow(run, "a long, b long, more boolean")
+        for here, tile, regs, doc, _, _, rows in _meetings(batches):
+            if here != at:
+                yield from flush()
+                at = here
+            score = (tile[3][rows] == regs[None, :]).sum(1).tolist()
+            for s, x in zip(score, tile[0][rows].tolist(), strict=True):
+                found = best.setdefault(x, [])
+                found.append((s, doc))
+                if len(found) > 8 * FIRST:
+                    found.sort(reverse=True)
+                    del found[FIRST:]
+        yield from flush()
+
+    return _dealt(_tiled(open_), classes).mapInArrow(run, "a long, b long")
+
+
+def _linked_across(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) across components, checked on full sets where members meet; enough to join all that are linked.
+
+    No pair leaves a task unless it is a link that joins two components there. A first pass finds which members
+    have anyone to meet in which tile, so that only their texts are brought.
+    """
+
+    def mark(batches):
+        at, seen = None, set()
+
+        def flush():
+            rows = [(*at, kind, doc) for kind, doc in seen]
+            seen.clear()
+            return [arrow_rows(MARKS, **dict(zip(MARKS.names, zip(*rows, strict=True), strict=True)))] if rows else []
+
+        for here, tile, _, doc, _, _, rows in _meetings(batches):
+            if here != at:
+                yield from flush()
+                at = here
+            seen.add((1, doc))
+            seen.update((0, x) for x in tile[0][rows].tolist())
+        yield from flush()
+
+    def check(batches):
+        at, joined, sets = None, {}, {}
+
+        def root(x):
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        for here, tile, _, doc, label, text, rows in _meetings(batches):
+            if here != at:
+                at, joined = here, {}
+                sets = dict(enumerate(shingle_sets(tile[5])))
+            own, out = None, []
+            for i in rows.tolist():
+                a, b = root(int(tile[1][i])), root(label)
+                if a != b:
+                    own = shingle_sets([text])[0] if own is None else own
+                    if linked(sets[i], own):
+                        joined[max(a, b)] = min(a, b)
+                        out.append((min(int(tile[0][i]), doc), max(int(tile[0][i]), doc)))
+            if out:
+                yield arrow_rows(PAIRS, **dict(zip(PAIRS.names, zip(*out, strict=True), strict=True)))
+
+    tiled = _tiled(open_)
+    marks = stored(_dealt(tiled, classes).mapInArrow(mark, "band long, tile long, stretch long, kind int, doc long").distinct(), "marks")
+    meeting = tiled.join(marks, [*KEY, "kind", "doc"], "left_semi")
+    return _dealt(meeting, classes, texts).mapInArrow(check, "a long, b long")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    side = lambda c: labels.select(F.col("node").alias(f"_{c}"), F.col("component").alias(f"_l{c}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("_a"), "left").join(side("b"), F.col("b") == F.col("_b"), "left")
+    return both.filter(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b")
+
+
+def _extended(fresh: DataFrame, tested: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """tested, links and labels after a check of fresh pairs."""
+    if fresh.isEmpty():
+        return tested, links, labels
+    found = stored(_verified(fresh, texts), "near")
+    links = links.union(found)
+    return tested.union(fresh), links, labels if found.isEmpty() else _labels(links)
 
 
 def link_classes(classes: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
-    """node and component for the classes (doc, n, registers) that are linked to another.
+    """node and component for the classes (doc, n, registers, bands) that are linked to another.
 
     texts has (doc, text); known are links (a, b) given beforehand.
     """
-    rows = stored(bands(classes), "bands")
-    groups = rows.groupBy("band").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("band").alias("g"), "a", "c")
-    members = stored(rows.join(groups, F.col("band") == F.col("g")).select("band", "doc", "a", "c"), "members")
-    discard(rows.sparkSession, rows)
-    tested = stored(_estimated(members.filter("doc <> a").select("a", F.col("doc").alias("b")).distinct(), classes), "pairs")
+    rows = bands(classes)
+    groups = rows.groupBy("band").agg(F.min(F.struct("doc", "n")).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("band").alias("g"), F.col("h.doc").alias("a"), F.col("h.n").alias("n_a"), "c")
+    members = stored(rows.join(groups, F.col("band") == F.col("g")).select("band", "doc", "n", "a", "n_a", "c"), "members")
+    stars = members.filter("doc <> a and 100 * least(n, n_a) >= 75 * greatest(n, n_a)").select("band", "a", F.col("doc").alias("b"))
+    # A part of the groups links most of what there is to link; the others then add pairs of different components only.
+    tested = stored(_estimated(stars.filter(F.pmod(F.xxhash64("band"), F.lit(PARTS)) == 0).select("a", "b").distinct(), classes), "pairs")
     links = stored(_verified(tested, texts).union(known), "near")
     labels = _labels(links)
-    most = 8
-    while True:
-        near = stored(_across(members.filter("c > 2").select("band", "doc"), labels, classes, most), "across")
-        cut = near.agg(F.max("more")).first()[0]
-        fresh = stored(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            more = stored(_verified(fresh, texts), "near")
-            tested, links = tested.union(fresh), links.union(more)
-            if not more.isEmpty():
-                labels = _labels(links)
-        if not cut:
-            return labels
-        most *= 8
+    apart = _apart(stars.select("a", "b").distinct(), labels).join(tested, ["a", "b"], "left_anti")
+    tested, links, labels = _extended(stored(_estimated(apart, classes), "pairs"), tested, links, labels, texts)
+    larger = members.filter("c > 2").select("band", "doc")
+    near = _best_across(_open_groups(larger, labels), classes).distinct().join(tested, ["a", "b"], "left_anti")
+    tested, links, labels = _extended(stored(near, "pairs"), tested, links, labels, texts)
+    open_ = stored(_open_groups(larger, labels), "open")
+    found = stored(_linked_across(open_, classes, texts), "near")
+    return labels if found.isEmpty() else _labels(links.union(found))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -261,10 +381,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     document, linked wherever one of its texts is. A row without a doc_id has a null component_id, is kept and links nothing. An empty
     table gives no rows. Columns other than doc_id and text are ignored.
     """
-    table = stored(signatures(docs), "signatures")
+    signed = stored(signatures(docs), "signatures")
+    table = stored(signed.select("doc_id", "n_shingles", "digest"), "digests")
     named = table.filter("doc_id is not null and n_shingles > 0")
     # One row for each set: groups of equal sets of any size are brought down by partial aggregates.
-    classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
+    sets = signed.filter("doc_id is not null and n_shingles > 0").groupBy("digest")
+    best = F.min(F.struct("doc_id", "n_shingles", "registers", "bands")).alias("b")
+    classes = stored(sets.agg(best).select("digest", F.col("b.doc_id").alias("doc"), F.col("b.n_shingles").alias("n"), "b.registers", "b.bands"), "classes")
+    discard(spark, signed)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc is not null")
     # A doc_id that stands for several texts links the classes of these.
     several = named.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select(F.col("doc_id").alias("b"))
