@@ -72,10 +72,10 @@ class SubwordModel:
         return out
 
 
-def train(texts: list[str | None], labels: list[int], rows: int = 1 << 16, size: int = 4, epochs: int = 10, rate: float = 1.0, batch: int = 128, seed: int = 7) -> SubwordModel:
+def train(texts: list[str | None], labels: list[int], rows: int = 1 << 16, size: int = 4, steps: int = 480, rate: float = 1.0, batch: int = 128, seed: int = 7) -> SubwordModel:
     """Fit embeddings and softmax together by minibatches with a step size for each weight (Adagrad).
 
-    The loss is cross-entropy. Texts' n-grams are held as (row, weight) pairs, so memory follows the number of
+    The loss is cross-entropy, and the number of steps doesn't depend on that of texts. Texts' n-grams are held as (row, weight) pairs, so memory follows the number of
     distinct n-grams of the training texts.
     """
     rng = np.random.default_rng(seed)
@@ -92,6 +92,7 @@ def train(texts: list[str | None], labels: list[int], rows: int = 1 << 16, size:
         bags.append((ids.astype(np.int32), (counts / max(1, len(at))).astype(np.float32)))
     y = np.array(labels)
     g_table, g_softmax, g_bias = np.full((rows, size), 1e-8), np.full((2, size), 1e-8), np.full(2, 1e-8)
+    epochs = -(-steps // -(-len(bags) // batch))
     for epoch in range(epochs):
         pace = rate * (1 - epoch / epochs)
         order = rng.permutation(len(bags))
