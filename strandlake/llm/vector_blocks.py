@@ -107,7 +107,8 @@ class Heaps:
 
     def push(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
         s, d = np.concatenate([self.scores[i], scores]), np.concatenate([self.ids[i], ids])
-        order = np.lexsort((d, -s))[: self.k]
+        # ~s falls as s rises and, unlike -s, holds for the smallest integer.
+        order = np.lexsort((d, ~s if s.dtype.kind == "i" else -s))[: self.k]
         self.scores[i], self.ids[i] = s[order], d[order]
 
 
