@@ -92,9 +92,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: Mapping[str | Non
     its own. Identical rows are interchangeable. An empty table gives no rows. Only a row per source comes to
     the driver, and the plan has at most PLAN_ENTRIES slots; text may be carried along.
     """
+    return _placed(spark, _measured(docs), weights, exponent, block_chars, resolution)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
     units = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long")
-    key = F.xxhash64("doc_id", "text")
-    rows = docs.withColumns({"_units": units, "_key": key})
+    return docs.withColumns({"_units": units, "_key": F.xxhash64("doc_id", "text")})
+
+
+def _placed(spark: SparkSession, rows: DataFrame, weights=None, exponent=0.5, block_chars=BLOCK_CHARS, resolution=RESOLUTION) -> DataFrame:
+    """What mix_sources says, for rows with ``_units`` and ``_key``."""
     sizes = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("_units").alias("n")).collect()]
     sizes.sort(key=lambda x: (x[0] is not None, x[0] or ""))
     if weights is None:
@@ -105,7 +112,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: Mapping[str | Non
     plan = plan_phases(whole_weights(asked, resolution), [-(-n // block_chars) for _, n in sizes]) if sizes else []
     named = [(sizes[i][0], *row) for i, *row in plan]
     table = F.broadcast(spark.createDataFrame(named, "_source string, _phase int, _first long, _end long, _base long, _period long, _slots array<int>"))
-    order = [F.col("_key"), F.col("doc_id"), F.col("text")]
+    order = [F.col("_key"), F.col("_units")]
     placed = salted_rank(rows, ["source"], order, F.col("_key"), "_before", F.col("_units"))
     placed = placed.withColumn("_block", F.expr(f"_before div {block_chars}"))
     joined = placed.join(table, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_end")))
@@ -116,8 +123,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: Mapping[str | Non
 
 def schedule(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, units, block (of the source), before (units before the row in its source), phase and slot."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    return mix_sources(spark, slim, **options).select("doc_id", "source", F.col("_units").alias("units"), F.col("_block").alias("block"), F.col("_before").alias("before"), F.col("_phase").alias("phase"), F.col("_slot").alias("slot"))
+    slim = _measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text")
+    return _placed(spark, slim, **options).select("doc_id", "source", F.col("_units").alias("units"), F.col("_block").alias("block"), F.col("_before").alias("before"), F.col("_phase").alias("phase"), F.col("_slot").alias("slot"))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
