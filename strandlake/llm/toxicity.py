@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import GenerationCache, arrow_rows, mix64, tune
 
 #: The n-grams' lengths in bytes of UTF-8, end marks included.
-GRAMS = (3, 4, 5, 6)
+GRAMS = (2, 3, 4)
 #: Labelled rows that a model is fitted to at most: those of the smallest hashes of doc_id.
 TRAIN_ROWS = 6000
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
