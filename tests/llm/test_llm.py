@@ -1,0 +1,612 @@
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from strandlake.llm import catalog, components, exact_topk, mixing, near_dedup, nearest, packing, secrets, shingles, token_store, toxicity, vector_blocks, viterbi, warc
+from strandlake.llm.common import GenerationCache, salted_rank, shared_dir, stored
+from strandlake.llm.token_cache import tokenizer
+
+VOCAB = catalog.vocabulary("word_bpe_49k.json")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, band string"
+
+
+def documents(spark, texts, source=lambda i: f"s{i % 2}"):
+    """Rows with columns of clashing names; texts may be null, ids are given or counted."""
+    rows = [(i, t, "en", source(i), len(t or ""), 0.5, "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+ODD = [None, "", " \n\t ", "one", "the same text of some words here and there", "the same text of some words here and there", "é ß 文字 \x1c \x00 <|endoftext|>", "word " * 30_000, "x" * 60_000]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", None if i == 3 else "s", 0, 0.5, "x") for i, t in enumerate(ODD)]
+    return spark.createDataFrame([*rows, rows[4], (None, "no id at all in this row", None, None, None, None, None)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# Tables that all need
+
+
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
+def test_query_equals_sql(name, spark, sf_dir, compare):
+    compare(catalog.QUERIES[name](spark, sf_dir), catalog.SQL[name])
+
+
+def test_generation_cache():
+    made = []
+    cache = GenerationCache(lambda k: made.append(k) or k * 2, 2)
+    for k in (1, 2, 3, 1):
+        assert cache[k] == k * 2
+        cache.turn()
+    assert made == [1, 2, 3] and len(cache) <= 3
+
+
+def test_salted_rank(spark, monkeypatch):
+    monkeypatch.setattr("strandlake.llm.common.RANK_ROWS", 7)
+    df = stored(spark.range(200).select("id", F.when(F.col("id") < 150, F.lit("hot")).when(F.col("id") < 190, F.lit("b")).alias("g"), (F.col("id") % 5 + 1).alias("w")), "t")
+    got = rows(salted_rank(df, ["g"], [F.col("id")], F.col("id"), "_before").select("g", "_before"))
+    for g, n in (("hot", 150), ("b", 40), (None, 10)):
+        assert sorted(r for k, r in got if k == g) == list(range(n))
+    sums = sorted(rows(salted_rank(df, ["g"], [F.col("id")], F.col("id"), "at", F.col("w")).filter("g = 'hot'").select("at", "w")))
+    assert [a for a, _ in sums] == list(itertools.accumulate((w for _, w in sums[:-1]), initial=0))
+
+
+# 1: near duplicates
+
+
+def plain_sets(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    if not words:
+        return frozenset()
+    return frozenset([tuple(words)] if len(words) < 5 else [tuple(words[i : i + 5]) for i in range(len(words) - 4)])
+
+
+def brute_components(texts):
+    sets, parent = [plain_sets(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    return sets, [find(i) for i in range(len(texts))]
+
+
+def near_texts(seed=3):
+    """Groups about the threshold: chains, a base with copies, a passage that many share, short texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))
+    out = []
+    for size in (6, 25, 120, 400):
+        base = [word() for _ in range(size)]
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, size // 25))):
+                copy[rng.randrange(size)] = word()
+            out.append(" ".join(copy))
+            base = copy if rng.random() < 0.3 else base
+    passage = [word() for _ in range(60)]
+    out += [" ".join([word() for _ in range(rng.randint(0, 60))] + passage) for _ in range(40)]
+    out += [" ".join(rng.choices(["a", "b", "C", "c"], k=rng.randint(1, 6))) for _ in range(40)]
+    out += ["", "  \n", None, out[3], out[3].upper(), out[60]]
+    rng.shuffle(out)
+    return out
+
+
+@given(st.lists(st.text("abC \n\t\x0b é", max_size=60), max_size=8))
+def test_shingle_sets(texts):
+    got = shingles.shingle_sets(texts)
+    assert [len(s) for s in got] == [len(plain_sets(t)) for t in texts]
+    for (a, s), (b, t) in itertools.combinations(zip(texts, got, strict=True), 2):
+        assert len(np.intersect1d(s, t)) == len(plain_sets(a) & plain_sets(b))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_near_duplicates_equal_brute_force(spark, seed):
+    texts = near_texts(seed)
+    sets, want = brute_components(texts)
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(spark, documents(spark, texts)).collect()}
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+    assert [got[i]["component_id"] for i in range(len(texts))] == want
+    assert all(got[i]["kept"] == (want[i] == i) for i in range(len(texts)))
+
+
+def test_near_duplicates_of_odd_rows(spark, odd, empty):
+    got = near_dedup.near_duplicates(spark, odd)
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got.collect()} == {(i, 4 if i == 5 else i, i != 5) for i in range(len(ODD))} | {(None, None, True)}
+    assert got.count() == len(ODD) + 2
+    assert near_dedup.near_duplicates(spark, empty).count() == 0
+
+
+def test_an_id_with_several_texts_links_them(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(1, a), (2, b), (3, a), (3, b)], "doc_id bigint, text string")
+    assert {r["component_id"] for r in near_dedup.near_duplicates(spark, df).collect()} == {1}
+
+
+def test_estimates_are_near_the_truth():
+    rng = np.random.default_rng(1)
+    for share in (0.5, 0.75, 0.9):
+        error = []
+        for _ in range(30):
+            both = rng.integers(0, 1 << 63, int(800 * share), dtype=np.uint64)
+            own = [rng.integers(0, 1 << 63, (800 - len(both)) // 2, dtype=np.uint64) for _ in range(2)]
+            a, b = (np.unique(near_dedup.mix64(np.concatenate([both, o]))) for o in own)
+            found, _ = near_dedup.estimates(near_dedup.registers(a), near_dedup.registers(b), np.array(len(a)), np.array(len(b)))
+            error.append(float(found) - len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
+        assert abs(np.mean(error)) < 0.02 and np.std(error) < 0.05
+
+
+def test_registers_by_definition():
+    h = np.sort(near_dedup.mix64(np.arange(1, 3000, dtype=np.uint64)))
+    want = np.full(512, 0xFFFF)
+    for x in h[::-1].tolist():
+        rest = f"{x:064b}"[9:]
+        zeros = len(rest) - len(rest.lstrip("0"))
+        want[x >> 55] = zeros << 10 | int((rest.lstrip("0")[1:] + "0" * 64)[:10], 2)
+    assert (near_dedup.registers(h) == want).all()
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
+def test_components(spark, links):
+    label = {x: x for e in links for x in e if e[0] != e[1]}
+    for _ in range(30):
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert dict(rows(components.components(spark.createDataFrame(links, "u bigint, v bigint")))) == label
+
+
+# 2: token counts
+
+
+def test_counts_equal_the_library(spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab, unknown = viterbi.unigram_vocabulary(catalog.vocabulary("piece_bpe_32k.model"))
+    library = Tokenizer(models.Unigram(vocab, unk_id=unknown))
+    library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(prepend_scheme="always")])
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += ["", "文字文字 a文b 🙂🙂 🙂", "x" * 3000, "<unk> ▁ ▁▁a", "ÀÉ ñandú"]
+    got = rows(viterbi.token_counts(documents(spark, texts), catalog.vocabulary("piece_bpe_32k.model")).orderBy("doc_id"))
+    assert [n for _, n, _ in got] == [len(library.encode(t).ids) for t in texts]
+
+
+def test_count_ties_follow_the_library():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    rng = random.Random(5)
+    for _ in range(60):
+        pieces = {"▁"} | {"".join(rng.choices("ab▁", k=rng.randint(1, 4))) for _ in range(8)}
+        vocab = [("<unk>", -3.0), *((p, -float(rng.randint(1, 3))) for p in sorted(pieces))]
+        library, counter = Tokenizer(models.Unigram(vocab, unk_id=0)), viterbi.UnigramCounter(vocab, 0)
+        library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(prepend_scheme="always", split=False)])
+        for _ in range(20):
+            word = "".join(rng.choices("abcc", k=rng.randint(1, 9)))
+            ids = library.encode(word).ids
+            assert counter.count_word(word) == complex(len(ids), ids.count(0)), (vocab, word)
+
+
+def test_counts_of_odd_rows(spark, odd, empty):
+    path = catalog.vocabulary("piece_bpe_32k.model")
+    got = rows(viterbi.token_counts(odd, path))
+    assert len(got) == len(ODD) + 2 and [n for d, n, _ in got if d in (0, 1, 2)] == [0, 0, 0]
+    assert viterbi.token_counts(empty, path).count() == 0
+
+
+# 3 and 9: vectors
+
+VECTORS = "vec_id bigint, embedding array<float>, label int, score double, rank int"
+
+
+def vectors(spark, n=400, dim=8, seed=2, copies=5):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    x[n // 2 : n // 2 + copies * 10] = x[0]
+    return x, spark.createDataFrame([(i, v.tolist(), 0, 0.0, 0) for i, v in enumerate(x)], VECTORS)
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vector_blocks, "SLICE", 90)
+    x, df = vectors(spark)
+    scores = np.array([[sum(float(a) * float(b) for a, b in zip(p, q, strict=True)) for p in x] for q in x[::20]])
+    want = [(q, r + 1, j) for q in range(0, len(x), 20) for r, j in enumerate(sorted((j for j in range(len(x)) if j != q), key=lambda j, q=q: (-scores[q // 20, j], j))[:20])]
+    got = rows(nearest.nearest_neighbours(df).orderBy("query_id", "rank"))
+    assert [r[:3] for r in got] == want
+    assert all(math.isclose(s, scores[q // 20, j], rel_tol=1e-12, abs_tol=1e-15) for q, _, j, s in got)
+
+
+def test_topk_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(vector_blocks, "SLICE", 90)
+    x, df = vectors(spark)
+    y = np.floor(256.0 * x.astype(float)).astype(np.int64)
+    scores = y[::50] @ y.T
+    want = [(q, r + 1, j, int(scores[q // 50, j])) for q in range(0, len(x), 50) for r, j in enumerate(sorted((j for j in range(len(x)) if j != q), key=lambda j, q=q: (-scores[q // 50, j], j))[:5])]
+    assert rows(exact_topk.exact_topk(df).orderBy("query_id", "rank")) == want
+
+
+def test_int8_bounds_hold():
+    rng = np.random.default_rng(3)
+    for scale in (1e-20, 1.0, 1e20):
+        q, x = rng.normal(size=(20, 33)) * scale, rng.normal(size=(50, 33))
+        (qc, qs, qn, qr), (xc, xs, xn, xr) = nearest.int8_codes(q), nearest.int8_codes(x)
+        rough = (qc.astype(int) @ xc.astype(int).T) * qs[:, None] * xs[None, :]
+        error = qn[:, None] * xr[None, :] + qr[:, None] * (xn + xr)[None, :]
+        assert (np.abs(q @ x.T - rough) <= error * (1 + 1e-9)).all() and error.max() < np.abs(q @ x.T).max()
+
+
+BAD = [(20, [0.0, 0.0]), (40, None), (60, []), (80, [1.0, None]), (100, [1.0, float("nan")]), (120, [float("inf"), 1.0]), (None, [1.0, 2.0])]
+GOOD = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 0.5]), (1, [1.0, 2.0]), (200, [1.0, 1.0, 1.0]), (5, [1e30, -1e30])]
+
+
+def test_vectors_that_take_no_part(spark):
+    df = spark.createDataFrame([(i, v, 0, 0.0, 0) for i, v in BAD + GOOD], VECTORS)
+    got = rows(nearest.nearest_neighbours(df).orderBy("query_id", "rank"))
+    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 5)]
+    top = rows(exact_topk.exact_topk(df, k=2).orderBy("query_id", "rank"))
+    assert [r[:3] for r in top] == [(0, 1, 1), (0, 2, 2), (100, 1, 0)][:2]
+    none = spark.createDataFrame([], VECTORS)
+    assert nearest.nearest_neighbours(none).count() == 0 == exact_topk.exact_topk(none).count()
+
+
+def test_topk_holds_scores_at_the_ends():
+    assert exact_topk.exact_scores(np.array([2.0**40, 1.0]), np.array([[2.0**40, 0.0], [-(2.0**40), 0.0], [3.0, 2.0**20]])).tolist() == [exact_topk.TOP, exact_topk.BOTTOM, 3 * 2**40 + 2**20]
+
+
+# 4: WARC
+
+
+def test_warc_round_trip_and_splits(spark):
+    rng = random.Random(1)
+    body = lambda n: "".join(rng.choices("<p>é x</p>\r\n\r\n", k=n))
+    html = [body(rng.randint(0, 5000)) for _ in range(60)] + ["x" * 100, "y" * 99, None, ""] * 3 + ["z" * 300_000, "\x1f\x8b\x08" * 500]
+    pages = spark.createDataFrame([(i, f"http://a/{i}?q=%20 x\r\n", h) for i, h in enumerate(html)] + [(60, "again", html[60]), (None, None, html[60])], "page_id bigint, url string, html string")
+    files = stored(warc.write_warc(pages, shared_dir(spark, "w")), "m")
+    whole = warc.read_warc(files).collect()
+    first = {}
+    for i, h in enumerate(html):
+        if len((h or "").encode()) >= 100:
+            first.setdefault(h, i)
+    assert len(whole) == len(html) + 2
+    for r in whole:
+        want = html[r["page_id"]] if r["page_id"] is not None else html[60]
+        raw = (want or "").encode()
+        origin = first.get(want)
+        revisit = origin is not None and origin != r["page_id"]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+        assert (r["record_type"], r["refers_to"]) == (("revisit", origin) if revisit else ("response", None))
+        assert r["payload"] == (None if revisit else raw)
+        assert r["url"] == (None if r["page_id"] is None else "again" if r["url"] == "again" else f"http://a/{r['page_id']}?q=%20 x\r\n")
+    for split in (37, 1000, 20_000):
+        assert sorted((r["path"], r["offset"], str(r["page_id"])) for r in warc.read_warc(files, split=split, payloads=False).collect()) == sorted((r["path"], r["offset"], str(r["page_id"])) for r in whole)
+    assert warc.list_warc(spark, files.first()["path"].rpartition("/")[0]).count() == files.count()
+
+
+def test_warc_of_no_pages(spark):
+    assert warc.warc_round_trip(spark, spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+# 5: secrets
+
+
+def test_forest_column_equals_numpy(spark):
+    forest = secrets.train_forest(spark)
+    x = np.random.default_rng(0).uniform(0, 3, (50, len(secrets.FEATURES)))
+    got = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").select(forest.column(F.col("x"))).collect()
+    assert np.allclose([r[0] for r in got], forest.predict(x))
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    forest = secrets.train_forest(spark, secrets.labelled_findings(seed=11))
+    other = secrets.labelled_findings(n=600, seed=99)
+    import json
+
+    kind = "array<struct<path:string,found:string,value:string,before:string,after:string,label:int>>"
+    df = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(other)), F.lit(kind))).alias("c"))
+    got = df.select((forest.column(secrets.features(F.col("c"), F.col("c.path"))) >= 0.5).cast("int"), "c.label").collect()
+    assert sum(a == b for a, b in got) / len(got) > 0.95
+
+
+KEY, HEX = "AKIA" + "Q7ZP2M4X9B1K8D3F", "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+def test_secrets_are_found_and_redacted(spark):
+    texts = [f'aé {HEX} token = "{HEX}" end', f"key {KEY}, twice {KEY}", 'password = "your_password_here"', "no secret", f'TOKEN = "{HEX.upper()}"!!']
+    df = documents(spark, texts)
+    got = secrets.secret_findings(spark, df).collect()
+    kept = [r for r in got if r["is_secret"]]
+    assert sorted(r["doc_id"] for r in kept) == [0, 1, 1, 4] and [r["doc_id"] for r in got if not r["is_secret"]] == [2]
+    for r in kept:
+        t = texts[r["doc_id"]]
+        value = {0: HEX, 1: KEY, 4: HEX.upper()}[r["doc_id"]]
+        assert t[r["value_start"] :].startswith(value) and r["secret_sha256"] == hashlib.sha256(value.encode()).hexdigest()
+    clean = {r["doc_id"]: r for r in secrets.redacted_documents(spark, df).collect()}
+    assert clean[0]["text"] == 'aé [SECRET] token = "[SECRET]" end' and clean[0]["n_chars"] == len(clean[0]["text"])
+    assert clean[1]["text"] == "key [SECRET], twice [SECRET]"
+    assert [clean[i]["text"] for i in (2, 3)] == texts[2:4] and len(clean) == 5
+
+
+def test_secrets_of_odd_rows_run_without_python(spark, odd, empty):
+    df = secrets.secret_findings(spark, odd)
+    assert df.count() == 0 == secrets.secret_findings(spark, empty).count()
+    assert secrets.redacted_documents(spark, odd).count() == len(ODD) + 2
+    assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+# 6: mixing
+
+
+@settings(max_examples=60)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=8))
+def test_schedule_is_pfair(weights):
+    slots = mixing.period_slots(weights)
+    assert sorted(itertools.chain(*slots)) == list(range(sum(weights)))
+    for i, w in enumerate(weights):
+        for k, t in enumerate(slots[i]):
+            assert k * sum(weights) // w <= t < -(-(k + 1) * sum(weights) // w)
+        for t in range(1, sum(weights) + 1):
+            assert abs(sum(s < t for s in slots[i]) - t * w / sum(weights)) < 1
+
+
+@settings(max_examples=40)
+@given(st.lists(st.tuples(st.integers(1, 30), st.integers(0, 70)), min_size=1, max_size=6))
+def test_phases_place_every_block_once(sources):
+    plan = mixing.plan_phases([w for w, _ in sources], [n for _, n in sources])
+    where = {}
+    for i, _, first, end, base, period, slots in plan:
+        for b in range(first, end):
+            where[i, b] = base + (b - first) // len(slots) * period + slots[(b - first) % len(slots)]
+    assert sorted(where) == sorted((i, b) for i, (_, n) in enumerate(sources) for b in range(n))
+    assert sorted(where.values()) == list(range(len(where)))
+    assert all(where[i, b] < where[i, b + 1] for i, b in where if (i, b + 1) in where)
+
+
+def test_whole_weights():
+    assert mixing.whole_weights([1, 1, 2], 100) == [25, 25, 50]
+    assert sum(mixing.whole_weights([1e-9, 1, 3], 10)) == 10 and min(mixing.whole_weights([1e-9, 1, 3], 10)) == 1
+
+
+def test_mixing_follows_the_weights(spark):
+    rng = random.Random(4)
+    source = lambda i: None if i % 10 == 9 else ("hot" if i % 3 else "b")
+    df = documents(spark, ["x" * rng.randint(0, 90) for _ in range(900)], source)
+    got = mixing.schedule(spark, df, weights={"hot": 0.5, "b": 0.3}, block_chars=500).orderBy("slot", "before").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(900))
+    blocks = {(r["source"], r["block"]): (r["slot"], r["phase"]) for r in got}
+    whole = mixing.whole_weights([0.4, 0.3, 0.5])
+    share = dict(zip([None, "b", "hot"], (w / sum(whole) for w in whole), strict=True))
+    first = sorted(s for (_, _), (s, p) in blocks.items() if p == 0)
+    for t in range(1, len(first)):
+        for s in share:
+            assert abs(sum(k == s and p == 0 and at < t for (k, _), (at, p) in blocks.items()) - t * share[s]) < 1 + 1e-9
+    for s in share:
+        at = 0
+        for r in [r for r in got if r["source"] == s]:
+            assert (r["before"], r["block"]) == (at, at // 500)
+            at += r["units"]
+
+
+def test_mixing_odd_rows(spark, odd, empty):
+    assert mixing.schedule(spark, odd).count() == len(ODD) + 2
+    assert mixing.mixed_documents(spark, empty).count() == 0
+    assert sorted(map(str, rows(mixing.mixed_documents(spark, odd)))) == sorted(map(str, rows(odd)))
+
+
+# 7: token ids
+
+
+@pytest.mark.parametrize("bits", [1, 8])
+@given(ids=st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=50))
+def test_planes_round_trip(bits, ids):
+    x = np.array(ids, "<u4")
+    planes = token_store.to_planes(x, bits)
+    assert len(planes) == 32 // bits and (token_store.from_planes(planes, len(x), bits) == x).all()
+
+
+def test_cached_tokenizer_equals_the_library():
+    t = tokenizer(VOCAB)
+    for text in [*filter(None, ODD), "it's DON'T²³ ½ª À\xadß \x85\xa0x 'sΣ ΑΣ İ", "".join(map(chr, range(1, 700))), "A<|ENDOFTEXT|> <|startoftext|>b", "é ́"]:
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("bits", [1, 8])
+def test_token_files(spark, odd, bits, monkeypatch):
+    t = tokenizer(VOCAB).tokenizer
+    want = sorted(((d, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for d, x in odd.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    manifest = stored(token_store.write_ids(odd, shared_dir(spark, "ids"), VOCAB, 2, bits), "m")
+    got = sorted(rows(token_store.read_ids(manifest)), key=lambda r: r[1])
+    starts = list(itertools.accumulate((len(ids) for _, ids in want[:-1]), initial=0))
+    assert [(d, ids) for d, _, ids in got] == want and [s for _, s, _ in got] == starts
+    digests = sorted(rows(token_store.read_digests(manifest)), key=lambda r: r[1])
+    assert digests == [(d, s, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for (d, ids), s in zip(want, starts, strict=True)]
+
+
+def test_no_token_files(spark, empty):
+    assert token_store.token_binary(spark, empty, VOCAB).count() == 0
+
+
+def test_small_blocks_and_damage(tmp_path):
+    import io
+
+    sink = io.BytesIO()
+    writer = token_store.PlaneWriter(sink, 1, block_ids=16)
+    docs = [(i, np.arange(i * 7, dtype="<u4").tobytes()) for i in range(12)]
+    for d, ids in docs:
+        writer.add(d, ids)
+    size = writer.close()
+    raw = sink.getvalue()
+    assert size == len(raw)
+    reader = token_store.PlaneReader(io.BytesIO(raw), size)
+    assert [(d, b"".join(p.tobytes() for p in parts)) for d, _, parts in reader.documents()] == docs
+    with pytest.raises(ValueError, match="cut short"):
+        token_store.PlaneReader(io.BytesIO(raw[:-1]), size - 1)
+
+
+# 8: toxicity
+
+
+def test_toxicity_learns_and_generalises():
+    rng = random.Random(8)
+    bad = ["horrible", "nasty", "rotten", "vile"]
+    word = lambda: "".join(rng.choices("aeioulmnrst", k=rng.randint(3, 7)))
+
+    def text(toxic, words=bad):
+        out = [word() for _ in range(rng.randint(20, 60))]
+        for _ in range(3 * toxic):
+            out[rng.randrange(len(out))] = rng.choice(words)
+        return " ".join(out)
+
+    labels = [i % 4 == 0 for i in range(600)]
+    model = toxicity.train([text(y) for y in labels], [int(y) for y in labels])
+    score = lambda texts: np.array(model.score(texts))
+    assert (score([text(True) for _ in range(100)]) >= 0.3).mean() >= 0.9
+    assert (score([text(False) for _ in range(100)]) >= 0.3).mean() < 0.05
+    assert (score([text(True, ["horrrible", "nastyy", "r0tten", "vilee"]) for _ in range(100)]) >= 0.3).mean() > 0.5
+    assert model.score([None, "", " "]) == model.score([""]) * 3
+
+
+def test_gram_rows_by_definition():
+    ids, counts = toxicity.gram_rows(["ab", "é", "ab", "longer"], 1 << 10)
+    assert counts.tolist() == [sum(max(0, n - g + 1) for g in toxicity.GRAMS) + 1 for n in (4, 4, 4, 8)]
+    cuts = np.cumsum(counts)
+    assert (ids[: cuts[0]] == ids[cuts[1] : cuts[2]]).all() and (0 <= ids).all() and (ids < 1 << 10).all()
+
+
+def test_toxicity_query(spark, sf_dir, odd, empty):
+    got = catalog.op8_toxicity(spark, sf_dir)
+    for r in got.collect():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
+    labels = spark.createDataFrame([(4, 1, 1), (4, 1, 0), (None, 1, 1), (5, 0, None), (7, 0, 0)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.scored_documents(spark, odd, labels).count() == len(ODD) + 2
+    assert toxicity.scored_documents(spark, empty, labels.limit(0)).count() == 0
+
+
+def test_held_out_labels_do_not_matter(spark):
+    docs = documents(spark, [f"word{i} common text {'bad' if i % 3 == 0 else 'good'}" for i in range(80)])
+    held = [i for i in range(80) if zlib.crc32(str(i).encode()) % 4 == 2]
+    score = lambda turn: rows(toxicity.scored_documents(spark, docs, spark.createDataFrame([(i, 0, int((i % 3 == 0) != (turn and i in held))) for i in range(80)], "doc_id bigint, quality int, toxic int")).orderBy("doc_id"))
+    assert len(held) > 5 and score(False) == score(True)
+
+
+# 10: packing
+
+
+@settings(max_examples=60)
+@given(st.dictionaries(st.integers(1, 60), st.integers(0, 9), max_size=15))
+def test_plan_packs_everything(counts):
+    plan = packing.plan_bins(counts, 60)
+    used = {}
+    for times, chosen in plan:
+        assert times > 0 and sum(n * k for n, k in chosen.items()) <= 60
+        for n, k in chosen.items():
+            used[n] = used.get(n, 0) + n * 0 + k * times
+    assert used == {n: c for n, c in counts.items() if c}
+
+
+@settings(max_examples=60)
+@given(st.lists(st.integers(1, 30), max_size=9), st.integers(0, 60))
+def test_fullest_equals_all_subsets(items, room):
+    counts = {n: items.count(n) for n in items}
+    best = max(s for r in range(len(items) + 1) for c in itertools.combinations(items, r) if (s := sum(c)) <= room)
+    chosen = packing.fullest(counts, sorted(counts, reverse=True), room)
+    assert sum(n * k for n, k in chosen.items()) == best and all(k <= counts[n] for n, k in chosen.items())
+
+
+def check_packing(rows_, texts, capacity, end_id):
+    t = tokenizer(VOCAB).tokenizer
+    by_sequence = {}
+    for r in rows_:
+        ids = np.array([*t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, end_id], "<u4")
+        part = ids[r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] and zlib.crc32(part.tobytes()) == r["ids_crc32"] and r["start"] == capacity * r["piece"]
+        assert r["length"] == capacity or r["start"] + r["length"] == len(ids)
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return by_sequence
+
+
+def test_packing(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = catalog.op10_packing(spark, sf_dir).collect()
+    packed = check_packing(got, texts, 4096, 1)
+    assert {r["doc_id"] for r in got} == set(texts)
+    assert len(packed) <= -(-sum(r["length"] for r in got) // 4096) + 1
+
+
+def test_packing_odd_rows(spark, odd, empty):
+    got = packing.best_fit_packing(spark, odd, VOCAB, 1, 100).collect()
+    check_packing(got, dict(enumerate(ODD)) | {None: "no id at all in this row"}, 100, 1)
+    assert [(r["piece"], r["length"]) for r in got if r["doc_id"] == 0] == [(0, 1)]
+    assert sum(r["doc_id"] == 4 for r in got) == 2
+    assert packing.best_fit_packing(spark, empty, VOCAB).count() == 0
+
+
+# The pipeline
+
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: r for r in docs.collect()}
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+        after = {r["doc_id"]: r for r in docs.collect()}
+        assert docs.columns == columns and set(after) <= set(before) and docs.count() == len(after)
+        if name == "near duplicates":
+            ids = sorted(before)
+            _, found = brute_components([before[i]["text"] for i in ids])
+            assert set(after) == {ids[k] for k in set(found)}
+        if name == "toxicity":
+            assert 0 < len(before) - len(after) < len(before) / 4
+        if name in ("secrets", "mixing"):
+            assert set(after) == set(before)
+        if name == "secrets":
+            for i, r in after.items():
+                assert r["text"] == before[i]["text"] or "[SECRET]" in r["text"]
+        if name == "mixing":
+            assert after == before
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    check_packing(got, texts, 4096, 1)
+    assert {r["doc_id"] for r in got} == set(texts)
+
+
+def test_pipeline_of_odd_rows(spark, odd, empty, tmp_path):
+    spark.createDataFrame([(4, 1, 1), (7, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (odd, empty):
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stored(stage(spark, docs, str(tmp_path)), "odd")
+        docs.collect()
