@@ -414,6 +414,15 @@ def test_mixing_follows_the_weights(spark):
             at += r["units"]
 
 
+def test_mixed_rows_are_in_the_schedules_order(spark):
+    rng = random.Random(6)
+    df = documents(spark, ["y" * rng.randint(0, 90) for _ in range(700)], lambda i: None if i % 9 == 8 else ("hot" if i % 3 else "b"))
+    at = {r["doc_id"]: (r["slot"], r["before"]) for r in mixing.schedule(spark, df, block_chars=500).collect()}
+    mixed = mixing.mixed_documents(spark, df, block_chars=500, part_chars=3000)
+    got = [r["doc_id"] for r in mixed.collect()]
+    assert got == sorted(at, key=at.get) and mixed.columns == df.columns and mixed.rdd.getNumPartitions() > 5
+
+
 def test_mixing_odd_rows(spark, odd, empty):
     assert mixing.schedule(spark, odd).count() == len(ODD) + 2
     assert mixing.mixed_documents(spark, empty).count() == 0
