@@ -5,6 +5,7 @@
 -i STORE -o FILE HEADER [FROM [TO]]   extract a part of one sequence
 -i STORE -s [HEADER] PATTERN  positions of a pattern; -s FILE searches a query file on both strands and prints GFF
 -i STORE -c [HEADER] PATTERN  numbers of occurrences
+-idx PATH                     with -o STORE: also write full-text indexes of the sequences there
 -t N                          cores; -v LEVEL log level; -h help
 
 Of -o, -s and -c the first of that order counts.
@@ -19,7 +20,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import blocks, search
+from strandlake.operators import blocks, fmindex, search
 from strandlake.sources import register
 
 
@@ -47,6 +48,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("-o", "--output", nargs="+", dest="output")
     p.add_argument("-s", "--search", nargs="+", dest="search")
     p.add_argument("-c", "--count", nargs="+", dest="count")
+    p.add_argument("-idx", "--index", dest="index")
     p.add_argument("-t", "--threads", type=int, default=1, dest="threads")
     p.add_argument("-v", "--verbose", default="WARN", dest="verbose")
     if not argv:
@@ -69,6 +71,9 @@ def run(spark: SparkSession, given: argparse.Namespace, out=sys.stdout) -> None:
         path, *rest = given.output
         if not is_store:
             build_store(spark, given.input, path)
+            if given.index:
+                rows = read_store(spark, path)
+                fmindex.build_indexes(rows).join(rows.select("header", "block_id", "ord"), "header").write.parquet(given.index)
         elif rest:
             begin, end = int(rest[1]) if len(rest) > 1 else 0, int(rest[2]) if len(rest) > 2 else None
             search.extract(read_store(spark, given.input), rest[0], begin, end).select("bases").write.text(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake import cli
 from strandlake.operators import intervals
+from strandlake.operators.fmindex import fm_count
 from strandlake.sources import bam, bgzf, fasta, register
 from strandlake.streaming.landing import landing_counts, landing_sequences, windowed_counts
 
@@ -157,7 +158,9 @@ def test_damaged_files_are_errors(spark, tmp_path, bam_file):
 def test_command_line(spark, tmp_path):
     fa, store, out = tmp_path / "a.fa", str(tmp_path / "store"), io.StringIO()
     fa.write_bytes(b">chr1\nAAAACGTTTTACGT\n>chr2\nACGTN\n>dup\nGATTACA\n>dup\nGATTACA\n")
-    cli.run(spark, cli.arguments(["-i", str(fa), "-o", store]))
+    cli.run(spark, cli.arguments(["-i", str(fa), "-o", store, "-idx", str(tmp_path / "fm")]))
+    fm = spark.read.parquet(str(tmp_path / "fm"))
+    assert sorted(tuple(r) for r in fm.select("header", fm_count(fm.fm, "ACGT")).collect()) == [("chr1", 2), ("chr2", 1), ("dup", 0)]
     cli.run(spark, cli.arguments(["-i", store, "-c", "ACGT"]), out)
     assert out.getvalue().splitlines() == [">chr1 found : 2", ">chr2 found : 1"]
     cli.run(spark, cli.arguments(["-i", store, "-s", "chr1", "AA"]), out := io.StringIO())
