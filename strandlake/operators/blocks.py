@@ -7,6 +7,8 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Distinct (length, header) pairs that one packing takes; blocks are planned on the driver from these alone.
 PLAN_ROWS = 5_000_000
 
@@ -68,13 +70,16 @@ def write_blocks(placed: DataFrame, path: str) -> None:
     placed.repartition("block_id").sortWithinPartitions("block_id", "ord").write.partitionBy("block_id").parquet(path)
 
 
-def cumulative_offsets(sequences: DataFrame, order: str, length: str = "seq_len", parts: int = 256) -> DataFrame:
+def cumulative_offsets(sequences: DataFrame, order: str, length: str = "seq_len", parts: int | None = None) -> DataFrame:
     """Add ``text_begin``: where each sequence begins in the joined text of all, each followed by one separator.
 
-    Sums go by ranges of ``order``: within a range in one task, and between ranges over a row for each.
+    Sums go by ranges of ``order``: within a range in one task, and between ranges over a row for each. There are as
+    many ranges as shuffle partitions, or ``parts``. The rows are stored with their range, as ranges that are sampled
+    anew would differ; so pass lengths, not the sequences themselves.
     """
+    parts = parts or int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.col(length).cast("bigint") + 1
-    ranged = sequences.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    ranged = stored(sequences.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranges")
     before = lambda w: F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
     sized = ranged.withColumn("_size", size)
     starts = sized.groupBy("_part").agg(F.sum("_size").alias("_size")).withColumn("_start", before(Window.orderBy("_part"))).select(F.col("_part").alias("_p"), "_start")

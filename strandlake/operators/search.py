@@ -5,6 +5,7 @@ Matching is exact and case-sensitive, overlapping occurrences all count, and pos
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,21 +131,61 @@ def seeds(patterns: DataFrame, column: str = "pattern") -> DataFrame:
     return patterns.filter(F.length(column) > 0).withColumns({"k": k, "seed": F.substring(F.col(column), F.lit(1), k)})
 
 
+def _hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A 32-bit hash of the k letters from each place on."""
+    out = np.zeros(max(0, len(codes) - k + 1), np.uint32)
+    for j in range(k):
+        out = out * np.uint32(0x01000193) + codes[j : j + len(out)]
+    return out ^ (out >> np.uint32(15))
+
+
+class SeedFilter:
+    """Finds the places of seeds in a text: a bitmap of their hashes first, then the letters themselves."""
+
+    BITS = 20
+
+    def __init__(self, seeds: set[str]):
+        self.seeds, self.maps = seeds, {}
+        for k in {len(s) for s in seeds}:
+            hits = np.zeros(1 << self.BITS, bool)
+            for s in seeds:
+                if len(s) == k:
+                    hits[_hashes(_codes(s), k) & np.uint32((1 << self.BITS) - 1)] = True
+            self.maps[k] = hits
+
+    def places(self, text: str, k: int) -> list[int]:
+        hits = self.maps.get(k)
+        if hits is None:
+            return []
+        found = np.flatnonzero(hits[_hashes(_codes(text), k) & np.uint32((1 << self.BITS) - 1)]).tolist()
+        return [i for i in found if text[i : i + k] in self.seeds]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def kmers(sequences: DataFrame, lengths: list[int], window: int, keep: set[str] | None = None, header: str = "header", seq: str = "seq") -> DataFrame:
-    """header, pos, kmer and window (the next ``window`` letters) at each place of each sequence, for the lengths given."""
+    """header, pos, kmer and window (the next ``window`` letters) at each place of each sequence, for the lengths given.
+
+    With ``keep``, only for k-mers in that set.
+    """
     spark = sequences.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(keep)
     kind = sequences.schema[header].dataType
+    step = 1 << 18
 
     def run(batches):
-        wanted = shared.value
+        wanted = SeedFilter(shared.value) if shared.value is not None else None
         for b in batches:
             for h, s in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
-                for at in range(0, len(s or ""), 1 << 16):
-                    rows = [(i, s[i : i + k]) for k in lengths for i in range(at, min(at + (1 << 16), len(s) - k + 1)) if wanted is None or s[i : i + k] in wanted]
-                    if rows:
-                        yield pa.RecordBatch.from_pydict({"header": pa.array([h] * len(rows), b.schema.field(0).type), "pos": pa.array([i for i, _ in rows], pa.int64()), "kmer": [x for _, x in rows], "window": [s[i : i + window] for i, _ in rows]})
+                for k in lengths:
+                    for at in range(0, len(s or "") - k + 1, step):
+                        part = s[at : at + step + k - 1]
+                        found = range(len(part) - k + 1) if wanted is None else wanted.places(part, k)
+                        if len(found):
+                            yield pa.RecordBatch.from_pydict({"header": pa.array([h] * len(found), b.schema.field(0).type), "pos": pa.array([at + i for i in found], pa.int64()), "kmer": [part[i : i + k] for i in found], "window": [s[at + i : at + i + window] for i in found]})
 
     return sequences.select(F.col(header), F.col(seq)).mapInArrow(run, f"header {kind.simpleString()}, pos bigint, kmer string, window string")
 
