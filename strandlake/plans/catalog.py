@@ -539,8 +539,8 @@ def q_fasta_roundtrip(spark, sf_dir):
     register(spark)
     path = shared_dir(spark, "fasta")
     rows = sequences(spark, sf_dir).select(F.col("header").cast("string").alias("header"), dna.strip_line_ends(F.col("seq")).alias("seq"))
-    rows.write.format("fasta").option("path", path).mode("append").save()
-    return spark.read.format("fasta").load(path).select("header", "seq", "seq_len")
+    rows.write.format("fasta").option("path", path).option("markers", ">").mode("append").save()
+    return spark.read.format("fasta").option("markers", ">").load(path).select("header", "seq", "seq_len")
 
 
 @query(f"SELECT l_orderkey || '/' || ref_id AS qname, CAST(flag AS INT) AS flag, CAST(ref_id - 1 AS INT) AS ref_id, 'ref' || ref_id AS rname, CAST(pos AS INT) AS pos, CAST(end_pos AS INT) AS end_pos, cigar, CAST(bin AS INT) AS bin, mapq AS nm FROM {ALN_BIN}")

@@ -4,7 +4,7 @@ A record begins at a line that begins with ``>`` or ``@``; lines end with LF or
 FASTQ a line that begins with ``+`` opens the qualities, which go on until there are as many as bases or as many
 lines as sequence lines; so a quality line that begins with ``@`` is no record. Text is read as Latin-1.
 
-Options: ``lazy`` (true: seq and quality are null), ``offset`` (of the record to resume at), ``split`` (bytes of a
+Options: ``markers`` (the letters that begin a record, ``>@``; with ``>`` alone there are no qualities), ``lazy`` (true: seq and quality are null), ``offset`` (of the record to resume at), ``split`` (bytes of a
 partition, for plain FASTA; FASTQ and gzip files are a partition each), and for writing ``width`` (50; 0: one line
 for a sequence) and ``gzip`` (true: blocked gzip files).
 """
@@ -42,7 +42,7 @@ def lines_from(read, begin: int):
         rest = rows[-1]
 
 
-def records(lines, keep: bool = True):
+def records(lines, keep: bool = True, markers: bytes = b">@"):
     """(header, sequence, length, multiline, quality, offset) of records; what stands before the first is passed over."""
     header = offset = None
     bases, n, rows = [], 0, 0
@@ -56,14 +56,14 @@ def records(lines, keep: bool = True):
         if in_quality and n_quality < n and q_rows < rows:
             quality.append(line)
             n_quality, q_rows = n_quality + len(line), q_rows + 1
-        elif line[:1] in (b">", b"@"):
+        elif line and line[0] in markers:
             if header is not None:
                 yield record()
             header, offset, bases, n, rows = line[1:], at, [], 0, 0
             quality, n_quality, q_rows, in_quality = [], 0, 0, False
         elif header is None or not line or in_quality:
             continue
-        elif line[:1] == b"+":
+        elif line[:1] == b"+" and b"@" in markers:
             in_quality = True
         else:
             if keep:
@@ -113,6 +113,7 @@ class FastaReader(DataSourceReader):
     def __init__(self, options):
         self.path = options.get("path")
         self.keep = str(options.get("lazy", "false")).lower() != "true"
+        self.markers = options.get("markers", ">@").encode()
         self.offset, self.split = int(options.get("offset", 0)), int(options.get("split", SPLIT))
 
     def partitions(self):
@@ -121,7 +122,7 @@ class FastaReader(DataSourceReader):
             with open_input(path) as source:
                 head = source.read(1 << 16)
             text = head.lstrip(b"\r\n")
-            if is_gzip(head) or text[:1] == b"@":
+            if is_gzip(head) or (text[:1] == b"@" and b"@" in self.markers):
                 out.append(Range(path, 0, size, True))
             else:
                 out += [Range(path, at, min(size, at + self.split), False) for at in range(0, size, self.split)]
@@ -132,7 +133,7 @@ class FastaReader(DataSourceReader):
             zipped = is_gzip(source.read(3))
             source.seek(0)
             if zipped:
-                yield from self._rows(records(lines_from(inflated(source), 0), self.keep), partition.path, self.offset)
+                yield from self._rows(records(lines_from(inflated(source), 0), self.keep, self.markers), partition.path, self.offset)
                 return
             begin = max(partition.begin, self.offset)
             # The byte before tells whether the range begins at a line's start.
@@ -141,14 +142,13 @@ class FastaReader(DataSourceReader):
             if begin:
                 next(rows, None)
             end = None if partition.whole else partition.end
-            for r in self._rows(records(self._until(rows, end), self.keep), partition.path, 0):
+            for r in self._rows(records(self._until(rows, end), self.keep, self.markers), partition.path, 0):
                 yield r
 
-    @staticmethod
-    def _until(rows, end):
+    def _until(self, rows, end):
         """Lines up to the first record that begins at or after ``end``."""
         for at, line in rows:
-            if end is not None and at >= end and line[:1] in (b">", b"@"):
+            if end is not None and at >= end and line and line[0] in self.markers:
                 return
             yield at, line
 
@@ -159,6 +159,19 @@ class FastaReader(DataSourceReader):
                 yield zlib.crc32(f"{path}:{offset}".encode()) << 31 | offset & (1 << 31) - 1, header, seq, n, multiline, quality, offset, path
 
 
+def wrapped(seq: str, width: int, stops: str = ">@+"):
+    """Lines of ``width`` letters, or more where a line would begin with one of ``stops``, as records and qualities do."""
+    if seq and seq[0] in stops:
+        raise ValueError(f"a sequence can't begin with {seq[0]!r} in this format")
+    at = 0
+    while at < len(seq):
+        end = at + width
+        while end < len(seq) and seq[end] in stops:
+            end += 1
+        yield seq[at:end]
+        at = end
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str
@@ -168,6 +181,8 @@ class FastaWriter(DataSourceWriter):
     def __init__(self, options, schema, overwrite):
         self.path, self.width = options.get("path"), int(options.get("width", 50))
         self.gzip = str(options.get("gzip", "false")).lower() == "true"
+        self.stops = options.get("markers", ">@")
+        self.stops += "+" * ("@" in self.stops)
         names = schema.fieldNames()
         self.header, self.seq = names.index("header"), names.index("seq")
         self.quality = names.index("quality") if "quality" in names else None
@@ -182,8 +197,7 @@ class FastaWriter(DataSourceWriter):
                 if quality is not None:
                     text = f"@{row[self.header]}\n{seq}\n+\n{quality}\n"
                 else:
-                    step = self.width or max(1, len(seq))
-                    text = f">{row[self.header]}\n" + "".join(seq[i : i + step] + "\n" for i in range(0, len(seq), step))
+                    text = f">{row[self.header]}\n" + "".join(x + "\n" for x in wrapped(seq, self.width or max(1, len(seq)), self.stops))
                 out.write(text.encode("latin-1", "replace"))
             if self.gzip:
                 out.close()

@@ -60,6 +60,12 @@ def test_fasta_write(spark, tmp_path, zipped):
     assert sorted(r[:2] for r in load(spark, tmp_path / "out")) == sorted((f"s{i}", "ACGT" * i) for i in range(30))
 
 
+def test_no_line_begins_as_a_record():
+    assert list(fasta.wrapped("ab@>+cdef@", 2)) == ["ab@>+", "cd", "ef@"]
+    with pytest.raises(ValueError, match="begin"):
+        list(fasta.wrapped("@x", 2))
+
+
 def test_gzip_members():
     out = io.BytesIO()
     writer = bgzf.BlockWriter(out)
