@@ -48,7 +48,7 @@ def gram_rows(words: list[str], rows: int) -> tuple[np.ndarray, np.ndarray]:
 class SubwordModel:
     """One number for each n-gram row, and the bias: what the embeddings and the softmax come to."""
 
-    def __init__(self, margins: np.ndarray, bias: float, limit: int = 200_000):
+    def __init__(self, margins: np.ndarray, bias: float, limit: int = 100_000):
         self.margins, self.bias, self.limit, self.words = margins, bias, limit, None
 
     def __getstate__(self):
@@ -134,8 +134,19 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, **opti
     spread = F.xxhash64("doc_id")
     chosen = marks.filter(~held_out(F.col("doc_id"))).orderBy(spread, "doc_id").limit(train_rows)
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(spread, "doc_id", "text").limit(train_rows)
-    rows = [(r["text"], int(r["_toxic"] == 1)) for r in known.toLocalIterator()]
-    return train([t for t, _ in rows], [y for _, y in rows], **options)
+
+    def run(batches):
+        texts, toxic = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            toxic += b.column(1).to_pylist()
+        model = train(texts, toxic, **options)
+        yield pa.RecordBatch.from_pydict({"margins": pa.array([model.margins.tobytes()], pa.binary()), "bias": [model.bias]})
+
+    # The bounded sample is one partition; a task trains on it, and the driver gets the model alone.
+    tune(docs.sparkSession)
+    row = known.select("text", (F.col("_toxic") == 1).cast("int").alias("y")).mapInArrow(run, "margins binary, bias double").first()
+    return SubwordModel(np.frombuffer(row["margins"]), row["bias"]) if row else train([], [], **options)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, model: SubwordModel) -> DataFrame:
