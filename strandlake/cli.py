@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators import blocks, fmindex, search
-from strandlake.sources import register
+from strandlake.sources import register, sniff
 
 
 def build_store(spark: SparkSession, fasta: str, store: str) -> None:
@@ -66,7 +66,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
 def run(spark: SparkSession, given: argparse.Namespace, out=sys.stdout) -> None:
     """Carry out what the arguments ask for; results that aren't files are printed."""
     register(spark)
-    is_store = os.path.isdir(given.input)
+    is_store = sniff(os.path.abspath(given.input) if "://" not in given.input else given.input) == "store"
     if given.output:
         path, *rest = given.output
         if not is_store:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
+#: Fixed value: where the hash of headers starts.
+HASH_START = 1125899906842597
 
 def letters(texts: DataFrame, key: str = "header", text: str = "seq") -> DataFrame:
     """(key, pos, ch): a row for each letter."""
@@ -172,7 +174,7 @@ def header_hash(headers: Column) -> Column:
     def fold(lists: pa.Array) -> pa.Array:
         out = []
         for names in lists.to_pylist():
-            h = 1125899906842597
+            h = HASH_START
             for name in names or []:
                 raw = name.encode("utf-16-le")
                 for i in range(0, len(raw), 2):

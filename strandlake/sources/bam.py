@@ -2,7 +2,8 @@
 
 ``spark.read.format("bam").load(path)`` gives ALIGNMENTS. With an index beside a file (``x.bam.bai`` or ``x.bai``, or the
 option ``index``) the file is read in parts that begin at the index's offsets, and filters on ref_id, pos and end_pos
-leave out parts that can't hold a match; without one a file is a partition. The option ``part`` gives the ``header``
+leave out parts that can't hold a match; without one a file is a partition. With the option ``lazy`` (true) bases,
+qualities and tags are null and not decoded. The option ``part`` gives the ``header``
 (line_no, line) or the ``refs`` instead. ``spark.read.format("bai")`` gives the index's chunks, or with ``part`` =
 ``linear`` its linear offsets.
 """
@@ -103,23 +104,29 @@ def bin_of(begin: int, end: int) -> int:
     return 0
 
 
-def decode_record(raw: bytes, names: list[str], begin: int, end: int) -> tuple:
-    """An ALIGNMENTS row from a record's bytes (without its size) and its virtual offsets."""
+def decode_record(raw: bytes, names: list[str], begin: int, end: int, keep: bool = True) -> tuple:
+    """An ALIGNMENTS row from a record's bytes (without its size) and its virtual offsets.
+
+    Without ``keep``, bases, qualities and tags are null and not decoded.
+    """
     ref_id, pos, l_name, mapq, bin_, n_cigar, flag, l_seq, next_ref, next_pos, tlen = FIXED.unpack_from(raw)
     at = FIXED.size
     qname = raw[at : at + l_name - 1].decode("latin-1")
     at += l_name
     ops = [(c >> 4, OPS[c & 15]) for c in struct.unpack_from(f"<{n_cigar}I", raw, at)]
     at += 4 * n_cigar
+    name_of = lambda i: names[i] if 0 <= i < len(names) else None
+    end_pos = 0 if flag & 4 or not ops else pos + reference_span(ops)
+    place = qname, flag, ref_id, name_of(ref_id), pos + 1, end_pos, mapq, "".join(f"{n}{op}" for n, op in ops) or "*", next_ref, name_of(next_ref), next_pos + 1, tlen
+    if not keep:
+        return *place, None, None, bin_, begin, end, None
     packed = raw[at : at + (l_seq + 1) // 2]
     seq = "".join(BASE_CODES[b >> 4] + BASE_CODES[b & 15] for b in packed)[:l_seq]
     at += len(packed)
     qual = raw[at : at + l_seq]
     at += l_seq
-    name_of = lambda i: names[i] if 0 <= i < len(names) else None
-    end_pos = 0 if flag & 4 or not ops else pos + reference_span(ops)
     text = None if qual[:1] == b"\xff" else "".join(chr(q + 33) for q in qual)
-    return qname, flag, ref_id, name_of(ref_id), pos + 1, end_pos, mapq, "".join(f"{n}{op}" for n, op in ops) or "*", next_ref, name_of(next_ref), next_pos + 1, tlen, seq or None, text if l_seq else None, bin_, begin, end, decode_tags(raw[at:])
+    return *place, seq or None, text if l_seq else None, bin_, begin, end, decode_tags(raw[at:])
 
 
 def encode_record(r) -> bytes:
@@ -218,6 +225,7 @@ class Part(InputPartition):
 class BamReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.part, self.index = options.get("path"), options.get("part", "records"), options.get("index")
+        self.keep = str(options.get("lazy", "false")).lower() != "true"
         self.ref, self.low, self.high = None, None, None
 
     def pushFilters(self, filters):
@@ -289,7 +297,7 @@ class BamReader(DataSourceReader):
                 if not size:
                     return
                 raw = stream.exactly(struct.unpack("<i", size)[0])
-                yield decode_record(raw, names, begin, stream.voffset())
+                yield decode_record(raw, names, begin, stream.voffset(), self.keep)
 
 
 def _joined(chunks):

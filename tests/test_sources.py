@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake import cli
 from strandlake.operators import intervals
 from strandlake.operators.fmindex import fm_count
-from strandlake.sources import bam, bgzf, fasta, register
+from strandlake.sources import bam, bgzf, fasta, register, sniff
 from strandlake.streaming.landing import landing_counts, landing_sequences, windowed_counts
 
 FASTA = b"\n>chr1 desc\r\nAAAACGT\r\n\r\nTTTACGT\r\n>chr2\nACGTN\n>none\n>last\nAC"
@@ -142,6 +142,17 @@ def test_index_finds_the_same_records(spark, bam_file, tmp_path):
     assert bam.read_index(raw)["unplaced"] == 1 and struct.unpack("<Q", raw[-8:])[0] == 1
 
 
+def test_lazy_alignments_and_sniffing(spark, bam_file, tmp_path):
+    r = spark.read.format("bam").option("lazy", "true").load(bam_file).filter("qname = 'q00010'").first()
+    assert (r["pos"], r["end_pos"], r["cigar"], r["seq"], r["qual"], r["tags"]) == (3001, 3007, "4M1I3M", None, None, None)
+    for name, data, kind in (("a", b"\n>x\nA\n", "fasta"), ("b", b"@x\nA\n+\n!\n", "fastq"), ("c", gzip.compress(b">x"), "gzip"), ("d", b"BAI\x01", "bai"), ("e", b"", "unknown")):
+        (tmp_path / name).write_bytes(data)
+        assert sniff(str(tmp_path / name)) == kind
+    assert sniff(bam_file) == "bam" and sniff(str(tmp_path)) == "unknown"
+    with pytest.raises(FileNotFoundError):
+        sniff(str(tmp_path / "none"))
+
+
 def test_tags_of_every_type():
     raw = b"NMC" + bytes([200]) + b"ASi" + struct.pack("<i", -5) + b"XSs" + struct.pack("<h", -3) + b"MDZ8\0" + b"XAAx" + b"XFf" + struct.pack("<f", 1.5) + b"XHH1AE3\0" + b"CGBI" + struct.pack("<iII", 2, 1, 2) + b"FZBS" + struct.pack("<iH", 1, 65535) + b"XBBf" + struct.pack("<if", 1, 0.5) + b"XLI" + struct.pack("<I", 1 << 31)
     got = bam.decode_tags(raw)
