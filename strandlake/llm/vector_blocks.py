@@ -82,11 +82,18 @@ def tiles(batches, extra: list[str] = ()):
 
         def candidates():
             nonlocal waiting
+            held, n = [], 0
             while waiting is not None and waiting[0] == at:
-                ids, matrix = waiting[2], waiting[3]
-                for i in range(0, len(ids), TILE):
-                    yield ids[i : i + TILE], matrix[i : i + TILE]
+                # Batches may be smaller than a tile.
+                for i in range(0, len(waiting[2]), TILE):
+                    held.append((waiting[2][i : i + TILE], waiting[3][i : i + TILE]))
+                    n += len(held[-1][0])
+                    if n >= TILE:
+                        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                        held, n = [], 0
                 waiting = next(todo, None)
+            if held:
+                yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
 
         stream = candidates()
         if own:

@@ -59,16 +59,25 @@ def test_generation_cache():
         assert cache[k] == k * 2
         cache.turn()
     assert made == [1, 2, 3] and len(cache) <= 3
+    cache = GenerationCache(None, 2)
+    for words, new in (("abc", "abc"), ("ad", "d"), ("bd", "")):
+        found = cache.missing(words)
+        assert sorted(found) == sorted(new)
+        cache.update((k, 0) for k in found)
+        cache.turn()
 
 
 def test_salted_rank(spark, monkeypatch):
     monkeypatch.setattr("strandlake.llm.common.RANK_ROWS", 7)
     df = stored(spark.range(200).select("id", F.when(F.col("id") < 150, F.lit("hot")).when(F.col("id") < 190, F.lit("b")).alias("g"), (F.col("id") % 5 + 1).alias("w")), "t")
-    got = rows(salted_rank(df, ["g"], [F.col("id")], F.col("id"), "_before").select("g", "_before"))
+    got = rows(salted_rank(df, ["g"], [F.col("id")], F.xxhash64("id"), "_before").select("g", "_before"))
     for g, n in (("hot", 150), ("b", 40), (None, 10)):
         assert sorted(r for k, r in got if k == g) == list(range(n))
-    sums = sorted(rows(salted_rank(df, ["g"], [F.col("id")], F.col("id"), "at", F.col("w")).filter("g = 'hot'").select("at", "w")))
+    sums = sorted(rows(salted_rank(df, ["g"], [F.col("id")], F.xxhash64("id"), "at", F.col("w")).filter("g = 'hot'").select("at", "w")))
     assert [a for a, _ in sums] == list(itertools.accumulate((w for _, w in sums[:-1]), initial=0))
+    key = F.xxhash64("id")
+    ordered = salted_rank(df.withColumn("k", key), ["g"], [F.col("k")], F.col("k"), "at").filter("g = 'hot'")
+    assert [r["at"] for r in ordered.orderBy("k").collect()] == list(range(150))
 
 
 # 1: near duplicates
@@ -394,7 +403,8 @@ def test_whole_weights():
     assert sum(mixing.whole_weights([1e-9, 1, 3], 10)) == 10 and min(mixing.whole_weights([1e-9, 1, 3], 10)) == 1
 
 
-def test_mixing_follows_the_weights(spark):
+def test_mixing_follows_the_weights(spark, monkeypatch):
+    monkeypatch.setattr("strandlake.llm.common.RANK_ROWS", 30)
     rng = random.Random(4)
     source = lambda i: None if i % 10 == 9 else ("hot" if i % 3 else "b")
     df = documents(spark, ["x" * rng.randint(0, 90) for _ in range(900)], source)
@@ -414,7 +424,8 @@ def test_mixing_follows_the_weights(spark):
             at += r["units"]
 
 
-def test_mixed_rows_are_in_the_schedules_order(spark):
+def test_mixed_rows_are_in_the_schedules_order(spark, monkeypatch):
+    monkeypatch.setattr("strandlake.llm.common.RANK_ROWS", 30)
     rng = random.Random(6)
     df = documents(spark, ["y" * rng.randint(0, 90) for _ in range(700)], lambda i: None if i % 9 == 8 else ("hot" if i % 3 else "b"))
     at = {r["doc_id"]: (r["slot"], r["before"]) for r in mixing.schedule(spark, df, block_chars=500).collect()}
@@ -567,7 +578,8 @@ def check_packing(rows_, texts, capacity, end_id):
     return by_sequence
 
 
-def test_packing(spark, sf_dir):
+def test_packing(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr("strandlake.llm.common.RANK_ROWS", 3)
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = catalog.op10_packing(spark, sf_dir).collect()
     packed = check_packing(got, texts, 4096, 1)
