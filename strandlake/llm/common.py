@@ -99,6 +99,13 @@ class GenerationCache(dict):
         self[key] = value
         return value
 
+    def missing(self, keys) -> list:
+        """The keys that have no value yet, once each; those of the older generation are taken over."""
+        new = set(keys).difference(self)
+        known = new.intersection(self.old)
+        self.update((k, self.old[k]) for k in known)
+        return list(new - known)
+
     def turn(self) -> None:
         """Begin a new generation if this one is full; call it between texts."""
         if len(self) > self.limit:
@@ -106,19 +113,21 @@ class GenerationCache(dict):
             self.clear()
 
 
-def salted_rank(df: DataFrame, group: list[str], order: list[Column], salt: Column, to: str, weight: Column | None = None) -> DataFrame:
+def salted_rank(df: DataFrame, group: list[str], order: list[Column], uniform: Column, to: str, weight: Column | None = None) -> DataFrame:
     """Add ``to``: the rank from 0 of each row in its group, or the weight of the rows before it.
 
-    A group of any size is dealt to buckets of about RANK_ROWS rows by ``salt`` (a column that is spread
-    evenly and fixed for a row); rows are ordered by bucket, then by ``order``. Only counts of buckets are
-    gathered. Null group values form a group of their own. df is read twice, so it should be a stored table.
+    ``uniform`` is a 64-bit hash that is fixed for a row. A group of any size is dealt to buckets of about RANK_ROWS
+    rows by ranges of that hash; rows are ordered by bucket, then by ``order``, so with the hash first in ``order``
+    they are in its order altogether. Only counts of buckets are gathered. Null group values form a group of their
+    own. df is computed twice, so it should be a table or as good as one.
     """
-    spread = F.pmod(F.xxhash64(salt), F.lit(1 << 30))
+    # The upper 30 bits, with the sign turned so that they rise as the signed hash does.
+    spread = F.shiftrightunsigned(uniform.bitwiseXOR(F.lit(-(1 << 63))), 34)
     keys = [F.col(g) for g in group]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.ceil(F.col("_n") / RANK_ROWS).cast("long").alias("_parts"))
     same = lambda a, b: [a[g].eqNullSafe(b[f"_g{i}"]) for i, g in enumerate(group)]
     joined = df.join(counts, same(df, counts), "left") if group else df.crossJoin(counts)
-    dealt = joined.withColumn("_part", F.pmod(spread, F.coalesce("_parts", F.lit(1))).cast("long")).drop("_parts", *[f"_g{i}" for i in range(len(group))])
+    dealt = joined.withColumn("_part", F.shiftright(spread * F.coalesce("_parts", F.lit(1).cast("long")), 30)).drop("_parts", *[f"_g{i}" for i in range(len(group))])
     weighed = dealt.withColumn("_w", weight if weight is not None else F.lit(1).cast("long"))
     sums = weighed.groupBy(*keys, "_part").agg(F.sum("_w").alias("_s"))
     before = F.coalesce(F.sum("_s").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

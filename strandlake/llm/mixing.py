@@ -14,13 +14,15 @@ import bisect
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import salted_rank
+from .common import salted_rank, stored
 
 #: Characters of a block, the common denominator of weights, and entries of a plan at most.
 BLOCK_CHARS, RESOLUTION, PLAN_ENTRIES = 65_536, 1000, 4_000_000
+#: Characters of a partition of mixed rows, and entries of the table that leads rows to partitions at most.
+PART_CHARS, CUTS = 8 << 20, 500_000
 
 
 def whole_weights(weights: list[float], resolution: int = RESOLUTION) -> list[int]:
@@ -82,26 +84,13 @@ def plan_phases(weights: list[int], blocks: list[int]) -> list[tuple[int, int, i
     return rows
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, weights: Mapping[str | None, float] | None = None, exponent: float = 0.5, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION) -> DataFrame:
-    """docs with ``_units``, ``_before``, ``_block``, ``_slot`` and ``_phase``: every row once, and where it goes.
-
-    A row's units are the characters of its text, one at least. ``weights`` gives a target for each source (a source
-    that it doesn't name, or null, gets the mean of the others); by default a source's weight is its units to the
-    power ``exponent``. Rows of a source are taken in the order of a hash, ``_before`` is the units before the row,
-    and a block is ``block_chars`` of them. Sorted by (_slot, _before), rows are mixed. A null source is a source of
-    its own. Identical rows are interchangeable. An empty table gives no rows. Only a row per source comes to
-    the driver, and the plan has at most PLAN_ENTRIES slots; text may be carried along.
-    """
-    return _placed(spark, _measured(docs), weights, exponent, block_chars, resolution)
-
-
 def _measured(docs: DataFrame) -> DataFrame:
     units = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long")
     return docs.withColumns({"_units": units, "_key": F.xxhash64("doc_id", "text")})
 
 
-def _placed(spark: SparkSession, rows: DataFrame, weights=None, exponent=0.5, block_chars=BLOCK_CHARS, resolution=RESOLUTION) -> DataFrame:
-    """What mix_sources says, for rows with ``_units`` and ``_key``."""
+def _plan(spark: SparkSession, rows: DataFrame, weights: Mapping[str | None, float] | None, exponent: float, block_chars: int, resolution: int) -> tuple[DataFrame, int, int]:
+    """The plan as a small table, the number of sources and the units of all rows; a row per source comes to the driver."""
     sizes = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("_units").alias("n")).collect()]
     sizes.sort(key=lambda x: (x[0] is not None, x[0] or ""))
     if weights is None:
@@ -111,22 +100,56 @@ def _placed(spark: SparkSession, rows: DataFrame, weights=None, exponent=0.5, bl
         asked = [weights.get(s, mean) for s, _ in sizes]
     plan = plan_phases(whole_weights(asked, resolution), [-(-n // block_chars) for _, n in sizes]) if sizes else []
     named = [(sizes[i][0], *row) for i, *row in plan]
-    table = F.broadcast(spark.createDataFrame(named, "_source string, _phase int, _first long, _end long, _base long, _period long, _slots array<int>"))
-    order = [F.col("_key"), F.col("_units")]
-    placed = salted_rank(rows, ["source"], order, F.col("_key"), "_before", F.col("_units"))
-    placed = placed.withColumn("_block", F.expr(f"_before div {block_chars}"))
-    joined = placed.join(table, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_end")))
-    nth = F.col("_block") - F.col("_first")
-    slot = F.col("_base") + F.expr("(_block - _first) div size(_slots)") * F.col("_period") + F.element_at("_slots", (F.pmod(nth, F.size("_slots")) + 1).cast("int"))
-    return joined.withColumn("_slot", slot).drop("_key", "_source", "_first", "_end", "_base", "_period", "_slots")
-
-
-def schedule(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, units, block (of the source), before (units before the row in its source), phase and slot."""
+    return spark.createDataFrame(named, "_source string, _phase int, _first long, _end long, _base long, _period long, _slots array<int>"), len(sizes), sum(n for _, n in sizes)
+
+
+def _slotted(placed: DataFrame, plan: DataFrame, block_chars: int) -> DataFrame:
+    """Add _block, _slot and _phase to rows with _before; the plan has at most PLAN_ENTRIES slots."""
+    blocked = placed.withColumn("_block", F.expr(f"_before div {block_chars}"))
+    joined = blocked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_end")))
+    nth = F.pmod(F.col("_block") - F.col("_first"), F.size("_slots"))
+    slot = F.col("_base") + F.expr("(_block - _first) div size(_slots)") * F.col("_period") + F.element_at("_slots", (nth + 1).cast("int"))
+    return joined.withColumn("_slot", slot).drop("_source", "_first", "_end", "_base", "_period", "_slots")
+
+
+def _placed(rows: DataFrame, plan: DataFrame, block_chars: int) -> DataFrame:
+    """rows (source, _units, _key, ...) with _before, _block, _slot and _phase."""
+    ranked = salted_rank(rows, ["source"], [F.col("_key"), F.col("_units")], F.col("_key"), "_before", F.col("_units"))
+    return _slotted(ranked, plan, block_chars)
+
+
+def schedule(spark: SparkSession, docs: DataFrame, weights: Mapping[str | None, float] | None = None, exponent: float = 0.5, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION) -> DataFrame:
+    """doc_id, source, units, block (of the source), before (units before the row in its source), phase and slot.
+
+    Every row comes once; sorted by (slot, before), rows are mixed. A row's units are the characters of its text, one
+    at least. ``weights`` gives a target for each source (a source that it doesn't name, or null, gets the mean of the
+    others); by default a source's weight is its units to the power ``exponent``. Rows of a source are taken in the
+    order of a hash, and a block is ``block_chars`` units. A null source is a source of its own. Identical rows are
+    interchangeable. An empty table gives no rows. Columns other than doc_id, source and text are ignored.
+    """
     slim = _measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text")
-    return _placed(spark, slim, **options).select("doc_id", "source", F.col("_units").alias("units"), F.col("_block").alias("block"), F.col("_before").alias("before"), F.col("_phase").alias("phase"), F.col("_slot").alias("slot"))
+    plan, _, _ = _plan(spark, slim, weights, exponent, block_chars, resolution)
+    return _placed(slim, plan, block_chars).select("doc_id", "source", F.col("_units").alias("units"), F.col("_block").alias("block"), F.col("_before").alias("before"), F.col("_phase").alias("phase"), F.col("_slot").alias("slot"))
+
 
+def mixed_documents(spark: SparkSession, docs: DataFrame, weights: Mapping[str | None, float] | None = None, exponent: float = 0.5, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, part_chars: int = PART_CHARS) -> DataFrame:
+    """All rows of docs, with its columns, in the order of the mix (see ``schedule``): partition by partition, row by row.
 
-def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """All rows of docs, with its columns, in the order of the mix."""
-    return mix_sources(spark, docs, **options).orderBy("_slot", "_before").select(*docs.columns)
+    Places are found without the texts. They tell at which hash each source enters each stretch of slots, and by that
+    small table the rows with their texts go to the stretch's partition, in one shuffle.
+    """
+    rows = _measured(docs)
+    slim = rows.select("source", "_units", "_key")
+    plan, sources, units = _plan(spark, slim, weights, exponent, block_chars, resolution)
+    places = stored(_placed(slim, plan, block_chars).select("source", "_key", "_before", "_slot"), "places")
+    slots = (places.agg(F.max("_slot")).first()[0] or 0) + 1
+    parts = max(1, min(-(-units // part_chars), slots, CUTS // max(1, sources)))
+    width = -(-slots // parts)
+    cuts = places.groupBy("source", F.expr(f"_slot div {width}").cast("int").alias("part")).agg(F.min(F.struct("_key", "_before")).alias("first"))
+    lists = cuts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.col("first._key").alias("key"), F.col("first._before").alias("begin"), "part"))).alias("_cuts")).withColumnRenamed("source", "_s")
+    at = rows.join(F.broadcast(lists), F.col("source").eqNullSafe(F.col("_s")))
+    cut = F.element_at("_cuts", F.size(F.filter("_cuts", lambda c: c["key"] <= F.col("_key"))))
+    dealt = at.withColumn("_cut", cut).withColumns({"_part": F.col("_cut.part"), "_begin": F.col("_cut.begin")}).drop("_cuts", "_cut", "_s").repartitionById(parts, "_part")
+    inside = Window.partitionBy("_part", "source").orderBy("_key", "_units").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_before", F.col("_begin") + F.coalesce(F.sum("_units").over(inside), F.lit(0)))
+    return _slotted(placed, plan, block_chars).sortWithinPartitions("_slot", "_before").select(*docs.columns)

@@ -120,7 +120,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = plan_rows(plan_bins(histogram, capacity))
     plan = spark.createDataFrame(rows, "_len long, _from long, _to long, _seq long, _each long, _off long")
-    ranked = salted_rank(table, ["length"], [F.col("_uid")], F.col("_uid"), "_rank")
+    ranked = salted_rank(table, ["length"], [F.col("_uid")], F.xxhash64("_uid"), "_rank")
     place = F.col("_rank") - F.col("_from")
     here = (F.col("_len") == F.col("length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     found = ranked.join(F.broadcast(plan), here).withColumns({"sequence_id": F.col("_seq") + F.expr("(_rank - _from) div _each"), "offset": F.col("_off") + F.pmod(place, F.col("_each")) * F.col("length")})
