@@ -457,6 +457,13 @@ def test_cached_tokenizer_equals_the_library():
         assert np.frombuffer(t.encode(text), "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(st.characters(max_codepoint=255), max_size=40), st.text("aAé ÉßÀ'sTte01²<|>endoftext\n\t\xa0\x85\x1c.,!", max_size=40), st.text(max_size=40)))
+def test_cached_tokenizer_equals_the_library_on_any_text(text):
+    t = tokenizer(VOCAB)
+    assert np.frombuffer(t.encode(text), "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("bits", [1, 8])
 def test_token_files(spark, odd, bits, monkeypatch):
     t = tokenizer(VOCAB).tokenizer
