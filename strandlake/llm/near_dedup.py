@@ -37,6 +37,8 @@ THRESHOLD = 0.75
 TILE, STRETCH, FIRST = 512, 4096, 8
 #: One in so many groups gives pairs in the first round.
 PARTS = 8
+#: Hash buckets that tell which texts a check needs.
+SIEVE = 1 << 18
 
 SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("registers", pa.binary()), ("bands", pa.binary())])
 BANDS = pa.schema([("band", pa.int64()), ("doc", pa.int64()), ("n", pa.int64())])
@@ -164,6 +166,16 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return _with_registers(pairs, classes).mapInArrow(run, "a long, b long")
 
 
+def _sought(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of texts whose doc may be among docs (doc), so that few other texts are shuffled.
+
+    Ids are held against a set of hash buckets, of which there are SIEVE at most, whatever docs holds.
+    """
+    bucket = F.pmod(F.xxhash64("doc"), F.lit(SIEVE))
+    buckets = docs.select(bucket.alias("_bucket")).distinct()
+    return texts.join(F.broadcast(buckets), bucket == F.col("_bucket"), "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets; docs has one row (doc, text) for each class."""
 
@@ -178,6 +190,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema=PAIRS)
             held = {own[-1]: held[own[-1]]} if own else held
 
+    docs = _sought(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")))
     right, left = docs.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), docs.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -330,7 +343,7 @@ def _linked_across(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> Da
     tiled = _tiled(open_)
     marks = stored(_dealt(tiled, classes).mapInArrow(mark, "band long, tile long, stretch long, kind int, doc long").distinct(), "marks")
     meeting = tiled.join(marks, [*KEY, "kind", "doc"], "left_semi")
-    return _dealt(meeting, classes, texts).mapInArrow(check, "a long, b long")
+    return _dealt(meeting, classes, _sought(texts, marks.select("doc"))).mapInArrow(check, "a long, b long")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
