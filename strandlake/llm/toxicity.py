@@ -8,6 +8,8 @@ model is one number per n-gram row, and scoring a text needs its words' sums alo
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,7 +62,7 @@ class SubwordModel:
             self.words = GenerationCache(None, self.limit)
         split = [t.lower().split() if t else [] for t in texts]
         self.words.turn()
-        new = list({w for ws in split for w in ws if w not in self.words})
+        new = self.words.missing(itertools.chain.from_iterable(split))
         if new:
             rows, counts = gram_rows(new, len(self.margins))
             sums = np.add.reduceat(self.margins[rows], np.cumsum(counts) - counts)
