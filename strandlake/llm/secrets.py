@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NAMES = "token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|passphrase|password|passwd|pwd|credentials?"
-ASSIGNED = rf"(?:{NAMES})[\"']?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}[\"']?([A-Za-z0-9+/_.~!@#$%^&*=-]{{8,200}})"
-KEYS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,100}|sk_live_[A-Za-z0-9]{16,100}|xox[abprs]-[A-Za-z0-9-]{10,100}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]{10,1000}"
-BLOCKS = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,10000}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+#: No form has an upper bound: runs are possessive, so a long secret is matched to its end in linear time.
+ASSIGNED = rf"(?:{NAMES})[\"']?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}[\"']?([A-Za-z0-9+/_.~!@#$%^&*=-]{{8,}}+)"
+#: Of several eyJ in one run of characters the first decides, so nearby ones aren't tried again.
+JWT = r"eyJ(?<!eyJ[A-Za-z0-9_-]{0,60}eyJ)[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
+KEYS = rf"AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}+|sk_live_[A-Za-z0-9]{{16,}}+|xox[abprs]-[A-Za-z0-9-]{{10,}}+|AIza[A-Za-z0-9_-]{{35}}|{JWT}"
+BLOCKS = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
 RULES = rf"(?i:{ASSIGNED})|{KEYS}|{BLOCKS}"
 #: Characters on either side of a candidate whose words count as its neighbours.
 AROUND = 48
@@ -244,7 +247,9 @@ def redacted_documents(spark: SparkSession, docs: DataFrame, forest: Forest | No
     """
     forest = forest or train_forest(spark)
     told = scored(docs, forest, path, threshold)
+    # Longest first: a value that another one begins with or holds would break that one up, and leave its rest.
     values = F.array_distinct(F.transform(F.filter("_findings", lambda c: c["is_secret"]), lambda c: c["value"]))
+    values = F.transform(F.reverse(F.array_sort(F.transform(values, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))), lambda x: x["v"])
     clean = F.when(F.size(values) > 0, F.aggregate(values, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MARK)))).otherwise(F.col("text"))
     out = told.withColumn("text", clean)
     if "n_chars" in docs.columns:

@@ -370,6 +370,25 @@ def test_secrets_of_odd_rows_run_without_python(spark, odd, empty):
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
 
 
+def letters(n, seed=3):
+    return "".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+
+
+def test_long_secrets_are_taken_to_their_end(spark):
+    jwt = "eyJ" + ".".join([letters(33), letters(850, 4), letters(43, 5)])
+    short = letters(40, 6)
+    values = [letters(600), jwt, "ghp_" + letters(300), "sk_live_" + letters(300), "xoxb-" + letters(300), letters(30_000), short + letters(500)]
+    texts = [f'token = "{values[0]}" end', f"token: {jwt} end", f"a {values[2]} end", f"a {values[3]} end", f"a {values[4]} end", f"secret={values[5]} end", f"token = {short} and token = {values[6]} end"]
+    df = documents(spark, texts)
+    got = {(r["doc_id"], r["secret_sha256"]): r for r in secrets.secret_findings(spark, df).collect()}
+    for i, v in enumerate(values):
+        r = got[i, hashlib.sha256(v.encode()).hexdigest()]
+        assert r["is_secret"] and texts[i][r["value_start"] :].startswith(v) and r["start"] + r["length"] == r["value_start"] + len(v)
+    clean = [r["text"] for r in secrets.redacted_documents(spark, df).orderBy("doc_id").collect()]
+    assert clean[:3] == ['token = "[SECRET]" end', "token: [SECRET] end", "a [SECRET] end"]
+    assert clean[3:] == ["a [SECRET] end", "a [SECRET] end", "secret=[SECRET] end", "token = [SECRET] and token = [SECRET] end"]
+
+
 # 6: mixing
 
 
