@@ -15,13 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NAMES = "token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|passphrase|password|passwd|pwd|credentials?"
-#: No form has an upper bound: runs are possessive, so a long secret is matched to its end in linear time.
-ASSIGNED = rf"(?:{NAMES})[\"']?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}[\"']?([A-Za-z0-9+/_.~!@#$%^&*=-]{{8,}}+)"
+#: A block reaches to the next five dashes; header lines and escaped or quoted line ends are part of it.
+BLOCK_REST = r"----BEGIN [A-Z0-9 ]*?PRIVATE KEY-----(?![^-]{0,15}-----)[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]*?PRIVATE KEY-----"
+BLOCKS = f"-{BLOCK_REST}"
+#: No form has an upper bound: runs are possessive, so a long secret is matched to its end in linear time. An assigned
+#: value is a block, or a run of characters that ends where a block begins.
+RUN, DASH = "[A-Za-z0-9+/_.~!@#$%^&*=]", f"-(?!(?-i:{BLOCK_REST}))"
+VALUE = f"(?-i:{BLOCKS})|(?=(?:{RUN}|{DASH}){{8}})(?:{RUN}++|{DASH})++"
+ASSIGNED = rf"(?:{NAMES})[\"']?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}[\"']?({VALUE})"
 #: Of several eyJ in one run of characters the first decides, so nearby ones aren't tried again.
 JWT = r"eyJ(?<!eyJ[A-Za-z0-9_-]{0,60}eyJ)[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
 KEYS = rf"AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}+|sk_live_[A-Za-z0-9]{{16,}}+|xox[abprs]-[A-Za-z0-9-]{{10,}}+|AIza[A-Za-z0-9_-]{{35}}|{JWT}"
-BLOCKS = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
-RULES = rf"(?i:{ASSIGNED})|{KEYS}|{BLOCKS}"
+RULES = f"{BLOCKS}|{KEYS}|(?i:{ASSIGNED})"
 #: Characters on either side of a candidate whose words count as its neighbours.
 AROUND = 48
 #: Common words of placeholders and identifiers, and frequent pairs of letters in prose.
@@ -60,7 +65,7 @@ def features(c: Column, path: Column) -> Column:
     v, size = c["value"], F.greatest(F.length(c["value"]), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / size
     low = F.lower(v)
-    known = c["found"].rlike(f"^(?:{KEYS}|{BLOCKS})$")
+    known = c["found"].rlike(f"^(?:{KEYS}|{BLOCKS})$") | v.rlike(f"^(?:{BLOCKS})$")
     bare = F.length(F.regexp_replace(low, "|".join(sorted(WORDS, key=lambda w: (-len(w), w))), ""))
     near = lambda pattern: F.regexp_count(F.lower(F.concat_ws(" ", c["before"], c["after"])), F.lit(rf"\b(?:{pattern})\b")).cast("double")
     closed = F.substring(c["after"], 1, 1).rlike("[\"'\\s]") | (F.length(c["after"]) == 0)
@@ -221,7 +226,9 @@ def scored(docs: DataFrame, forest: Forest, path: str | None, threshold: float)
     """docs with ``_findings``: an array of (start, found, value, score, is_secret) for the candidates of each text."""
     where = F.col(path) if path else F.lit("")
     cast = docs.withColumn("_found", candidates(F.col("text")))
-    judged = F.transform("_found", lambda c: F.struct(c["start"].alias("start"), c["found"].alias("found"), c["value"].alias("value"), forest.column(features(c, where)).alias("score")))
+    # Features are an array of their own first: within the forest's lambdas they would be computed at each node.
+    seen = F.transform("_found", lambda c: F.struct(c["start"].alias("start"), c["found"].alias("found"), c["value"].alias("value"), features(c, where).alias("x")))
+    judged = F.transform(seen, lambda c: F.struct(c["start"].alias("start"), c["found"].alias("found"), c["value"].alias("value"), forest.column(c["x"]).alias("score")))
     told = cast.withColumn("_scores", judged)
     return told.withColumn("_findings", F.transform("_scores", lambda c: F.struct(c["start"], c["found"], c["value"], c["score"], (c["score"] >= threshold).alias("is_secret")))).drop("_found", "_scores")
 

@@ -389,6 +389,28 @@ def test_long_secrets_are_taken_to_their_end(spark):
     assert clean[3:] == ["a [SECRET] end", "a [SECRET] end", "secret=[SECRET] end", "token = [SECRET] and token = [SECRET] end"]
 
 
+def key_block(kind="", headers="", end="\n", n=1600):
+    body = letters(n, len(kind))
+    return end.join([f"-----BEGIN {kind}PRIVATE KEY-----", *headers.splitlines(), *(body[i : i + 64] for i in range(0, n, 64)), f"-----END {kind}PRIVATE KEY-----"])
+
+
+def test_key_blocks_and_long_tokens_are_found_whole(spark):
+    jwt = "eyJ" + ".".join([letters(33), letters(3000, 4), letters(342, 5)])
+    legacy = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123456789ABCDEF\n\n"
+    values = [key_block(), key_block(end="\\n"), key_block("RSA ", legacy), key_block("RSA ", end="\\r\\n"), jwt, key_block("ENCRYPTED ", n=200_000), key_block("OPENSSH ", end='\\n" +\n  "')]
+    around = ["private_key: {}", '{{"private_key": "{}\\n"}}', "my key\n{}\n", '"pem": "{}"', "got {} back", "password=abcdefgh1234{}", 'k = "{}"']
+    texts = [a.format(v) for a, v in zip(around, values, strict=True)] + ["-----BEGIN PRIVATE KEY-----" + "a-b " * 100_000 + "eyJ" * 100_000]
+    df = documents(spark, texts, lambda i: "src0")
+    got = {(r["doc_id"], r["secret_sha256"]): r for r in secrets.secret_findings(spark, df).collect()}
+    for i, v in enumerate(values):
+        r = got[i, hashlib.sha256(v.encode()).hexdigest()]
+        assert r["is_secret"] and texts[i][r["value_start"] :].startswith(v), (i, r)
+    clean = [r["text"] for r in secrets.redacted_documents(spark, df).orderBy("doc_id").collect()]
+    for i, a in enumerate(around):
+        assert clean[i] == (a.format("[SECRET]") if i != 5 else "password=[SECRET][SECRET]")
+    assert clean[-1] == texts[-1]
+
+
 # 6: mixing
 
 
