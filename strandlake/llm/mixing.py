@@ -106,10 +106,11 @@ def _plan(spark: SparkSession, rows: DataFrame, weights: Mapping[str | None, flo
 def _slotted(placed: DataFrame, plan: DataFrame, block_chars: int) -> DataFrame:
     """Add _block, _slot and _phase to rows with _before; the plan has at most PLAN_ENTRIES slots."""
     blocked = placed.withColumn("_block", F.expr(f"_before div {block_chars}"))
-    joined = blocked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_end")))
+    joined = blocked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_end")), "left")
     nth = F.pmod(F.col("_block") - F.col("_first"), F.size("_slots"))
     slot = F.col("_base") + F.expr("(_block - _first) div size(_slots)") * F.col("_period") + F.element_at("_slots", (nth + 1).cast("int"))
-    return joined.withColumn("_slot", slot).drop("_source", "_first", "_end", "_base", "_period", "_slots")
+    lost = F.raise_error(F.lit("a row has no place in the plan")).cast("long")
+    return joined.withColumn("_slot", F.when(F.col("_first").isNull(), lost).otherwise(slot)).drop("_source", "_first", "_end", "_base", "_period", "_slots")
 
 
 def _placed(rows: DataFrame, plan: DataFrame, block_chars: int) -> DataFrame:
@@ -136,7 +137,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, weights: Mapping[str |
     """All rows of docs, with its columns, in the order of the mix (see ``schedule``): partition by partition, row by row.
 
     Places are found without the texts. They tell at which hash each source enters each stretch of slots, and by that
-    small table the rows with their texts go to the stretch's partition, in one shuffle.
+    small table the rows with their texts go to the stretch's partition, in one shuffle. Rows of a hash that reaches over
+    several stretches, as many identical rows do, are stored once and numbered, and so get places of their own.
     """
     rows = _measured(docs)
     slim = rows.select("source", "_units", "_key")
@@ -145,11 +147,26 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, weights: Mapping[str |
     slots = (places.agg(F.max("_slot")).first()[0] or 0) + 1
     parts = max(1, min(-(-units // part_chars), slots, CUTS // max(1, sources)))
     width = -(-slots // parts)
-    cuts = places.groupBy("source", F.expr(f"_slot div {width}").cast("int").alias("part")).agg(F.min(F.struct("_key", "_before")).alias("first"))
+    part = F.expr(f"_slot div {width}").cast("int")
+    bounds = places.groupBy("source", part.alias("part")).agg(F.min("_key").alias("lo"), F.max("_key").alias("hi"))
+    following = F.lead("lo").over(Window.partitionBy("source").orderBy("part"))
+    over = stored(bounds.withColumn("_lo", following).filter("hi = _lo").select(F.col("source").alias("_s"), F.col("hi").alias("_k")).distinct(), "split-keys")
+    of = lambda df, keys, how: df.join(F.broadcast(keys), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")), how)
+    split = not over.isEmpty()
+    cuts = (of(places, over, "left_anti") if split else places).groupBy("source", part.alias("part")).agg(F.min(F.struct("_key", "_before")).alias("first"))
     lists = cuts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.col("first._key").alias("key"), F.col("first._before").alias("begin"), "part"))).alias("_cuts")).withColumnRenamed("source", "_s")
-    at = rows.join(F.broadcast(lists), F.col("source").eqNullSafe(F.col("_s")))
+    at = (of(rows, over, "left_anti") if split else rows).join(F.broadcast(lists), F.col("source").eqNullSafe(F.col("_s")), "left")
     cut = F.element_at("_cuts", F.size(F.filter("_cuts", lambda c: c["key"] <= F.col("_key"))))
-    dealt = at.withColumn("_cut", cut).withColumns({"_part": F.col("_cut.part"), "_begin": F.col("_cut.begin")}).drop("_cuts", "_cut", "_s").repartitionById(parts, "_part")
+    lost = F.raise_error(F.lit("a row has no place in the plan")).cast("int")
+    known = at.withColumn("_cut", cut).withColumns({"_part": F.coalesce("_cut.part", lost), "_begin": F.col("_cut.begin"), "_own": F.lit(None).cast("long")}).drop("_cuts", "_cut", "_s")
+    if split:
+        first = of(places, over, "left_semi").groupBy(F.col("source").alias("_s"), F.col("_key").alias("_k")).agg(F.min("_before").alias("_begin"))
+        same = stored(of(rows, over, "left_semi").withColumn("_id", F.monotonically_increasing_id()), "split-rows").withColumn("_salt", F.xxhash64("_id"))
+        ranked = salted_rank(same, ["source", "_key"], [F.col("_salt"), F.col("_id")], F.col("_salt"), "_nth", F.col("_units"))
+        there = of(ranked, first, "inner").withColumn("_before", F.col("_begin") + F.col("_nth"))
+        known = known.unionByName(_slotted(there, plan, block_chars).withColumns({"_part": part, "_own": F.col("_before")}).select(*known.columns))
+    dealt = known.repartitionById(parts, "_part")
     inside = Window.partitionBy("_part", "source").orderBy("_key", "_units").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("_before", F.col("_begin") + F.coalesce(F.sum("_units").over(inside), F.lit(0)))
+    ahead = F.sum(F.when(F.col("_own").isNull(), F.col("_units"))).over(inside)
+    placed = dealt.withColumn("_before", F.coalesce("_own", F.col("_begin") + F.coalesce(ahead, F.lit(0)))).drop("_part", "_begin", "_own")
     return _slotted(placed, plan, block_chars).sortWithinPartitions("_slot", "_before").select(*docs.columns)

@@ -475,6 +475,16 @@ def test_mixed_rows_are_in_the_schedules_order(spark, monkeypatch):
     assert got == sorted(at, key=at.get) and mixed.columns == df.columns and mixed.rdd.getNumPartitions() > 5
 
 
+def test_identical_rows_over_several_partitions_stay(spark):
+    rows = [(None if i % 2 else i, f"{s} twice" * 9 if i % 2 else f"{s} {i} " * 8, "en", s, 0, 0.5, "x") for s in ("a", "b", None) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    at = sorted((r["slot"], r["before"], r["doc_id"], r["source"]) for r in mixing.schedule(spark, df, block_chars=500).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).withColumn("source", F.coalesce("source", F.lit("none"))).collect())
+    got = mixing.mixed_documents(spark, df, block_chars=500, part_chars=3000)
+    out = got.collect()
+    assert got.rdd.getNumPartitions() > 9 and sorted(map(str, map(tuple, out))) == sorted(map(str, rows))
+    assert [(-1 if r["doc_id"] is None else r["doc_id"], r["source"] or "none") for r in out] == [r[2:] for r in at]
+
+
 def test_mixing_odd_rows(spark, odd, empty):
     assert mixing.schedule(spark, odd).count() == len(ODD) + 2
     assert mixing.mixed_documents(spark, empty).count() == 0
