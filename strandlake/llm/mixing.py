@@ -39,7 +39,8 @@ def whole_weights(weights: list[float], resolution: int = RESOLUTION) -> list[in
         floor[order[i % len(order)]] += 1
         spare, i = spare - 1, i + 1
     while spare < 0:
-        big = max(range(len(floor)), key=lambda j: (floor[j] - exact[j] if floor[j] > 1 else -1.0, j))
+        # Never from a source at 1; the room is one unit a source at least, so another has more.
+        big = max((j for j in range(len(floor)) if floor[j] > 1), key=lambda j: ((floor[j] - 1) / exact[j], j))
         floor[big] -= 1
         spare += 1
     return floor

@@ -444,6 +444,13 @@ def test_whole_weights():
     assert sum(mixing.whole_weights([1e-9, 1, 3], 10)) == 10 and min(mixing.whole_weights([1e-9, 1, 3], 10)) == 1
 
 
+@pytest.mark.parametrize("sizes", [[1e10] + [1e3] * 20, [1e9] + [100] * 3, [1e9] * 5 + [1e3] * 50, [1e12] + [10] * 999, [1e12] + [10] * 1499])
+def test_whole_weights_of_a_hot_source_and_many_tiny_ones(sizes):
+    whole = mixing.whole_weights([n**0.5 for n in sizes])
+    assert min(whole) >= 1 and sum(whole) == max(mixing.RESOLUTION, len(sizes)) and max(whole) == whole[0]
+    mixing.period_slots(whole)
+
+
 def test_mixing_follows_the_weights(spark, monkeypatch):
     monkeypatch.setattr("strandlake.llm.common.RANK_ROWS", 30)
     rng = random.Random(4)
