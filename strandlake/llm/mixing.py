@@ -2,24 +2,26 @@
 
 A source's documents are cut to blocks of about equal size. The k-th block of a source with weight w may go to slots
 from floor((k - 1) / w) on and has the deadline ceil(k / w); of the blocks released, each slot takes the one with
-the earliest deadline. Weights are fractions over a common denominator, so the schedule repeats after that many
-slots: one period is simulated, and a block finds its slot by arithmetic. When a source has no blocks left, the
-others go on in a new phase with their weights scaled up to one. Within a phase no prefix deviates from the
-weights by a block or more.
+the earliest deadline. Weights are the asked ones as exact fractions over a common denominator. Slots are simulated
+until a source has no blocks left, or for one period, after which they repeat and a block finds its slot by
+arithmetic. The others then go on in a new phase with their weights scaled up to one. Within a phase no prefix
+deviates from the weights by a block or more. Only inputs of more than PLAN_ENTRIES blocks have rounded weights.
 """
 
 from __future__ import annotations
 
 import bisect
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import salted_rank, stored
 
-#: Characters of a block, the common denominator of weights, and entries of a plan at most.
+#: Characters of a block, the least common denominator of rounded weights, and entries of a plan at most.
 BLOCK_CHARS, RESOLUTION, PLAN_ENTRIES = 65_536, 1000, 4_000_000
 #: Characters of a partition of mixed rows, and entries of the table that leads rows to partitions at most.
 PART_CHARS, CUTS = 8 << 20, 500_000
@@ -46,8 +48,22 @@ def whole_weights(weights: list[float], resolution: int = RESOLUTION) -> list[in
     return floor
 
 
-def period_slots(weights: list[int]) -> list[list[int]]:
-    """The slots of each source in one period of sum(weights) slots, by earliest deadline among released blocks."""
+def exact_weights(weights: list[float]) -> list[int]:
+    """Positive whole weights in exactly the proportion of the given ones, of any size."""
+    if min(weights) <= 0:
+        raise ValueError("weights must be positive")
+    parts = [Fraction(w) for w in weights]
+    common = math.lcm(*(x.denominator for x in parts))
+    whole = [int(x * common) for x in parts]
+    most = math.gcd(*whole)
+    return [w // most for w in whole]
+
+
+def period_slots(weights: list[int], left: list[int] | None = None) -> list[list[int]]:
+    """The slots of each source in one period of sum(weights) slots, by earliest deadline among released blocks.
+
+    With ``left``, the blocks that each source has, slots end with the first source's last block.
+    """
     period = sum(weights)
     waiting = [(0, -(-period // w), i, 0) for i, w in enumerate(weights)]
     heapq.heapify(waiting)
@@ -61,6 +77,8 @@ def period_slots(weights: list[int]) -> list[list[int]]:
         if deadline <= t:
             raise AssertionError("a block missed its deadline")
         slots[i].append(t)
+        if left is not None and len(slots[i]) == left[i]:
+            break
         if k + 1 < weights[i]:
             heapq.heappush(waiting, ((k + 1) * period // weights[i], -(-(k + 2) * period // weights[i]), i, k + 1))
     return slots
@@ -68,19 +86,24 @@ def period_slots(weights: list[int]) -> list[list[int]]:
 
 def plan_phases(weights: list[int], blocks: list[int]) -> list[tuple[int, int, int, int, int, int, list[int]]]:
     """(source, phase, its first block in the phase, end block, first slot, period, slots in a period) rows."""
-    done, base, phase, rows = [0] * len(blocks), 0, 0, []
+    done, base, phase, rows, entries = [0] * len(blocks), 0, 0, [], 0
     while active := [i for i, n in enumerate(blocks) if done[i] < n]:
-        slots = period_slots([weights[i] for i in active])
-        period = sum(weights[i] for i in active)
-        last = lambda i, s: ((blocks[i] - done[i] - 1) // len(s)) * period + s[(blocks[i] - done[i] - 1) % len(s)] + 1
-        length = min(last(i, s) for i, s in zip(active, slots, strict=True))
+        left = [blocks[i] - done[i] for i in active]
+        slots = period_slots([weights[i] for i in active], left)
+        period = sum(map(len, slots))
+        if any(len(s) == n for s, n in zip(slots, left, strict=True)):
+            length = period
+        else:
+            last = lambda n, s: ((n - 1) // len(s)) * period + s[(n - 1) % len(s)] + 1
+            length = min(map(last, left, slots))
         for i, s in zip(active, slots, strict=True):
             served = length // period * len(s) + bisect.bisect_left(s, length % period)
             if served:
                 rows.append((i, phase, done[i], done[i] + served, base, period, s))
+                entries += len(s)
                 done[i] += served
         base, phase = base + length, phase + 1
-        if sum(len(r[6]) for r in rows) > PLAN_ENTRIES:
+        if entries > PLAN_ENTRIES:
             raise ValueError("too many sources for this resolution: lower it or merge small sources")
     return rows
 
@@ -99,7 +122,13 @@ def _plan(spark: SparkSession, rows: DataFrame, weights: Mapping[str | None, flo
     else:
         mean = sum(weights.values()) / max(1, len(weights))
         asked = [weights.get(s, mean) for s, _ in sizes]
-    plan = plan_phases(whole_weights(asked, resolution), [-(-n // block_chars) for _, n in sizes]) if sizes else []
+    blocks = [-(-n // block_chars) for _, n in sizes]
+    if sum(blocks) <= PLAN_ENTRIES:
+        whole = exact_weights(asked) if sizes else []
+    else:
+        # As fine as the plan has room for: a period for each phase, and a source ends with each.
+        whole = whole_weights(asked, max(resolution, PLAN_ENTRIES // len(sizes)))
+    plan = plan_phases(whole, blocks)
     named = [(sizes[i][0], *row) for i, *row in plan]
     return spark.createDataFrame(named, "_source string, _phase int, _first long, _end long, _base long, _period long, _slots array<int>"), len(sizes), sum(n for _, n in sizes)
 
@@ -126,7 +155,8 @@ def schedule(spark: SparkSession, docs: DataFrame, weights: Mapping[str | None,
     Every row comes once; sorted by (slot, before), rows are mixed. A row's units are the characters of its text, one
     at least. ``weights`` gives a target for each source (a source that it doesn't name, or null, gets the mean of the
     others); by default a source's weight is its units to the power ``exponent``. Rows of a source are taken in the
-    order of a hash, and a block is ``block_chars`` units. A null source is a source of its own. Identical rows are
+    order of a hash, and a block is ``block_chars`` units. Weights are exact up to PLAN_ENTRIES blocks; beyond, they are
+    rounded to fractions of ``resolution``, or of a larger number where the plan has room. A null source is a source of its own. Identical rows are
     interchangeable. An empty table gives no rows. Columns other than doc_id, source and text are ignored.
     """
     slim = _measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text")

@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import itertools
 import math
@@ -451,6 +452,30 @@ def test_whole_weights_of_a_hot_source_and_many_tiny_ones(sizes):
     mixing.period_slots(whole)
 
 
+@pytest.mark.parametrize("asked", [[1 / 3, 2 / 3], [n**0.5 for n in range(3, 60, 3)], [1e5, *[31.7] * 20]])
+def test_long_mixes_follow_the_asked_weights(spark, asked):
+    n = 60_000
+    blocks = [max(1, int(n * w / sum(asked))) for w in asked]
+    rows = spark.createDataFrame([(f"{i:02}", b * 10) for i, b in enumerate(blocks)], "source string, _units long")
+    plan, _, _ = mixing._plan(spark, rows, {f"{i:02}": w for i, w in enumerate(asked)}, 0.5, 10, mixing.RESOLUTION)
+    first = [r for r in plan.collect() if r["_phase"] == 0]
+    length = sum(r["_end"] - r["_first"] for r in first)
+    assert length > n * 0.9
+    for r in first:
+        k = np.arange(r["_end"] - r["_first"])
+        share, size = asked[int(r["_source"])] / sum(asked), len(r["_slots"])
+        at = k // size * r["_period"] + np.array(r["_slots"])[k % size]
+        # The source's deviation is largest just before and just after each of its blocks.
+        assert max(np.max(np.abs(k - at * share)), np.max(np.abs(k + 1 - (at + 1) * share))) < 1 + 1e-6
+
+
+def test_many_sources_keep_their_targets():
+    weights = mixing.exact_weights([1e6**0.5] + [1.0] * 1499)
+    plan = mixing.plan_phases(weights, [2000] + [2] * 1499)
+    head = [r for r in plan if r[0] == 0 and r[1] == 0][0]
+    assert abs(bisect.bisect_left(head[6], 1000) - 1000 * 1000 / 2499) < 1
+
+
 def test_mixing_follows_the_weights(spark, monkeypatch):
     monkeypatch.setattr("strandlake.llm.common.RANK_ROWS", 30)
     rng = random.Random(4)
