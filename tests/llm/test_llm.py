@@ -1,4 +1,3 @@
-import bisect
 import hashlib
 import itertools
 import math
@@ -415,86 +414,132 @@ def test_key_blocks_and_long_tokens_are_found_whole(spark):
 # 6: mixing
 
 
-@settings(max_examples=60)
-@given(st.lists(st.integers(1, 40), min_size=1, max_size=8))
-def test_schedule_is_pfair(weights):
-    slots = mixing.period_slots(weights)
-    assert sorted(itertools.chain(*slots)) == list(range(sum(weights)))
-    for i, w in enumerate(weights):
-        for k, t in enumerate(slots[i]):
-            assert k * sum(weights) // w <= t < -(-(k + 1) * sum(weights) // w)
-        for t in range(1, sum(weights) + 1):
-            assert abs(sum(s < t for s in slots[i]) - t * w / sum(weights)) < 1
-
-
-@settings(max_examples=40)
-@given(st.lists(st.tuples(st.integers(1, 30), st.integers(0, 70)), min_size=1, max_size=6))
-def test_phases_place_every_block_once(sources):
-    plan = mixing.plan_phases([w for w, _ in sources], [n for _, n in sources])
-    where = {}
-    for i, _, first, end, base, period, slots in plan:
-        for b in range(first, end):
-            where[i, b] = base + (b - first) // len(slots) * period + slots[(b - first) % len(slots)]
-    assert sorted(where) == sorted((i, b) for i, (_, n) in enumerate(sources) for b in range(n))
-    assert sorted(where.values()) == list(range(len(where)))
-    assert all(where[i, b] < where[i, b + 1] for i, b in where if (i, b + 1) in where)
-
-
-def test_whole_weights():
-    assert mixing.whole_weights([1, 1, 2], 100) == [25, 25, 50]
-    assert sum(mixing.whole_weights([1e-9, 1, 3], 10)) == 10 and min(mixing.whole_weights([1e-9, 1, 3], 10)) == 1
-
-
-@pytest.mark.parametrize("sizes", [[1e10] + [1e3] * 20, [1e9] + [100] * 3, [1e9] * 5 + [1e3] * 50, [1e12] + [10] * 999, [1e12] + [10] * 1499])
-def test_whole_weights_of_a_hot_source_and_many_tiny_ones(sizes):
-    whole = mixing.whole_weights([n**0.5 for n in sizes])
-    assert min(whole) >= 1 and sum(whole) == max(mixing.RESOLUTION, len(sizes)) and max(whole) == whole[0]
-    mixing.period_slots(whole)
+def check_plan(weights, blocks):
+    """Each block has a slot, and in each phase every block is within its window and every prefix within a block of its share."""
+    slots, phases = mixing.plan_slots(weights, blocks)
+    assert [len(s) for s in slots] == blocks and sorted(itertools.chain(*slots)) == list(range(sum(blocks)))
+    served = [0] * len(blocks)
+    for begin, end in zip(phases, [*phases, sum(blocks)][1:], strict=True):
+        active = [i for i, n in enumerate(blocks) if served[i] < n]
+        period = sum(weights[i] for i in active)
+        for i in active:
+            mine, w = [t - begin for t in slots[i] if begin <= t < end], weights[i]
+            for k, t in enumerate(mine):
+                assert k * period // w <= t < -(-(k + 1) * period // w)
+            # A source's deviation is largest just before and just after each of its blocks, and at the phase's end.
+            for k, t in [*enumerate(mine), *((k + 1, t + 1) for k, t in enumerate(mine)), (len(mine), end - begin)]:
+                assert abs(k * period - t * w) < period
+            served[i] += len(mine)
+        assert end == sum(blocks) or any(served[i] == blocks[i] for i in active)
+    assert served == blocks
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(0, 70)), min_size=1, max_size=8))
+def test_plan_is_pfair_and_places_every_block_once(sources):
+    check_plan([w for w, _ in sources], [n for _, n in sources])
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.floats(1e-3, 1e3), st.integers(1, 40)), min_size=1, max_size=30))
+def test_plan_is_pfair_for_weights_over_six_decades(sources):
+    check_plan(mixing.exact_weights([w for w, _ in sources]), [n for _, n in sources])
+
+
+@pytest.mark.parametrize("sizes", [[1e10] + [1e3] * 20, [1e9] + [100] * 3, [1e9] * 5 + [1e3] * 50, [1e12] + [10] * 999, [1e7] * 2 + [10] * 500])
+def test_hot_sources_and_many_tiny_ones_keep_their_targets(sizes):
+    weights = mixing.exact_weights([n**0.5 for n in sizes])
+    assert all(a * sizes[0] ** 0.5 == pytest.approx(weights[0] * n**0.5) for a, n in zip(weights, sizes, strict=True))
+    check_plan(weights, [min(2000, int(max(1, n // 65536))) for n in sizes])
+
+
+def test_a_plan_takes_time_with_its_blocks_not_its_sources():
+    import time
+
+    began = time.perf_counter()
+    slots, phases = mixing.plan_slots(mixing.exact_weights([float(i % 97 + 1) for i in range(100_000)]), [1] * 100_000)
+    assert len(phases) == 100_000 and sorted(s[0] for s in slots) == list(range(100_000))
+    assert time.perf_counter() - began < 30
 
 
 @pytest.mark.parametrize("asked", [[1 / 3, 2 / 3], [n**0.5 for n in range(3, 60, 3)], [1e5, *[31.7] * 20]])
-def test_long_mixes_follow_the_asked_weights(spark, asked):
+def test_long_mixes_follow_the_asked_weights(asked):
     n = 60_000
-    blocks = [max(1, int(n * w / sum(asked))) for w in asked]
-    rows = spark.createDataFrame([(f"{i:02}", b * 10) for i, b in enumerate(blocks)], "source string, _units long")
-    plan, _, _ = mixing._plan(spark, rows, {f"{i:02}": w for i, w in enumerate(asked)}, 0.5, 10, mixing.RESOLUTION)
-    first = [r for r in plan.collect() if r["_phase"] == 0]
-    length = sum(r["_end"] - r["_first"] for r in first)
-    assert length > n * 0.9
-    for r in first:
-        k = np.arange(r["_end"] - r["_first"])
-        share, size = asked[int(r["_source"])] / sum(asked), len(r["_slots"])
-        at = k // size * r["_period"] + np.array(r["_slots"])[k % size]
+    slots, phases = mixing.plan_slots(mixing.exact_weights(asked), [max(1, int(n * w / sum(asked))) for w in asked])
+    end = [*phases, n * 2][1]
+    assert end > n * 0.9
+    for w, mine in zip(asked, slots, strict=True):
+        at = np.array([t for t in mine if t < end])
+        k, share = np.arange(len(at)), w / sum(asked)
         # The source's deviation is largest just before and just after each of its blocks.
         assert max(np.max(np.abs(k - at * share)), np.max(np.abs(k + 1 - (at + 1) * share))) < 1 + 1e-6
 
 
-def test_many_sources_keep_their_targets():
-    weights = mixing.exact_weights([1e6**0.5] + [1.0] * 1499)
-    plan = mixing.plan_phases(weights, [2000] + [2] * 1499)
-    head = [r for r in plan if r[0] == 0 and r[1] == 0][0]
-    assert abs(bisect.bisect_left(head[6], 1000) - 1000 * 1000 / 2499) < 1
+def test_weights_must_be_positive_numbers():
+    for bad in ([1.0, 0.0], [1.0, -1.0], [float("nan")], [float("inf"), 1.0]):
+        with pytest.raises(ValueError, match="positive"):
+            mixing.exact_weights(bad)
+
+
+def brute_schedule(docs, asked, block):
+    """(doc_id, slot, phase) by earliest deadline, slot after slot, over rows (doc_id, source, units) in their sources' order."""
+    sources = sorted({s for _, s, _ in docs}, key=lambda s: (s is not None, s or ""))
+    chars = {s: 0 for s in sources}
+    blocks, out = {s: {} for s in sources}, []
+    for d, s, n in docs:
+        blocks[s].setdefault(chars[s] // block, []).append(d)
+        chars[s] += n
+    need = {s: -(-chars[s] // block) for s in sources}
+    done, slot, phase = dict.fromkeys(sources, 0), 0, 0
+    while left := [s for s in sources if done[s] < need[s]]:
+        total, begin, given_ = sum(asked[s] for s in left), slot, dict.fromkeys(left, 0)
+        while all(done[s] < need[s] for s in left):
+            t = slot - begin
+            ready = [s for s in left if given_[s] * total // asked[s] <= t]
+            s = min(ready, key=lambda s: (-(-(given_[s] + 1) * total // asked[s]), -asked[s], sources.index(s)))
+            out += [(d, slot, phase) for d in blocks[s].get(done[s], [])]
+            given_[s], done[s], slot = given_[s] + 1, done[s] + 1, slot + 1
+        phase += 1
+    return out
 
 
-def test_mixing_follows_the_weights(spark, monkeypatch):
+def test_mixing_equals_a_brute_force_schedule(spark, monkeypatch):
     monkeypatch.setattr("strandlake.llm.common.RANK_ROWS", 30)
     rng = random.Random(4)
     source = lambda i: None if i % 10 == 9 else ("hot" if i % 3 else "b")
-    df = documents(spark, ["x" * rng.randint(0, 90) for _ in range(900)], source)
+    df = documents(spark, ["x" * (4000 if i % 100 == 0 else rng.randint(0, 90)) for i in range(900)], source)
     got = mixing.schedule(spark, df, weights={"hot": 0.5, "b": 0.3}, block_chars=500).orderBy("slot", "before").collect()
     assert sorted(r["doc_id"] for r in got) == list(range(900))
-    blocks = {(r["source"], r["block"]): (r["slot"], r["phase"]) for r in got}
-    whole = mixing.whole_weights([0.4, 0.3, 0.5])
-    share = dict(zip([None, "b", "hot"], (w / sum(whole) for w in whole), strict=True))
-    first = sorted(s for (_, _), (s, p) in blocks.items() if p == 0)
-    for t in range(1, len(first)):
-        for s in share:
-            assert abs(sum(k == s and p == 0 and at < t for (k, _), (at, p) in blocks.items()) - t * share[s]) < 1 + 1e-9
-    for s in share:
+    asked = dict(zip([None, "b", "hot"], mixing.exact_weights([0.4, 0.3, 0.5]), strict=True))
+    ordered = sorted(got, key=lambda r: r["before"])
+    want = brute_schedule([(r["doc_id"], r["source"], r["units"]) for r in ordered], asked, 500)
+    assert sorted(want) == sorted((r["doc_id"], r["slot"], r["phase"]) for r in got)
+    for s in asked:
         at = 0
         for r in [r for r in got if r["source"] == s]:
             assert (r["before"], r["block"]) == (at, at // 500)
             at += r["units"]
+    # In characters a source is less than a block and its longest text off its share.
+    total, first = sum(asked.values()), [r for r in got if r["phase"] == 0]
+    for t in range(1, first[-1]["slot"] + 1, 7):
+        for s, w in asked.items():
+            assert abs(sum(r["units"] for r in first if r["source"] == s and r["slot"] < t) - 500 * t * w / total) < 500 + 4000
+
+
+def test_large_inputs_have_larger_blocks_and_exact_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PLAN_BLOCKS", 40)
+    df = documents(spark, ["z" * 50] * 900, lambda i: "hot" if i % 3 else "b")
+    got = mixing.schedule(spark, df, block_chars=500).collect()
+    assert max(r["slot"] for r in got) < 42 and all(r["block"] == r["before"] // 1125 for r in got)
+    assert sorted(map(str, rows(mixing.mixed_documents(spark, df, block_chars=500, part_chars=3000)))) == sorted(map(str, rows(df)))
+    with pytest.raises(ValueError, match="sources"):
+        mixing.schedule(spark, documents(spark, ["z"] * 50, str))
+
+
+def test_mixing_keeps_columns_of_its_own_names(spark):
+    df = documents(spark, [f"text {i}" for i in range(40)]).select("*", *[F.col("doc_id").alias(c) for c in ("_key", "_units", "_slot", "_block", "_before", "_part", "_row", "_cuts", "a.b")])
+    got = mixing.mixed_documents(spark, df, block_chars=50, part_chars=100)
+    assert got.columns == df.columns and sorted(map(str, rows(got))) == sorted(map(str, rows(df)))
 
 
 def test_mixed_rows_are_in_the_schedules_order(spark, monkeypatch):
