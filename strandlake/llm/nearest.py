@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .vector_blocks import STRIP, Heaps, every, grid, ranked, table_of, tiles, usable_vectors
+from .vector_blocks import STRIP, Heaps, every, found_schema, grid, ranked, table_of, tiles, usable_vectors
 
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+FOUND = found_schema(pa.float64())
 
 
 def int8_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -34,8 +34,8 @@ def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def search_block(ids, queries, stream, k: int):
-    """The k nearest of each query in a stream of tiles: (query id, ids, scores) parts.
+def search_block(ids, queries, stream, k: int) -> Heaps:
+    """The k nearest of each query in a stream of tiles.
 
     A block's queries are taken in strips, so that the bounds of a tile stay within some tens of megabytes.
     """
@@ -49,7 +49,7 @@ def search_block(ids, queries, stream, k: int):
         right = codes.astype(kind).T
         for begin in range(0, len(ids), STRIP):
             s = slice(begin, begin + STRIP)
-            own = ids[s, None] == v_ids[None, :]
+            own = ids[s, None, 0] == v_ids[None, :, 0]
             rough = (left[s] @ right).astype(np.float64) * q_scale[s, None] * scale[None, :]
             error = q_norm[s, None] * rest[None, :] + q_rest[s, None] * (norm + rest)[None, :]
             error += 1e-9 * (np.abs(rough) + error) + 1e-300
@@ -61,23 +61,24 @@ def search_block(ids, queries, stream, k: int):
             for i in np.flatnonzero(np.diff(cuts)).tolist():
                 near = cols[cuts[i] : cuts[i + 1]]
                 heaps.push(begin + i, exact_products(queries[begin + i], x[near]), v_ids[near])
-    return [(int(d), heaps.ids[i], heaps.scores[i]) for i, d in enumerate(ids) if len(heaps.ids[i])]
+    return heaps
 
 
 def nearest_neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score: the k vectors with the largest inner product for each query.
 
-    Queries are the vectors whose vec_id is divisible by ``query_every``; candidates are all but the query's own.
+    Queries are the rows whose vec_id is divisible by ``query_every``; candidates are all rows but the query's own.
     Ties go to the smaller vec_id. With fewer candidates than k all are returned, and a query without any gives
     no row. Vectors without an id, null or empty ones, zero ones, and those that hold null, NaN or infinity take
-    no part; vectors of different lengths don't meet. Of rows that repeat a vec_id one counts
-    (see usable_vectors). Columns other than vec_id and embedding are ignored.
+    no part; vectors of different lengths don't meet. Rows that repeat a vec_id are rows like others: each is a
+    candidate, also of the others, and each is a query, with ranks of its own. Columns other than vec_id and
+    embedding are ignored. Codes are made where tiles meet, which is a query block's part of a product's work.
     """
     table = usable_vectors(vectors, zero_counts=False)
 
     def run(batches):
         for ids, queries, _, stream in tiles(batches):
-            yield table_of(FOUND, search_block(ids, queries, stream, k))
+            yield table_of(FOUND, ids, search_block(ids, queries, stream, k))
 
-    found = grid(table.filter(every(query_every)), table).mapInArrow(run, "query_id long, vec_id long, score double")
-    return ranked(found, k)
+    found = grid(table.filter(every(query_every)), table).mapInArrow(run, "_query long, query_id long, _row long, vec_id long, score double")
+    return ranked(found, k).drop("_query")

@@ -279,13 +279,29 @@ GOOD = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 0.5]), (1, [1.0, 2.0]), (200
 def test_vectors_that_take_no_part(spark):
     df = spark.createDataFrame([(i, v, 0, 0.0, 0) for i, v in BAD + GOOD], VECTORS)
     got = rows(nearest.nearest_neighbours(df).orderBy("query_id", "rank"))
-    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 5)]
+    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 1), (0, 3, 2), (0, 4, 5)]
     top = rows(exact_topk.exact_topk(df, k=2).orderBy("query_id", "rank"))
-    assert [r[:3] for r in top] == [(0, 1, 1), (0, 2, 2), (100, 1, 0)][:2]
+    assert [r[:3] for r in top] == [(0, 1, 1), (0, 2, 1)]
     none = spark.createDataFrame([], VECTORS)
     assert nearest.nearest_neighbours(none).count() == 0 == exact_topk.exact_topk(none).count()
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_rows_that_repeat_an_id_all_count(spark, duck, kind):
+    rng = np.random.default_rng(7)
+    data = [(int(i), rng.integers(-3, 4, 3).astype(float).tolist()) for i in rng.integers(0, 60, 300)] + [(100, [1.0, 2.0, 3.0])] * 3
+    df = spark.createDataFrame(data, f"vec_id bigint, embedding array<{kind}>")
+    duck.execute(f"CREATE OR REPLACE TEMP TABLE repeated AS SELECT unnest({[d[0] for d in data]}) AS vec_id, CAST(unnest({[d[1] for d in data]}) AS {kind}[]) AS embedding")
+    for name, got in (("op3_nearest", nearest.nearest_neighbours(df)), ("op9_exact_topk", exact_topk.exact_topk(df))):
+        assert sorted(rows(got)) == sorted(duck.execute(catalog.SQL[name].replace("FROM embeddings", "FROM repeated")).fetchall())
+
+
+def test_topk_of_components_beyond_the_largest_double(spark):
+    df = spark.createDataFrame([(0, [1e308, 1.0]), (50, [-1e308, 2.0]), (1, [1e307, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, -1.0])], "vec_id bigint, embedding array<double>")
+    got = {(q, d): s for q, _, d, s in rows(exact_topk.exact_topk(df))}
+    assert got == {(0, 1): exact_topk.TOP, (0, 2): 65536, (0, 3): exact_topk.BOTTOM, (0, 50): exact_topk.BOTTOM, (50, 0): exact_topk.BOTTOM, (50, 1): exact_topk.BOTTOM, (50, 2): 131072, (50, 3): exact_topk.TOP}
+
+
 def test_topk_holds_scores_at_the_ends():
     assert exact_topk.exact_scores(np.array([2.0**40, 1.0]), np.array([[2.0**40, 0.0], [-(2.0**40), 0.0], [3.0, 2.0**20]])).tolist() == [exact_topk.TOP, exact_topk.BOTTOM, 3 * 2**40 + 2**20]
 
