@@ -67,6 +67,23 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             _delete(spark, d)
 
 
+def splittable(aggregated: DataFrame) -> DataFrame:
+    """An aggregate that is to be joined by its own keys with a table that may hold hot ones.
+
+    Without this the join shares the aggregate's shuffle, and then Spark's adaptive skew join can't deal a hot key of the
+    other side to several tasks. The rebalance parts the two, so that both sides of the join are shuffles of their own.
+    """
+    return aggregated.hint("rebalance")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a URI and the path in it: local, HDFS, S3, GCS or Azure."""
     return pafs.FileSystem.from_uri(uri)

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, splittable, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-    moved = both.filter("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = both.filter("v > u").join(splittable(least), F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(splittable(least.withColumnRenamed("u", "x")), F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -25,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) for the nodes of links (u, v); others aren't listed.
 
     Loops and repeated links do no harm; links with a null end are left out. Each round is written to shared
-    storage. Rounds grow with the logarithm of the longest chain, and a node of any degree is handled by
-    aggregates and joins, never gathered.
+    storage. Rounds grow with the logarithm of the longest chain, and a node of any degree is handled by partial
+    aggregates and by joins that can deal it to several tasks, never gathered.
     """
     spark = edges.sparkSession
     oriented = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))

@@ -5,7 +5,8 @@ in short: the number of leading zeros of what follows the bucket's bits, and the
 Documents with equal sets are one class from the start. Bands of registers deal classes to groups, apart by size, as
 sets whose sizes differ by more than a quarter can't be linked. In each group all members are paired with the
 smallest; pairs whose Jaccard estimate (corrected for chance collisions of short registers) may reach the threshold
-are checked on the full sets. Groups that then still hold several components are searched for links between these,
+are checked on the full sets. Sets of a few shingles leave most registers empty, so these are dealt to groups by a prefix
+of their shingles as well, which misses no link. Groups that then still hold several components are searched for links between these,
 against every member, so that no link is lost to the choice of the smallest.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, discard, mix64, stored, tune
+from .common import arrow_rows, discard, fresh, mix64, splittable, stored, tune
 from .components import components
 from .shingles import linked, shingle_sets
 
@@ -30,11 +31,17 @@ BAND_BUCKET_BITS, BAND_MANTISSA_BITS = 7, 26
 BAND_EMPTY = np.uint32(0xFFFFFFFF)
 #: Registers of a band. A pair at 0.75 shares one of the 32 bands but for 5 cases in a million.
 BAND_REGISTERS = 4
+N_BANDS = (1 << BAND_BUCKET_BITS) // BAND_REGISTERS
+#: Sets of at most so many shingles also have a key for each of the first of their hashes that a linked set must share one of.
+SMALL = 16
+PREFIX = SMALL - -(-3 * SMALL // 4) + 1
 #: Estimates this many standard deviations below the threshold are dropped without a check.
 DEVIATIONS = 4.5
 THRESHOLD = 0.75
 #: Members of a tile, and of a stretch of a group that streams past it; pairs that a member gives in a first round.
 TILE, STRETCH, FIRST = 512, 4096, 8
+#: The same while no texts are held.
+WIDE_TILE, WIDE_STRETCH = 2048, 8192
 #: One in so many groups gives pairs in the first round.
 PARTS = 8
 #: Hash buckets that tell which texts a check needs.
@@ -79,6 +86,35 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.where((out != BAND_EMPTY).any(1), key | np.uint64(1), np.uint64(0))
 
 
+def prefix_keys(hashes: np.ndarray) -> np.ndarray:
+    """PREFIX keys of a small set: its least hashes; 0 where there are fewer, and for other sets.
+
+    Linked sets share at least three quarters of either, so at most a quarter of a set's hashes come before the least
+    shared one: that is among the first n - ceil(3 n / 4) + 1 of both.
+    """
+    out, n = np.zeros(PREFIX, np.uint64), len(hashes)
+    if 0 < n <= SMALL:
+        some = hashes[: n - -(-3 * n // 4) + 1] | np.uint64(1)
+        out[: len(some)] = some
+    return out
+
+
+def keys_of(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set's groups, without its size: N_BANDS bands, then PREFIX hashes."""
+    return np.concatenate([band_keys(hashes), prefix_keys(hashes)])
+
+
+def first_shared(some: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The first key that each row of keys shares with ``own``: bands by place, then the least shared hash."""
+    same = (some[:, :N_BANDS] == own[:N_BANDS]) & (some[:, :N_BANDS] != 0)
+    key, lone = own[same.argmax(1)], ~same.any(1)
+    if lone.any():
+        prefix = some[lone, N_BANDS:]
+        hit = (prefix[:, :, None] == own[None, None, N_BANDS:]).any(2) & (prefix != 0)
+        key[lone] = prefix[np.arange(len(prefix)), hit.argmax(1)]
+    return key
+
+
 def cell(n: np.ndarray) -> np.ndarray:
     """The size class: sets that can be linked are in the same or in neighbouring ones. A set goes to its own and the next."""
     return np.floor(np.log(np.maximum(n, 1)) / np.log(4 / 3) + 1e-9).astype(np.int64)
@@ -125,13 +161,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist())
-            yield arrow_rows(SIGNATURES, doc_id=b.column(0), n_shingles=[len(s) for s in sets], digest=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], registers=[registers(s).tobytes() for s in sets], bands=[band_keys(s).tobytes() for s in sets])
+            yield arrow_rows(SIGNATURES, doc_id=b.column(0), n_shingles=[len(s) for s in sets], digest=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], registers=[registers(s).tobytes() for s in sets], bands=[keys_of(s).tobytes() for s in sets])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary, bands binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(band, doc, n) rows of classes (doc, n, bands): each band in use, for both of the class's sizes."""
+    """(band, doc, n) rows of classes (doc, n, bands): each key in use, for both of the class's sizes."""
 
     def run(batches):
         for b in batches:
@@ -205,15 +241,16 @@ def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = members.join(labels, F.col("doc") == F.col("node"), "left").select("band", "doc", F.coalesce("component", "doc").alias("label"))
     sizes = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
     groups = sizes.groupBy("band").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top")).filter("n > 2 and n > top.c").select(F.col("band").alias("g"), "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.c")).alias("others"))
-    return labelled.join(groups, F.col("band") == F.col("g")).drop("g")
+    return labelled.join(splittable(groups), F.col("band") == F.col("g")).drop("g")
 
 
-def _tiled(open_: DataFrame) -> DataFrame:
+def _tiled(open_: DataFrame, tile: int, stretch: int) -> DataFrame:
     """(band, tile, stretch, kind, doc, label, main): kind 0 rows are a tile's members, kind 1 rows stream past it.
 
     The members outside a group's largest component are cut to tiles; all members stream past each tile, in stretches.
+    A group of n members, o of them outside, gives some n * o * (1 / tile + 1 / stretch) rows.
     """
-    tiles, stretches = F.ceil(F.col("others") / TILE).cast("long"), F.ceil(F.col("n") / STRETCH).cast("long")
+    tiles, stretches = F.ceil(F.col("others") / tile).cast("long"), F.ceil(F.col("n") / stretch).cast("long")
     pick = lambda n, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), n)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     held = open_.filter("label <> main").select("band", pick(tiles, 1).alias("tile"), each(stretches).alias("stretch"), F.lit(0).alias("kind"), "doc", "label", "main")
@@ -261,8 +298,7 @@ def _meetings(batches):
             if len(rows):
                 rows = rows[may_link(t_regs[rows], regs[k][None, :], t_size[rows], size[k])]
             if len(rows):
-                shared = (t_keys[rows] == keys[k]) & (t_keys[rows] != 0)
-                rows = rows[group_key(keys[k][shared.argmax(1)], np.maximum(cell(t_size[rows]), cell(size[k]))) == here[0]]
+                rows = rows[group_key(first_shared(t_keys[rows], keys[k]), np.maximum(cell(t_size[rows]), cell(size[k]))) == here[0]]
             if len(rows):
                 yield here, tile, regs[k], int(docs[k]), int(label[k]), texts[k], rows
 
@@ -291,7 +327,7 @@ def _best_across(open_: DataFrame, classes: DataFrame) -> DataFrame:
                     del found[FIRST:]
         yield from flush()
 
-    return _dealt(_tiled(open_), classes).mapInArrow(run, "a long, b long")
+    return _dealt(_tiled(open_, WIDE_TILE, WIDE_STRETCH), classes).mapInArrow(run, "a long, b long")
 
 
 def _linked_across(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -340,7 +376,7 @@ def _linked_across(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> Da
             if out:
                 yield arrow_rows(PAIRS, **dict(zip(PAIRS.names, zip(*out, strict=True), strict=True)))
 
-    tiled = _tiled(open_)
+    tiled = _tiled(open_, TILE, STRETCH)
     marks = stored(_dealt(tiled, classes).mapInArrow(mark, "band long, tile long, stretch long, kind int, doc long").distinct(), "marks")
     meeting = tiled.join(marks, [*KEY, "kind", "doc"], "left_semi")
     return _dealt(meeting, classes, _sought(texts, marks.select("doc"))).mapInArrow(check, "a long, b long")
@@ -369,7 +405,7 @@ def link_classes(classes: DataFrame, texts: DataFrame, known: DataFrame) -> Data
     """
     rows = bands(classes)
     groups = rows.groupBy("band").agg(F.min(F.struct("doc", "n")).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("band").alias("g"), F.col("h.doc").alias("a"), F.col("h.n").alias("n_a"), "c")
-    members = stored(rows.join(groups, F.col("band") == F.col("g")).select("band", "doc", "n", "a", "n_a", "c"), "members")
+    members = stored(rows.join(splittable(groups), F.col("band") == F.col("g")).select("band", "doc", "n", "a", "n_a", "c"), "members")
     stars = members.filter("doc <> a and 100 * least(n, n_a) >= 75 * greatest(n, n_a)").select("band", "a", F.col("doc").alias("b"))
     # A part of the groups links most of what there is to link; the others then add pairs of different components only.
     tested = stored(_estimated(stars.filter(F.pmod(F.xxhash64("band"), F.lit(PARTS)) == 0).select("a", "b").distinct(), classes), "pairs")
@@ -412,3 +448,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with docs' columns: of each group of near duplicates that of the smallest doc_id.
+
+    Each row is a document of its own, also where it repeats a doc_id or has none: it goes only if its own text is
+    linked to another row's. Ties go to any one; a row without a doc_id stays if all of its group are such. Rows
+    without words stay. An empty table gives no rows.
+    """
+    own = fresh(docs, "_row")
+    rows = stored(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(spark, rows.select(F.col(own).alias("doc_id"), "text")).select(F.col("doc_id").alias("_own"), "component_id")
+    named = found.join(rows.select(F.col(own).alias("_id"), F.col("doc_id").cast("long").alias("doc_id")), F.col("_own") == F.col("_id"))
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_own")).alias("b")).select(F.col("b._own").alias("_kept"))
+    return rows.join(best, F.col(own) == F.col("_kept"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -158,6 +158,59 @@ def test_an_id_with_several_texts_links_them(spark):
     assert {r["component_id"] for r in near_dedup.near_duplicates(spark, df).collect()} == {1}
 
 
+def tiny_texts():
+    """Sets of 1 to 16 shingles a few deletions apart, many of which share no band."""
+    rng = random.Random(12)
+    out = []
+    for n in [*range(1, 17)] * 12:
+        base = [f"w{rng.randrange(1 << 30)}" for _ in range(n + 4)]
+        out += [" ".join(base), " ".join(base[rng.randint(0, 1) : len(base) - rng.randint(0, 1)])]
+        if n % 3 == 0:
+            out += [" ".join([*base, "and"]), " ".join(["so", *base, "and", "on"])]
+    return out
+
+
+def test_small_sets_meet_without_any_band(spark, monkeypatch):
+    texts = tiny_texts()
+    _, want = brute_components(texts)
+    monkeypatch.setattr(near_dedup, "band_keys", lambda hashes: np.zeros(near_dedup.N_BANDS, np.uint64))
+    sets = shingles.shingle_sets(texts)
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if shingles.linked(sets[i], sets[j]) and max(len(sets[i]), len(sets[j])) <= near_dedup.SMALL:
+            a, b = near_dedup.keys_of(sets[i]), near_dedup.keys_of(sets[j])
+            assert near_dedup.first_shared(a[None], b) == near_dedup.first_shared(b[None], a) != 0
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark, documents(spark, texts)).collect()}
+    assert len(set(want)) < len(texts) and [found[i] for i in range(len(texts))] == want
+
+
+def test_hot_keys_can_be_dealt_to_several_tasks(spark):
+    """Joins of an aggregate with its hot keys have shuffles of their own on both sides, which adaptive skew joins need."""
+    edges = spark.range(100).select(F.col("id").alias("u"), (F.col("id") % 3).alias("v"))
+    classes = spark.createDataFrame([], "band bigint, doc bigint, n bigint")
+    labels = spark.createDataFrame([], "node bigint, component bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (components._large_star(edges), components._small_star(edges), near_dedup._open_groups(classes.select("band", "doc"), labels)):
+            lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+            at = [i for i, x in enumerate(lines) if "SortMergeJoin" in x and ("[u#" in x or "[band#" in x)][0]
+            depth = lambda i: len(re.match(r"[ :|+-]*", lines[i])[0])
+            for i in [i for i in range(at + 1, len(lines)) if depth(i) == depth(at) + 3 and all(depth(j) > depth(at) for j in range(at + 1, i + 1))]:
+                assert "Sort " in lines[i] and "ENSURE_REQUIREMENTS" in lines[i + 1], df.columns
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_distinct_documents_judges_rows_not_ids(spark, odd, empty):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "some other words that stand alone here"
+    df = spark.createDataFrame([(5, a, 1), (5, b, 2), (3, a.upper(), 3), (7, c, 4), (7, c, 5), (None, c, 6), (None, b + "!", 7), (9, "", 8), (9, "", 9), (None, "quite another row of words", 10)], "doc_id bigint, text string, _row int")
+    got = near_dedup.distinct_documents(spark, df)
+    assert got.columns == df.columns
+    kept = sorted(map(tuple, got.collect()), key=str)
+    assert sorted(r[2] for r in kept if r[2] not in (4, 5)) == [2, 3, 7, 8, 9, 10] and sum(r[2] in (4, 5) for r in kept) == 1
+    assert near_dedup.distinct_documents(spark, empty).count() == 0
+    assert near_dedup.distinct_documents(spark, odd).count() == len(ODD) + 2 - 2
+
+
 def test_estimates_are_near_the_truth():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.75, 0.9):
