@@ -6,8 +6,7 @@ Stages are kept apart by Parquet: run() and the check tool write each result and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import mixing, near_dedup, packing, secrets, toxicity
 from strandlake.llm.catalog import table, vocabulary
@@ -24,13 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of near duplicates: that of the smallest doc_id. Rows without a doc_id stay."""
-    named = docs.filter("doc_id is not null")
-    kept = near_dedup.near_duplicates(spark, named.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    ours = named.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    # Rows that repeat a doc_id are one document; the join has put them together already.
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    return ours.withColumn("_nth", first).filter("_nth = 1").drop("_nth").union(docs.filter("doc_id is null"))
+    """Keep one row of each group of near duplicates: that of the smallest doc_id. Each row is judged by its own text."""
+    return near_dedup.distinct_documents(spark, docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
