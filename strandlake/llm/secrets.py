@@ -29,6 +29,8 @@ KEYS = rf"AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}+|sk_live_[A-Za-z0-9]{{
 RULES = f"{BLOCKS}|{KEYS}|(?i:{ASSIGNED})"
 #: Characters on either side of a candidate whose words count as its neighbours.
 AROUND = 48
+#: Candidates that are gathered at a time.
+BLOCK = 256
 #: Common words of placeholders and identifiers, and frequent pairs of letters in prose.
 WORDS = "test example sample dummy fake mock placeholder change changeme your here insert enter replace todo none null true false undefined default value string number object secret token password passwd user name admin root guest login access private public key api auth bearer config setting required optional invalid missing expired header field param request response server client session cookie random generate".split()
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
@@ -38,26 +40,49 @@ FEATURES = ["length", "digits", "upper", "symbols", "distinct", "letter_digit",
 MARK = "[SECRET]"
 
 
+def _collected(items: Column, state: dict[str, Column], step, kind: str) -> Column:
+    """What step adds while it goes over items: step(state, item) gives the next state and an element, or null to add none.
+
+    Elements are gathered in blocks, so that growing the array doesn't take the square of its length.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    start = F.struct(*[v.alias(k) for k, v in state.items()], none.alias("_block"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("_blocks"))
+
+    def merge(acc, item):
+        after, element = step(acc, item)
+        full = F.size(acc["_block"]) >= BLOCK
+        block = F.when(full, none).otherwise(acc["_block"])
+        blocks = F.when(full, F.concat(acc["_blocks"], F.array(acc["_block"]))).otherwise(acc["_blocks"])
+        return F.struct(*[v.alias(k) for k, v in after.items()], F.when(element.isNull(), block).otherwise(F.concat(block, F.array(element))).alias("_block"), blocks.alias("_blocks"))
+
+    return F.aggregate(items, start, merge, lambda acc: F.flatten(F.concat(acc["_blocks"], F.array(acc["_block"]))))
+
+
 def candidates(text: Column) -> Column:
-    """An array of candidates in the text's order: start (from 0), found, value, before and after."""
-    found = F.regexp_extract_all(text, F.lit(RULES), F.lit(0))
-    empty = F.expr("cast(array() as array<struct<start:int,found:string>>)")
-    start = F.struct(F.lit(1).alias("at"), empty.alias("out"))
+    """An array of candidates in the text's order: start (from 0), found, value, before and after.
+
+    The text is cut at its matches once; places and neighbours come from the pieces, in time with the text's length.
+    """
+    pieces = F.arrays_zip(F.split(text, RULES, -1).alias("part"), F.regexp_extract_all(text, F.lit(RULES), F.lit(0)).alias("found"))
+
+    def forward(acc, z):
+        start, before = acc["at"] + F.length(z["part"]), F.right(F.concat(acc["tail"], F.right(z["part"], F.lit(AROUND))), F.lit(AROUND))
+        after = {"at": start + F.length(z["found"]), "tail": F.right(F.concat(before, z["found"]), F.lit(AROUND))}
+        return after, F.when(z["found"].isNotNull(), F.struct(start.alias("start"), z["found"].alias("found"), before.alias("before")))
 
-    def place(acc, m):
-        here = F.call_function("locate", m, text, acc["at"])
-        return F.struct((here + F.length(m)).alias("at"), F.concat(acc["out"], F.array(F.struct((here - 1).alias("start"), m.alias("found")))).alias("out"))
+    def backward(acc, z):
+        head = F.concat(F.left(z["part"], F.lit(AROUND)), F.left(F.coalesce(z["found"], F.lit("")), F.lit(AROUND)), acc["head"])
+        return {"head": F.left(head, F.lit(AROUND))}, F.when(z["found"].isNotNull(), acc["head"])
 
-    placed = F.aggregate(F.coalesce(found, F.array().cast("array<string>")), start, place, lambda acc: acc["out"])
+    placed = _collected(pieces, {"at": F.lit(0), "tail": F.lit("")}, forward, "struct<start:int,found:string,before:string>")
+    ends = F.reverse(_collected(F.reverse(pieces), {"head": F.lit("")}, backward, "string"))
 
-    def describe(c):
+    def describe(c, after):
         value = F.regexp_extract(c["found"], f"^(?i:{ASSIGNED})$", 1)
         value = F.when(value == "", c["found"]).otherwise(value)
-        end = c["start"] + F.length(c["found"])
-        begin = F.greatest(c["start"] - AROUND, F.lit(0))
-        return F.struct(c["start"].alias("start"), c["found"].alias("found"), value.alias("value"), F.substring(text, begin + 1, c["start"] - begin).alias("before"), F.substring(text, end + 1, F.lit(AROUND)).alias("after"))
+        return F.struct(c["start"].alias("start"), c["found"].alias("found"), value.alias("value"), c["before"].alias("before"), after.alias("after"))
 
-    return F.transform(placed, describe)
+    return F.when(text.rlike(RULES), F.zip_with(placed, ends, describe)).otherwise(F.expr("cast(array() as array<struct<start:int,found:string,value:string,before:string,after:string>>)"))
 
 
 def features(c: Column, path: Column) -> Column:
