@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, open_fs, shared_dir, stored, tune
+from .common import arrow_rows, open_fs, shared_dir, splittable, stored, tune
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of one task's range, and of one read.
@@ -151,10 +151,13 @@ def write_warc(pages: DataFrame, path: str) -> DataFrame:
     tune(spark)
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"))
-    many = rows.filter(F.length("payload") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").select(F.col("digest").alias("shared"), "first")
-    marked = rows.join(many, F.col("digest") == F.col("shared"), "left")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    marked = marked.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    # Who revisits whom is found by ids and digests alone, and only revisits are joined to the payloads, by id as well as
+    # digest: so copies of one payload, however many, don't meet in one task.
+    slim = stored(rows.filter(F.length("payload") >= LEAST_SHARED).select("page_id", "digest"), "warc-digests")
+    many = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").select(F.col("digest").alias("_shared"), "first")
+    revisits = slim.join(splittable(many), F.col("digest") == F.col("_shared")).filter("page_id is null or page_id <> first").select("_shared", F.col("page_id").alias("_id"), F.col("first").alias("refers_to")).distinct()
+    marked = rows.join(revisits, (F.col("digest") == F.col("_shared")) & F.col("page_id").eqNullSafe(F.col("_id")), "left")
+    marked = marked.select("page_id", "url", "payload", "digest", "refers_to")
 
     def write(batches):
         files, where = open_fs(path)

@@ -388,6 +388,14 @@ def test_warc_round_trip_and_splits(spark):
     assert warc.list_warc(spark, files.first()["path"].rpartition("/")[0]).count() == files.count()
 
 
+def test_warc_with_clashing_columns_and_many_copies(spark):
+    text = "a page that says that there is no page " * 5
+    names = ("digest", "first", "shared", "_shared", "payload", "refers_to", "n", "_id", "path", "record_type")
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.when(F.col("id") % 4 != 3, F.lit(text)).otherwise(F.concat(F.lit(text), F.col("id").cast("string"))).alias("html"), *[F.lit("x").alias(c) for c in names])
+    got = warc.warc_round_trip(spark, pages).collect()
+    assert len(got) == 2000 and all((r["record_type"], r["refers_to"]) == (("revisit", 0) if r["page_id"] % 4 != 3 and r["page_id"] else ("response", None)) for r in got)
+
+
 def test_warc_of_no_pages(spark):
     assert warc.warc_round_trip(spark, spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
