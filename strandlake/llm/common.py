@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship, stored
+
+__all__ = ["shared_dir", "stored"]
 
 #: Rows of one Arrow batch; texts are long, and a worker holds one batch at a time.
 BATCH_ROWS = 256
@@ -27,22 +26,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the storage that driver and executors share.
-
-    It lies in ``spark.checkpoint.dir``. Only where that is unset and the master is local, as in
-    tests, a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -52,14 +35,6 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to shared storage and read it back: this cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that ``stored`` wrote and nothing reads any more."""
     for df in frames:
@@ -103,30 +78,39 @@ def text_chunks(texts: list[str | None], most: int = CHUNK_BYTES):
 
 
 class GenerationCache(dict):
-    """Values by key, made on first use, in two generations: memory is bounded and frequent keys stay."""
+    """Values by key, made on first use, in two generations: memory is bounded and frequent keys stay.
 
-    def __init__(self, make, limit: int):
+    A generation ends with ``limit`` keys or ``most`` characters of keys, whichever comes first.
+    """
+
+    def __init__(self, make, limit: int, most: int = 16 << 20):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.most, self.old, self.chars = make, limit, most, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         self[key] = value
+        self.chars += len(key)
         return value
 
     def missing(self, keys) -> list:
         """The keys that have no value yet, once each; those of the older generation are taken over."""
         new = set(keys).difference(self)
         known = new.intersection(self.old)
-        self.update((k, self.old[k]) for k in known)
+        self.learn(known, [self.old[k] for k in known])
         return list(new - known)
 
+    def learn(self, keys, values) -> None:
+        """Keep values that were made elsewhere."""
+        self.update(zip(keys, values, strict=True))
+        self.chars += sum(map(len, keys))
+
     def turn(self) -> None:
         """Begin a new generation if this one is full; call it between texts."""
-        if len(self) > self.limit:
-            self.old = dict(self)
+        if len(self) > self.limit or self.chars > self.most:
+            self.old, self.chars = dict(self), 0
             self.clear()
 
 

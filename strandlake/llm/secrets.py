@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 NAMES = "token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|passphrase|password|passwd|pwd|credentials?"
 #: A block reaches to the next five dashes; header lines and escaped or quoted line ends are part of it.
 BLOCK_REST = r"----BEGIN [A-Z0-9 ]*?PRIVATE KEY-----(?![^-]{0,15}-----)[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]*?PRIVATE KEY-----"
@@ -247,15 +249,14 @@ def train_forest(spark: SparkSession, findings: list[dict] | None = None, **opti
     return grow(np.array([r["x"] for r in got]), np.array([r["y"] for r in got]), **options)
 
 
-def scored(docs: DataFrame, forest: Forest, path: str | None, threshold: float) -> DataFrame:
-    """docs with ``_findings``: an array of (start, found, value, score, is_secret) for the candidates of each text."""
-    where = F.col(path) if path else F.lit("")
-    cast = docs.withColumn("_found", candidates(F.col("text")))
+def scored(docs: DataFrame, forest: Forest, path: str | None, threshold: float, to: str = "_findings") -> DataFrame:
+    """docs with a column ``to``: an array of (start, found, value, score, is_secret) for the candidates of each text."""
+    where, found, judged = F.col(f"`{path}`") if path else F.lit(""), fresh(docs, "_found"), fresh(docs, "_judged")
+    cast = docs.withColumn(found, candidates(F.col("text")))
     # Features are an array of their own first: within the forest's lambdas they would be computed at each node.
-    seen = F.transform("_found", lambda c: F.struct(c["start"].alias("start"), c["found"].alias("found"), c["value"].alias("value"), features(c, where).alias("x")))
-    judged = F.transform(seen, lambda c: F.struct(c["start"].alias("start"), c["found"].alias("found"), c["value"].alias("value"), forest.column(c["x"]).alias("score")))
-    told = cast.withColumn("_scores", judged)
-    return told.withColumn("_findings", F.transform("_scores", lambda c: F.struct(c["start"], c["found"], c["value"], c["score"], (c["score"] >= threshold).alias("is_secret")))).drop("_found", "_scores")
+    seen = F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["found"].alias("found"), c["value"].alias("value"), features(c, where).alias("x")))
+    told = cast.withColumn(judged, F.transform(seen, lambda c: F.struct(c["start"].alias("start"), c["found"].alias("found"), c["value"].alias("value"), forest.column(c["x"]).alias("score"))))
+    return told.withColumn(to, F.transform(judged, lambda c: F.struct(c["start"], c["found"], c["value"], c["score"], (c["score"] >= threshold).alias("is_secret")))).drop(found, judged)
 
 
 def secret_findings(spark: SparkSession, docs: DataFrame, forest: Forest | None = None, path: str | None = "source", threshold: float = 0.5) -> DataFrame:
@@ -278,12 +279,13 @@ def redacted_documents(spark: SparkSession, docs: DataFrame, forest: Forest | No
     n_chars, where docs has it, follows the new text. Rows without secrets are as they were.
     """
     forest = forest or train_forest(spark)
-    told = scored(docs, forest, path, threshold)
+    to = fresh(docs, "_findings")
+    told = scored(docs, forest, path, threshold, to)
     # Longest first: a value that another one begins with or holds would break that one up, and leave its rest.
-    values = F.array_distinct(F.transform(F.filter("_findings", lambda c: c["is_secret"]), lambda c: c["value"]))
+    values = F.array_distinct(F.transform(F.filter(to, lambda c: c["is_secret"]), lambda c: c["value"]))
     values = F.transform(F.reverse(F.array_sort(F.transform(values, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))), lambda x: x["v"])
     clean = F.when(F.size(values) > 0, F.aggregate(values, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MARK)))).otherwise(F.col("text"))
     out = told.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size(to) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -66,7 +66,7 @@ class SubwordModel:
         if new:
             rows, counts = gram_rows(new, len(self.margins))
             sums = np.add.reduceat(self.margins[rows], np.cumsum(counts) - counts)
-            self.words.update(zip(new, map(complex, sums.tolist(), counts.tolist()), strict=True))
+            self.words.learn(new, list(map(complex, sums.tolist(), counts.tolist())))
         get, out = self.words.__getitem__, []
         for ws in split:
             total = sum(map(get, ws), 0j)
@@ -74,18 +74,15 @@ class SubwordModel:
         return out
 
 
-def train(texts: list[str | None], labels: list[int], rows: int = 1 << 16, size: int = 4, steps: int = 480, rate: float = 1.0, batch: int = 128, seed: int = 7) -> SubwordModel:
-    """Fit embeddings and softmax together by minibatches with a step size for each weight (Adagrad).
+def train_weights(texts: list[str | None], labels: list[int], rows: int, size: int = 4, steps: int = 480, rate: float = 1.0, batch: int = 128, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, softmax weights and biases, fitted together by minibatches with a step size for each weight (Adagrad).
 
-    The loss is cross-entropy, and the number of steps doesn't depend on that of texts. Texts' n-grams are held as (row, weight) pairs, so memory follows the number of
-    distinct n-grams of the training texts.
+    The loss is cross-entropy, and the number of steps doesn't depend on that of texts. Texts' n-grams are held as
+    (row, weight) pairs, so memory follows the number of distinct n-grams of the training texts.
     """
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (rows, size))
     softmax, bias = rng.normal(0, 0.5, (2, size)), np.zeros(2)
-    if len(set(labels)) < 2:
-        share = (sum(labels) + 1) / (len(labels) + 2)
-        return SubwordModel(np.zeros(rows), float(np.log(share / (1 - share))))
     bags = []
     for t in texts:
         words = t.lower().split() if t else []
@@ -118,6 +115,15 @@ def train(texts: list[str | None], labels: list[int], rows: int = 1 << 16, size:
             g_bias += d_bias**2
             softmax -= pace * d_softmax / np.sqrt(g_softmax)
             bias -= pace * d_bias / np.sqrt(g_bias)
+    return table, softmax, bias
+
+
+def train(texts: list[str | None], labels: list[int], rows: int = 1 << 16, **options) -> SubwordModel:
+    """The model of ``train_weights``; labels of one kind alone give every text their share."""
+    if len(set(labels)) < 2:
+        share = (sum(labels) + 1) / (len(labels) + 2)
+        return SubwordModel(np.zeros(rows), float(np.log(share / (1 - share))))
+    table, softmax, bias = train_weights(texts, labels, rows, **options)
     return SubwordModel(table @ (softmax[1] - softmax[0]), float(bias[1] - bias[0]))
 
 

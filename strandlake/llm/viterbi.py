@@ -22,19 +22,30 @@ UNKNOWN_PENALTY = 10.0
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64())])
 
 
+def piece_scores(stated: list[float]) -> list[float]:
+    """Log probabilities of pieces from a file's scores.
+
+    A unigram model's scores are taken as they are. A merge model states ranks instead (0, -1, -2, ...), in order of
+    frequency; Zipf's law, p ~ 1 / rank, gives these a probability.
+    """
+    if any(s != -i for i, s in enumerate(stated)):
+        return stated
+    total = math.log(sum(1 / r for r in range(1, len(stated) + 1))) if stated else 0.0
+    return [-math.log(r) - total for r in range(1, len(stated) + 1)]
+
+
 def unigram_vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
     """(piece, log probability) for each piece of a SentencePiece file in its order, and the unknown piece's place.
 
-    The files at hand are ordered by frequency but state ranks, not probabilities; Zipf's law, p ~ 1 / rank,
-    gives these. Control and byte pieces aren't matched in text and are left out.
+    Control and byte pieces aren't matched in text and are left out. The file's normaliser isn't applied: texts are
+    counted as they are.
     """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
-    total = math.log(sum(1 / r for r in range(1, len(pieces) + 1)))
-    scored = [(p, -math.log(r) - total) for r, p in enumerate(pieces, 1)]
-    return [(model.id_to_piece(model.unk_id()), scored[-1][1]), *scored], 0
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
+    scored = list(zip(map(model.id_to_piece, ids), piece_scores([model.get_score(i) for i in ids]), strict=True))
+    return [(model.id_to_piece(model.unk_id()), min(s for _, s in scored)), *scored], 0
 
 
 class UnigramCounter:

@@ -55,10 +55,10 @@ def test_query_equals_sql(name, spark, sf_dir, compare):
 def test_generation_cache():
     made = []
     cache = GenerationCache(lambda k: made.append(k) or k * 2, 2)
-    for k in (1, 2, 3, 1):
+    for k in "1231":
         assert cache[k] == k * 2
         cache.turn()
-    assert made == [1, 2, 3] and len(cache) <= 3
+    assert made == ["1", "2", "3"] and len(cache) <= 3
     cache = GenerationCache(None, 2)
     for words, new in (("abc", "abc"), ("ad", "d"), ("bd", "")):
         found = cache.missing(words)
@@ -67,6 +67,17 @@ def test_generation_cache():
         cache.turn()
 
 
+def test_generation_cache_is_bounded_by_characters():
+    cache = GenerationCache(len, 10**9, most=1000)
+    for i in range(50):
+        assert cache[f"{i:0300}"] == 300
+        cache.turn()
+        assert sum(map(len, cache)) <= 1000 and sum(map(len, cache.old)) <= 1300
+    cache.learn(["x" * 2000], [1])
+    cache.turn()
+    assert not cache and cache.missing(["x" * 2000, "y"]) == ["y"]
+
+
 def test_salted_rank(spark, monkeypatch):
     monkeypatch.setattr("strandlake.llm.common.RANK_ROWS", 7)
     df = stored(spark.range(200).select("id", F.when(F.col("id") < 150, F.lit("hot")).when(F.col("id") < 190, F.lit("b")).alias("g"), (F.col("id") % 5 + 1).alias("w")), "t")
@@ -275,6 +286,12 @@ def test_count_ties_follow_the_library():
             assert counter.count_word(word) == complex(len(ids), ids.count(0)), (vocab, word)
 
 
+def test_piece_scores():
+    ranks = viterbi.piece_scores([0.0, -1.0, -2.0])
+    assert math.isclose(sum(map(math.exp, ranks)), 1) and math.isclose(ranks[0] - ranks[2], math.log(3))
+    assert viterbi.piece_scores([-2.5, -3.25, -1.0]) == [-2.5, -3.25, -1.0] and viterbi.piece_scores([]) == []
+
+
 def test_counts_of_odd_rows(spark, odd, empty):
     path = catalog.vocabulary("piece_bpe_32k.model")
     got = rows(viterbi.token_counts(odd, path))
@@ -440,6 +457,12 @@ def test_secrets_are_found_and_redacted(spark):
     assert [clean[i]["text"] for i in (2, 3)] == texts[2:4] and len(clean) == 5
 
 
+def test_redaction_keeps_columns_of_its_own_names(spark):
+    df = documents(spark, [f'token = "{HEX}"', "none"]).select("*", *[F.lit(i).alias(c) for i, c in enumerate(("_found", "_findings", "_judged", "_scores", "a.b"))])
+    got = secrets.redacted_documents(spark, df)
+    assert got.columns == df.columns and [tuple(r)[7:] for r in got.collect()] == [(0, 1, 2, 3, 4)] * 2
+
+
 def test_secrets_of_odd_rows_run_without_python(spark, odd, empty):
     df = secrets.secret_findings(spark, odd)
     assert df.count() == 0 == secrets.secret_findings(spark, empty).count()
@@ -822,6 +845,22 @@ def test_toxicity_learns_and_generalises():
     assert model.score([None, "", " "]) == model.score([""]) * 3
 
 
+def test_scores_are_plain_averages_under_a_softmax(monkeypatch):
+    """The folded model against embeddings that are averaged n-gram by n-gram and read by the softmax."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 7)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(120)] + [None, "", "ABC abc  abc"]
+    labels = [i % 3 == 0 for i in range(len(texts))]
+    kept = toxicity.train_weights(texts, [int(y) for y in labels], 1 << 10, steps=40)
+    monkeypatch.setattr(toxicity, "train_weights", lambda *a, **k: kept)
+    model, (table, softmax, bias) = toxicity.train(texts, [int(y) for y in labels], 1 << 10), kept
+    for t, got in zip(texts, model.score(texts), strict=True):
+        grams = [r for w in (t or "").lower().split() for r in toxicity.gram_rows([w], 1 << 10)[0].tolist()]
+        mean = np.mean([table[r] for r in grams], axis=0) if grams else np.zeros(table.shape[1])
+        e = np.exp(softmax @ mean + bias)
+        assert math.isclose(got, e[1] / e.sum(), rel_tol=1e-9)
+
+
 def test_gram_rows_by_definition():
     ids, counts = toxicity.gram_rows(["ab", "é", "ab", "longer"], 1 << 10)
     assert counts.tolist() == [sum(max(0, n - g + 1) for g in toxicity.GRAMS) + 1 for n in (4, 4, 4, 8)]
