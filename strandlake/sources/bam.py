@@ -2,7 +2,9 @@
 
 ``spark.read.format("bam").load(path)`` gives ALIGNMENTS. With an index beside a file (``x.bam.bai`` or ``x.bai``, or the
 option ``index``) the file is read in parts that begin at the index's offsets, and filters on ref_id, pos and end_pos
-leave out parts that can't hold a match; without one a file is a partition. With the option ``lazy`` (true) bases,
+leave out parts that can't hold a match. Without one it is read in parts of ``split`` bytes: a part finds its first record
+by the chain of records that follows, and the part before checks that it ends just there; if it doesn't, that is an
+error that asks for an index (``split`` 0: a file is a partition). With the option ``lazy`` (true) bases,
 qualities and tags are null and not decoded. The option ``part`` gives the ``header``
 (line_no, line) or the ``refs`` instead. ``spark.read.format("bai")`` gives the index's chunks, or with ``part`` =
 ``linear`` its linear offsets.
@@ -13,20 +15,23 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..functions.bins import LEVELS, UNMAPPED_BIN, UNPLACED_BIN
 from ..functions.cigar import OPS
 from ..functions.dna import BASE_CODES
 from ..schemas import ALIGNMENTS, BAI_BINS, BAI_LINEAR, REFS
-from .bgzf import BlockWriter, MemberReader
-from .files import list_files, open_input, open_output
+from .bgzf import BlockWriter, MemberReader, block_at
+from .files import in_batches, list_files, open_input, open_output
 
 FIXED = struct.Struct("<iiBBHHHiiii")
 NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 PART_BYTES = 32 << 20
+#: Records in a row that must fit together for a part's first to be believed, and bytes of a record at most.
+CHAIN, LONGEST = 12, 256 << 20
 
 
 def read_header(stream: MemberReader) -> tuple[str, list[tuple[str, int]]]:
@@ -147,6 +152,58 @@ def encode_record(r) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+def _fits(data: bytes, at: int, n_ref: int) -> int | None:
+    """The size of a record at a place if its fixed fields go together, else None; 0 if the data ends within them."""
+    if at + 4 + FIXED.size > len(data):
+        return 0
+    size = struct.unpack_from("<i", data, at)[0]
+    ref_id, pos, l_name, _, _, n_cigar, _, l_seq, next_ref, next_pos, _ = FIXED.unpack_from(data, at + 4)
+    least = FIXED.size + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq
+    if not (-1 <= ref_id < n_ref and -1 <= next_ref < n_ref and pos >= -1 and next_pos >= -1 and l_name >= 1 and l_seq >= 0 and least <= size <= LONGEST):
+        return None
+    name = data[at + 4 + FIXED.size : at + 4 + FIXED.size + l_name]
+    if len(name) == l_name and (name[-1] or any(not 33 <= c <= 126 for c in name[:-1])):
+        return None
+    return size + 4
+
+
+def first_record(source, size: int, begin: int, n_ref: int) -> int:
+    """The virtual offset of the first record that starts in a block at or after ``begin``; the file's end if none does.
+
+    A place counts if CHAIN records, or all up to the end of what was read, follow one another from there.
+    """
+    block = block_at(source, size, begin)
+    while block < size:
+        stream = MemberReader(source, size, block << 16)
+        # The first block with content is searched; what follows it serves to check the chain.
+        parts, here, length = [], None, 0
+        for at, part in stream.parts():
+            here = at if here is None else here
+            parts.append(part)
+            length += len(part)
+            if length > 1 << 19:
+                break
+        if here is None:
+            return size << 16
+        data, whole = b"".join(parts), stream.next >= size
+        numbers = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 4).astype(np.uint32) if len(data) >= 4 else np.zeros((0, 4), np.uint32)
+        sizes = (numbers @ np.array([1, 1 << 8, 1 << 16, 1 << 24], np.uint32))[: len(parts[0])].astype(np.int64)
+        for at in np.flatnonzero((sizes >= FIXED.size + 1) & (sizes <= LONGEST)).tolist():
+            place, n = at, 0
+            while n < CHAIN and place < len(data):
+                step = _fits(data, place, n_ref)
+                if step is None or (whole and (step == 0 or place + step > len(data))):
+                    break
+                if step == 0:
+                    n = CHAIN
+                else:
+                    place, n = place + step, n + 1
+            if n >= CHAIN or (n and place >= len(data)):
+                return here + at
+        block = block_at(source, size, (here >> 16) + 1)
+    return size << 16
+
+
 def read_index(data: bytes) -> dict:
     """bins {(ref, bin): [(beg, end)]}, linear {ref: [offsets]}, n_ref and unplaced of an index's bytes."""
     if data[:4] != b"BAI\x01":
@@ -214,17 +271,40 @@ def find_index(path: str, given: str | None = None) -> str | None:
     return None
 
 
+def indexed(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
+    """The alignments of a file, read through its index; where that is missing it is built.
+
+    A missing index is saved to ``index`` if that is given, and otherwise for the session only, in shared storage.
+    """
+    from ..operators.intervals import build_index
+    from ..session import shared_dir
+
+    try:
+        found = find_index(path, index)
+    except FileNotFoundError:
+        found = None
+    if found is None:
+        found = index or f"{shared_dir(spark, 'index')}/index.bai"
+        records, refs = spark.read.format("bam").load(path), spark.read.format("bam").option("part", "refs").load(path)
+        write_index(found, refs.count(), *build_index(records, refs))
+    return spark.read.format("bam").option("index", found).load(path)
+
+
 @dataclass
 class Part(InputPartition):
+    """A file from one virtual offset to another (None: its ends), or with ``span`` the records that start in those bytes."""
+
     path: str
     size: int
     begin: int | None
     end: int | None
+    span: tuple[int, int] | None = None
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.part, self.index = options.get("path"), options.get("part", "records"), options.get("index")
+    def __init__(self, options, schema):
+        self.path, self.part, self.index, self.schema = options.get("path"), options.get("part", "records"), options.get("index"), schema
+        self.split = int(options.get("split", PART_BYTES))
         self.keep = str(options.get("lazy", "false")).lower() != "true"
         self.ref, self.low, self.high = None, None, None
 
@@ -247,7 +327,10 @@ class BamReader(DataSourceReader):
                 continue
             index = find_index(path, self.index) if self.part == "records" else None
             if index is None:
-                out.append(Part(path, size, None, None))
+                if self.part == "records" and 0 < self.split < size:
+                    out += [Part(path, size, None, None, (at, min(size, at + self.split))) for at in range(0, size, self.split)]
+                else:
+                    out.append(Part(path, size, None, None))
                 continue
             with open_input(index) as source:
                 told = read_index(source.read())
@@ -277,6 +360,9 @@ class BamReader(DataSourceReader):
         return sorted(chunks)
 
     def read(self, partition):
+        return in_batches(self._read(partition), self.schema)
+
+    def _read(self, partition):
         with open_input(partition.path) as source:
             stream = MemberReader(source, partition.size)
             text, refs = read_header(stream)
@@ -287,17 +373,25 @@ class BamReader(DataSourceReader):
                 yield from ((i, name, length) for i, (name, length) in enumerate(refs))
                 return
             names = [name for name, _ in refs]
-            if partition.begin is not None:
-                stream = MemberReader(source, partition.size, partition.begin)
-            while True:
+            begin, end = partition.begin, partition.end
+            if partition.span:
+                low, high = partition.span
+                begin, end = first_record(source, partition.size, low, len(refs)) if low else None, high << 16
+            if begin is not None:
+                stream = MemberReader(source, partition.size, begin)
+            while stream.more():
                 begin = stream.voffset()
-                if partition.end is not None and begin >= partition.end:
-                    return
-                size = stream.read(4)
-                if not size:
-                    return
+                if end is not None and begin >= end:
+                    break
+                size = stream.exactly(4)
                 raw = stream.exactly(struct.unpack("<i", size)[0])
                 yield decode_record(raw, names, begin, stream.voffset(), self.keep)
+            if partition.span and high < partition.size:
+                here = stream.voffset() if stream.more() else partition.size << 16
+                if here < end:
+                    here = partition.size << 16
+                if first_record(source, partition.size, high, len(refs)) != here:
+                    raise ValueError(f"{partition.path} can't be split at {high} without an index: make one, or set split to 0")
 
 
 def _joined(chunks):
@@ -355,7 +449,7 @@ class BamSource(DataSource):
         return {"header": "line_no bigint, line string", "refs": REFS}.get(self.options.get("part"), ALIGNMENTS)
 
     def reader(self, schema):
-        return BamReader(self.options)
+        return BamReader(self.options, schema)
 
     def writer(self, schema, overwrite):
         return BamWriter(self.options, schema)

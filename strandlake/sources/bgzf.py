@@ -72,6 +72,10 @@ class MemberReader:
         self.block, self.data, self.at = self.size, b"", 0
         return False
 
+    def more(self) -> bool:
+        """Whether a byte is left; the place is then in the block that holds it."""
+        return self.at < len(self.data) or self._load()
+
     def voffset(self) -> int:
         """Where the next byte comes from; at a block's end that is the next block's start."""
         if self.at >= len(self.data):
@@ -90,6 +94,13 @@ class MemberReader:
             out.append(part)
         return b"".join(out)
 
+    def parts(self):
+        """(virtual offset, bytes) of what is left: the rest of the block, then block by block."""
+        while self.at < len(self.data) or self._load():
+            begin, part = self.voffset(), self.data[self.at :]
+            self.at = len(self.data)
+            yield begin, part
+
     def exactly(self, n: int) -> bytes:
         got = self.read(n)
         if len(got) < n:
@@ -109,12 +120,46 @@ def block_starts(source, size: int):
         at += told["block_size"]
 
 
+def block_at(source, size: int, begin: int) -> int:
+    """The offset of the first block that starts at or after ``begin``; the file's size if there is none.
+
+    A block is told from bytes that look like one by its header's block size, which leads to another block or to the end.
+    """
+    at = begin
+    while at < size:
+        source.seek(at)
+        window = source.read(min(1 << 17, size - at))
+        found = window.find(b"\x1f\x8b\x08\x04")
+        if found < 0:
+            at += max(1, len(window) - 3)
+            continue
+        at += found
+        hops, here = 0, at
+        while here < size and hops < 3:
+            source.seek(here)
+            try:
+                told = parse_member_header(source.read(min(1 << 12, size - here)))["block_size"]
+            except (ValueError, IndexError, struct.error):
+                told = None
+            if not told or told < 26:
+                break
+            here, hops = here + told, hops + 1
+        if hops == 3 or (hops and here == size):
+            return at
+        at += 1
+    return size
+
+
 class BlockWriter:
     """Writes BGZF: a member for each BLOCK_BYTES of content, and the empty block at the end."""
 
     def __init__(self, sink, level: int = 6):
         self.sink, self.level, self.held, self.at = sink, level, bytearray(), 0
 
+    def more(self) -> bool:
+        """Whether a byte is left; the place is then in the block that holds it."""
+        return self.at < len(self.data) or self._load()
+
     def voffset(self) -> int:
         return self.at << 16 | len(self.held)
 

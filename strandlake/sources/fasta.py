@@ -4,9 +4,14 @@ A record begins at a line that begins with ``>`` or ``@``; lines end with LF or
 FASTQ a line that begins with ``+`` opens the qualities, which go on until there are as many as bases or as many
 lines as sequence lines; so a quality line that begins with ``@`` is no record. Text is read as Latin-1.
 
-Options: ``markers`` (the letters that begin a record, ``>@``; with ``>`` alone there are no qualities), ``lazy`` (true: seq and quality are null), ``offset`` (of the record to resume at), ``split`` (bytes of a
-partition, for plain FASTA; FASTQ and gzip files are a partition each), and for writing ``width`` (50; 0: one line
-for a sequence) and ``gzip`` (true: blocked gzip files).
+Files are read in parts of ``split`` bytes: plain FASTA, blocked gzip (BGZF), and FASTQ with the option ``four_lines``
+(true: each record has four lines, by which a part can tell its first). Other gzip files, and FASTQ without that
+option, are a partition each. ``file_offset`` is the record's place in the text, and in BGZF its virtual offset.
+
+More options: ``markers`` (the letters that begin a record, ``>@``; with ``>`` alone there are no qualities), ``lazy``
+(true: seq and quality are null), ``offset`` (of the record to resume at), and for writing ``width`` (letters of a
+line; 0: one line for a sequence; by default 50, and one line for rows whose column ``multiline`` is false) and ``gzip``
+(true: BGZF files).
 """
 
 from __future__ import annotations
@@ -14,32 +19,45 @@ from __future__ import annotations
 import io
 import zlib
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schemas import SEQUENCES
-from .bgzf import BlockWriter, is_gzip
-from .files import list_files, open_input, open_output
+from .bgzf import BlockWriter, MemberReader, block_at, is_gzip, parse_member_header
+from .files import in_batches, list_files, open_input, open_output
 
 SPLIT = 64 << 20
 
 
+def lines_of(parts):
+    """(offset, line without its end) from (offset, bytes) parts; a line's offset is its part's and its place there."""
+    held, start = [], None
+    for at, part in parts:
+        rows = part.split(b"\n")
+        for k, row in enumerate(rows):
+            if start is None and (row or k + 1 < len(rows)):
+                start = at
+            held.append(row)
+            at += len(row) + 1
+            if k + 1 < len(rows):
+                yield start, b"".join(held).rstrip(b"\r")
+                held, start = [], None
+    if held and (line := b"".join(held)):
+        yield start, line.rstrip(b"\r")
+
+
 def lines_from(read, begin: int):
     """(offset, line without its end) of a byte stream; read(n) gives its next bytes."""
-    at, rest = begin, b""
-    while True:
-        part = read(1 << 20)
-        if not part:
-            if rest:
-                yield at, rest.rstrip(b"\r")
-            return
-        rest += part
-        rows = rest.split(b"\n")
-        for line in rows[:-1]:
-            yield at, line.rstrip(b"\r")
-            at += len(line) + 1
-        rest = rows[-1]
+
+    def parts():
+        at = begin
+        while part := read(1 << 20):
+            yield at, part
+            at += len(part)
+
+    return lines_of(parts())
 
 
 def records(lines, keep: bool = True, markers: bytes = b">@"):
@@ -80,10 +98,13 @@ def parse(data: bytes):
 
 @dataclass
 class Range(InputPartition):
+    """Bytes of a file; end is None for a whole one. kind: plain, blocked or gzip."""
+
     path: str
+    size: int
     begin: int
-    end: int
-    whole: bool
+    end: int | None
+    kind: str
 
 
 def inflated(source):
@@ -109,11 +130,35 @@ def inflated(source):
     return read
 
 
+def _before(found, end: int):
+    """Records that begin before ``end``."""
+    for r in found:
+        if r[5] >= end:
+            return
+        yield r
+
+
+def _from_record(lines):
+    """Lines from the first FASTQ record of four lines on.
+
+    A quality line may begin as a record does, but then a record's own first line comes next, and no sequence begins so.
+    """
+    held = list(islice(lines, 4))
+    while len(held) == 4:
+        (_, a), (_, b), (_, c), (_, d) = held
+        if a[:1] == b"@" and b[:1] not in (b"@", b"+", b">") and c[:1] == b"+" and len(b) == len(d):
+            yield from held
+            yield from lines
+            return
+        held = [*held[1:], *islice(lines, 1)]
+
+
 class FastaReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options.get("path")
+    def __init__(self, options, schema):
+        self.path, self.schema = options.get("path"), schema
         self.keep = str(options.get("lazy", "false")).lower() != "true"
         self.markers = options.get("markers", ">@").encode()
+        self.four_lines = str(options.get("four_lines", "false")).lower() == "true" and b"@" in self.markers
         self.offset, self.split = int(options.get("offset", 0)), int(options.get("split", SPLIT))
 
     def partitions(self):
@@ -121,29 +166,56 @@ class FastaReader(DataSourceReader):
         for path, size in list_files(self.path):
             with open_input(path) as source:
                 head = source.read(1 << 16)
-            text = head.lstrip(b"\r\n")
-            if is_gzip(head) or (text[:1] == b"@" and b"@" in self.markers):
-                out.append(Range(path, 0, size, True))
+            kind = "plain" if not is_gzip(head) else "blocked" if parse_member_header(head)["block_size"] else "gzip"
+            text = head if kind == "plain" else zlib.decompressobj(31).decompress(head, 1 << 16)
+            quality = text.lstrip(b"\r\n")[:1] == b"@" and b"@" in self.markers
+            if kind == "gzip" or (quality and not self.four_lines):
+                out.append(Range(path, size, 0, None, kind))
             else:
-                out += [Range(path, at, min(size, at + self.split), False) for at in range(0, size, self.split)]
-        return [p for p in out if p.whole or p.end > self.offset]
+                out += [Range(path, size, at, min(size, at + self.split), kind) for at in range(0, size, self.split)]
+        first = lambda p: self.offset >> 16 if p.kind == "blocked" else self.offset
+        return [p for p in out if p.end is None or p.end > first(p)]
 
     def read(self, partition):
-        with open_input(partition.path) as source:
-            zipped = is_gzip(source.read(3))
-            source.seek(0)
-            if zipped:
-                yield from self._rows(records(lines_from(inflated(source), 0), self.keep, self.markers), partition.path, self.offset)
+        return in_batches(self._read(partition), self.schema)
+
+    def _read(self, partition):
+        p = partition
+        with open_input(p.path) as source:
+            if p.kind == "gzip":
+                yield from self._rows(records(lines_from(inflated(source), 0), self.keep, self.markers), p.path, self.offset)
                 return
-            begin = max(partition.begin, self.offset)
-            # The byte before tells whether the range begins at a line's start.
-            source.seek(max(0, begin - 1))
-            rows = lines_from(source.read, max(0, begin - 1))
-            if begin:
-                next(rows, None)
-            end = None if partition.whole else partition.end
-            for r in self._rows(records(self._until(rows, end), self.keep, self.markers), partition.path, 0):
-                yield r
+            if p.kind == "blocked":
+                lines, begin = self._blocked(source, p)
+                end = None if p.end is None else p.end << 16
+            else:
+                begin, end = max(p.begin, self.offset), p.end
+                # The byte before tells whether the range begins at a line's start.
+                source.seek(max(0, begin - 1))
+                lines = lines_from(source.read, max(0, begin - 1))
+                if begin:
+                    next(lines, None)
+            if self.four_lines:
+                found = records(_from_record(lines) if begin else lines, self.keep, self.markers)
+                found = (r for r in found) if end is None else _before(found, end)
+            else:
+                found = records(self._until(lines, end), self.keep, self.markers)
+            yield from self._rows(found, p.path, begin)
+
+    def _blocked(self, source, p):
+        """Lines by virtual offset, and the first that this part may have."""
+        if self.offset >> 16 >= p.begin and self.offset:
+            # An offset is a record's own start, and so a line's.
+            return lines_of(MemberReader(source, p.size, self.offset).parts()), self.offset
+        if not p.begin:
+            return lines_of(MemberReader(source, p.size).parts()), 0
+        # From the block before on: a line is this part's if it starts in one of its blocks.
+        at = back = block_at(source, p.size, max(0, p.begin - (1 << 16)))
+        while at < p.begin:
+            source.seek(at)
+            back, at = at, at + parse_member_header(source.read(min(1 << 12, p.size - at)))["block_size"]
+        lines = lines_of(MemberReader(source, p.size, back << 16).parts())
+        return ((o, line) for o, line in lines if o >> 16 >= p.begin), p.begin << 16
 
     def _until(self, rows, end):
         """Lines up to the first record that begins at or after ``end``."""
@@ -179,13 +251,14 @@ class Written(WriterCommitMessage):
 
 class FastaWriter(DataSourceWriter):
     def __init__(self, options, schema, overwrite):
-        self.path, self.width = options.get("path"), int(options.get("width", 50))
+        self.path, self.width, self.fixed = options.get("path"), int(options.get("width", 50)), options.get("width") is not None
         self.gzip = str(options.get("gzip", "false")).lower() == "true"
         self.stops = options.get("markers", ">@")
         self.stops += "+" * ("@" in self.stops)
         names = schema.fieldNames()
         self.header, self.seq = names.index("header"), names.index("seq")
         self.quality = names.index("quality") if "quality" in names else None
+        self.multiline = names.index("multiline") if "multiline" in names else None
 
     def write(self, iterator):
         context = TaskContext.get()
@@ -197,7 +270,8 @@ class FastaWriter(DataSourceWriter):
                 if quality is not None:
                     text = f"@{row[self.header]}\n{seq}\n+\n{quality}\n"
                 else:
-                    text = f">{row[self.header]}\n" + "".join(x + "\n" for x in wrapped(seq, self.width or max(1, len(seq)), self.stops))
+                    single = not self.width or (not self.fixed and self.multiline is not None and row[self.multiline] is False)
+                    text = f">{row[self.header]}\n" + "".join(x + "\n" for x in wrapped(seq, max(1, len(seq)) if single else self.width, self.stops))
                 out.write(text.encode("latin-1", "replace"))
             if self.gzip:
                 out.close()
@@ -232,7 +306,7 @@ class FastaSource(DataSource):
         return SEQUENCES
 
     def reader(self, schema):
-        return FastaReader(self.options)
+        return FastaReader(self.options, schema)
 
     def writer(self, schema, overwrite):
         return FastaWriter(self.options, schema, overwrite)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 
 
@@ -38,3 +39,25 @@ def open_output(uri: str):
     files, path = open_fs(uri)
     files.create_dir(path.rpartition("/")[0] or "/", recursive=True)
     return files.open_output_stream(path, compression=None)
+
+
+def in_batches(rows, struct, most_rows: int = 4096, most_bytes: int = 8 << 20):
+    """Rows (tuples in the order of a Spark schema) as Arrow batches, each of a bounded number of rows and some megabytes."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(struct)
+    entries = lambda x: list(x.items()) if isinstance(x, dict) else x
+
+    def batch(held):
+        columns = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([entries(x) for x in c] if pa.types.is_map(f.type) else c, f.type) for f, c in zip(schema, columns, strict=True)], schema=schema)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) >= most_rows or size >= most_bytes:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)

@@ -1,5 +1,6 @@
 import gzip
 import io
+import random
 import struct
 
 import pytest
@@ -53,6 +54,61 @@ def test_long_lines_cross_reads():
     assert [(r[0], r[2]) for r in fasta.parse(data)] == [("a", 2_800_000), ("b", 1)]
 
 
+def test_one_long_line_takes_time_with_its_length():
+    import time
+
+    def took(n):
+        data = b">a\n" + b"ACGT" * (n << 18) + b"\n"
+        began = time.perf_counter()
+        assert next(iter(fasta.parse(data)))[2] == n << 20
+        return time.perf_counter() - began
+
+    took(4)
+    assert took(96) < 40 * took(8) + 1
+
+
+def fastq_text(rng, n):
+    rows = []
+    for i in range(n):
+        size = rng.randint(1, 90)
+        rows.append(f"@r{i}\n{''.join(rng.choices('ACGT', k=size))}\n+\n{''.join(rng.choices('@+>!I', k=size))}\n")
+    return "".join(rows).encode()
+
+
+@pytest.mark.parametrize("kind", ["fasta", "fastq"])
+def test_blocked_files_are_split(spark, tmp_path, kind):
+    rng = random.Random(5)
+    text = fastq_text(rng, 4000) if kind == "fastq" else "".join(f">s{i}\n" + "".join(rng.choices("ACGT", k=200_000 if i % 40 == 7 else rng.randint(0, 3000))) + "\n" for i in range(200)).encode()
+    with open(tmp_path / "a.gz", "wb") as f:
+        w = bgzf.BlockWriter(f)
+        w.write(text[:100_000])
+        w.close()
+        w = bgzf.BlockWriter(f)
+        w.write(text[100_000:])
+        w.close()
+    (tmp_path / "plain").write_bytes(text)
+    for name in ("a.gz", "plain"):
+        df = lambda **o: spark.read.format("fasta").options(four_lines=str(kind == "fastq").lower(), **o).load(str(tmp_path / name))  # noqa: B023, E731
+        want = [tuple(r) for r in df().orderBy("file_offset").select("header", "seq", "quality", "file_offset").collect()]
+        assert [r[:3] for r in want] == [(r[0], r[1], r[4]) for r in fasta.parse(text)]
+        for split in (1 << 14, 50_000, 1 << 17):
+            got = df(split=split)
+            assert got.rdd.getNumPartitions() > 1
+            assert sorted(tuple(r) for r in got.select("header", "seq", "quality", "file_offset").collect()) == sorted(want)
+        assert sorted(tuple(r) for r in df(split=50_000, offset=want[120][3]).select("header", "seq", "quality", "file_offset").collect()) == sorted(want[120:])
+
+
+def test_block_at(tmp_path):
+    out = io.BytesIO()
+    w = bgzf.BlockWriter(out)
+    w.write(bytes(random.Random(3).choices(b"\x1f\x8b\x08\x04BC", k=400_000)))
+    w.close()
+    raw = out.getvalue()
+    starts = [*bgzf.block_starts(io.BytesIO(raw), len(raw)), len(raw)]
+    for at in [0, 1, *(s + d for s in starts for d in (-1, 0, 1, 7) if 0 <= s + d <= len(raw))]:
+        assert bgzf.block_at(io.BytesIO(raw), len(raw), at) == next(s for s in starts if s >= at)
+
+
 @pytest.mark.parametrize("zipped", ["false", "true"])
 def test_fasta_write(spark, tmp_path, zipped):
     df = spark.createDataFrame([(f"s{i}", "ACGT" * i) for i in range(30)], "header string, seq string").repartition(3)
@@ -60,6 +116,14 @@ def test_fasta_write(spark, tmp_path, zipped):
     assert sorted(r[:2] for r in load(spark, tmp_path / "out")) == sorted((f"s{i}", "ACGT" * i) for i in range(30))
 
 
+def test_rows_are_written_as_they_were_read(spark, tmp_path):
+    df = spark.createDataFrame([("one", "ACGT" * 30, False), ("many", "ACGT" * 30, True)], "header string, seq string, multiline boolean").coalesce(1)
+    df.write.format("fasta").mode("append").save(str(tmp_path / "a"))
+    assert [r[0::3] for r in load(spark, tmp_path / "a")] == [("one", False), ("many", True)]
+    df.write.format("fasta").option("width", "60").mode("append").save(str(tmp_path / "b"))
+    assert [r[0::3] for r in load(spark, tmp_path / "b")] == [("one", True), ("many", True)]
+
+
 def test_no_line_begins_as_a_record():
     assert list(fasta.wrapped("ab@>+cdef@", 2)) == ["ab@>+", "cd", "ef@"]
     with pytest.raises(ValueError, match="begin"):
@@ -142,6 +206,35 @@ def test_index_finds_the_same_records(spark, bam_file, tmp_path):
     assert bam.read_index(raw)["unplaced"] == 1 and struct.unpack("<Q", raw[-8:])[0] == 1
 
 
+@pytest.mark.parametrize("long", [False, True])
+def test_files_without_an_index_are_split(spark, tmp_path, long):
+    rng = random.Random(2)
+    n = 3000
+    rows = [(f"q{i:05d}", 0, 0, 1 + i * 300, 30, "*", -1, 0, 0, s := "".join(rng.choices("ACGT", k=90_000 if long and i % 50 == 3 else rng.randint(0, 300))), None if i % 3 else "I" * len(s)) for i in range(n)]
+    df = spark.createDataFrame(rows, "qname string, flag int, ref_id int, pos int, mapq int, cigar string, next_ref_id int, next_pos int, tlen int, seq string, qual string").withColumn("tags", F.expr(TAGS))
+    df.coalesce(1).write.format("bam").option("header", HEADER).mode("append").save(str(tmp_path))
+    path = str(next(tmp_path.glob("*.bam")))
+    want = [tuple(r) for r in spark.read.format("bam").option("split", 0).load(path).orderBy("qname").select("qname", "seq", "qual", "voffset", "voffset_end", "tags.MD.s").collect()]
+    assert [r[0] for r in want] == [r[0] for r in rows]
+    for split in (9_000, 20_000, 70_000):
+        got = spark.read.format("bam").option("split", split).load(path)
+        assert got.rdd.getNumPartitions() > 2
+        assert [tuple(r) for r in got.orderBy("qname").select("qname", "seq", "qual", "voffset", "voffset_end", "tags.MD.s").collect()] == want
+
+
+def test_a_missing_index_is_built(spark, bam_file, tmp_path):
+    import shutil
+
+    copy, where = str(tmp_path / "y.bam"), "ref_id = 0 and pos < 450000 and end_pos > 440000"
+    shutil.copy(bam_file, copy)
+    want = sorted(r[0] for r in spark.read.format("bam").load(copy).filter(where).select("qname").collect())
+    assert sorted(r[0] for r in bam.indexed(spark, copy).filter(where).select("qname").collect()) == want
+    assert not (tmp_path / "z.bai").exists()
+    assert sorted(r[0] for r in bam.indexed(spark, copy, str(tmp_path / "z.bai")).filter(where).select("qname").collect()) == want
+    assert sniff(str(tmp_path / "z.bai")) == "bai"
+    assert sorted(r[0] for r in bam.indexed(spark, copy, str(tmp_path / "z.bai")).filter(where).select("qname").collect()) == want
+
+
 def test_lazy_alignments_and_sniffing(spark, bam_file, tmp_path):
     r = spark.read.format("bam").option("lazy", "true").load(bam_file).filter("qname = 'q00010'").first()
     assert (r["pos"], r["end_pos"], r["cigar"], r["seq"], r["qual"], r["tags"]) == (3001, 3007, "4M1I3M", None, None, None)
