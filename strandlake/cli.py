@@ -5,7 +5,8 @@
 -i STORE -o FILE HEADER [FROM [TO]]   extract a part of one sequence
 -i STORE -s [HEADER] PATTERN  positions of a pattern; -s FILE searches a query file on both strands and prints GFF
 -i STORE -c [HEADER] PATTERN  numbers of occurrences
--idx PATH                     with -o STORE: also write full-text indexes of the sequences there
+-idx PATH                     with -o STORE: also write full-text indexes of the sequences there;
+                              with -i STORE -s or -c PATTERN: answer from these instead of the sequences
 -t N                          cores; -v LEVEL log level; -h help
 
 Of -o, -s and -c the first of that order counts.
@@ -73,7 +74,8 @@ def run(spark: SparkSession, given: argparse.Namespace, out=sys.stdout) -> None:
             build_store(spark, given.input, path)
             if given.index:
                 rows = read_store(spark, path)
-                fmindex.build_indexes(rows).join(rows.select("header", "block_id", "ord"), "header").write.parquet(given.index)
+                keyed = rows.withColumn("_key", F.struct("block_id", "ord", "header"))
+                fmindex.build_indexes(keyed, "_key").select("_key.*", "n_bytes", "fm").write.parquet(given.index)
         elif rest:
             begin, end = int(rest[1]) if len(rest) > 1 else 0, int(rest[2]) if len(rest) > 2 else None
             search.extract(read_store(spark, given.input), rest[0], begin, end).select("bases").write.text(path)
@@ -89,22 +91,25 @@ def run(spark: SparkSession, given: argparse.Namespace, out=sys.stdout) -> None:
         for row in search.gff_lines(search.gff_search(sequences, queries)).toLocalIterator():
             print(row["line"], file=out)
         return
-    pattern = wanted[-1]
-    if len(wanted) == 2:
-        sequences = search.named(sequences, wanted[0])
-    keys = sequences.select("header", "block_id", "ord")
-    counts = search.count_pattern(sequences, pattern).join(keys, "header").orderBy("block_id", "ord")
+    pattern, place = wanted[-1], ("block_id", "ord")
+    if given.index and is_store:
+        held = spark.read.parquet(given.index)
+        if len(wanted) == 2:
+            held = search.named(held, wanted[0])
+        counts = held.select("header", *place, fmindex.fm_count(F.col("fm"), pattern).alias("n_matches")).filter("n_matches > 0")
+        hits = held.select("header", *place, fmindex.fm_locate(F.col("fm"), pattern).alias("places")).filter(F.size("places") > 0)
+    else:
+        if len(wanted) == 2:
+            sequences = search.named(sequences, wanted[0])
+        counts = search.count_pattern(sequences, pattern, keep=place)
+        found = sequences.filter(F.col("seq").contains(pattern))
+        hits = found.select("header", *place, search.positions_in(pattern)(F.col("seq")).alias("places"))
     if given.count:
-        for row in search.report_lines(counts).toLocalIterator():
+        for row in search.report_lines(counts.orderBy(*place)).toLocalIterator():
             print(row["line"], file=out)
         return
-    hits = search.locate_pattern(sequences, pattern).join(counts, "header").orderBy("block_id", "ord", "pos")
-    last = None
-    for row in hits.toLocalIterator():
-        if row["header"] != last:
-            last = row["header"]
-            print(f">{last} found : {row['n_matches']}", file=out)
-        print(row["pos"], file=out)
+    for row in hits.orderBy(*place).toLocalIterator():
+        print(f">{row['header']} found : {len(row['places'])}", *row["places"], sep="\n", file=out)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -30,9 +30,11 @@ class FmIndex:
         self.bwt, self.end, self.marks, self.samples = bwt, end, marks, samples
         counts = np.bincount(np.delete(bwt, end), minlength=256)
         self.before = 1 + np.concatenate([[0], np.cumsum(counts)[:-1]])
-        rows = np.zeros((len(bwt) // STEP + 1, 256), np.int64)
-        for i in range(1, len(rows)):
-            rows[i] = rows[i - 1] + np.bincount(bwt[(i - 1) * STEP : i * STEP], minlength=256)
+        full = len(bwt) // STEP
+        rows = np.zeros((full + 1, 256), np.int32 if len(bwt) < 1 << 31 else np.int64)
+        if full:
+            cells = np.arange(full * STEP) // STEP * 256 + bwt[: full * STEP]
+            np.cumsum(np.bincount(cells, minlength=full * 256).reshape(full, 256), axis=0, out=rows[1:])
         self.steps = rows
         self.marked = np.concatenate([[0], np.cumsum(marks)])
 
@@ -146,6 +148,29 @@ def fm_count(fm: Column, pattern: str) -> Column:
     return run(fm)
 
 
+def fm_interval(fm: Column, pattern: str) -> Column:
+    """struct<sp, ep>: the first and the last rank (from 0, without the end mark's) of the suffixes that begin with the pattern; null for none."""
+    sought = pattern.encode()
+    if not sought:
+        raise ValueError("the pattern is empty")
+
+    @F.arrow_udf("struct<sp:bigint,ep:bigint>")
+    def run(raws: pa.Array) -> pa.Array:
+        load, out = loader(), []
+        for r in raws.to_pylist():
+            low, high = (0, 0) if r is None else load(r).interval(sought)
+            out.append({"sp": low - 1, "ep": high - 2} if low < high else None)
+        return pa.array(out, pa.struct([("sp", pa.int64()), ("ep", pa.int64())]))
+
+    return run(fm)
+
+
+def backward_search(indexes: DataFrame, pattern: str, key: str = "header") -> DataFrame:
+    """(key, sp, ep, n): the interval of ranks whose suffixes begin with the pattern, from the indexes alone; keys without one aren't listed."""
+    found = indexes.select(key, fm_interval(F.col("fm"), pattern).alias("_i")).filter("_i is not null")
+    return found.select(key, "_i.sp", "_i.ep", (F.col("_i.ep") - F.col("_i.sp") + 1).alias("n"))
+
+
 def fm_locate(fm: Column, pattern: str) -> Column:
     """Ascending positions of the pattern, from the index alone."""
     sought = pattern.encode()

@@ -53,17 +53,17 @@ def positions_in(pattern: str, most: int | None = None):
     return locate
 
 
-def count_pattern(sequences: DataFrame, pattern: str, header: str = "header", seq: str = "seq") -> DataFrame:
-    """header and n_matches of the sequences that have the pattern; the filter reaches the Parquet scan."""
+def count_pattern(sequences: DataFrame, pattern: str, header: str = "header", seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """header and n_matches of the sequences that have the pattern, with the columns to keep; the filter reaches the Parquet scan."""
     hits = sequences.filter(F.col(seq).contains(_checked(pattern)))
-    return hits.select(F.col(header), count_in(F.col(seq), pattern).alias("n_matches"))
+    return hits.select(F.col(header), *keep, count_in(F.col(seq), pattern).alias("n_matches"))
 
 
-def locate_pattern(sequences: DataFrame, pattern: str, header: str = "header", seq: str = "seq") -> DataFrame:
-    """header and pos, a row for each occurrence."""
+def locate_pattern(sequences: DataFrame, pattern: str, header: str = "header", seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """header and pos, a row for each occurrence, with the columns to keep."""
     ship(sequences.sparkSession)
     hits = sequences.filter(F.col(seq).contains(_checked(pattern)))
-    return hits.select(F.col(header), F.explode(positions_in(pattern)(F.col(seq))).alias("pos"))
+    return hits.select(F.col(header), *keep, F.explode(positions_in(pattern)(F.col(seq))).alias("pos"))
 
 
 def named(sequences: DataFrame, name, header: str = "header") -> DataFrame:

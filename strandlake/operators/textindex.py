@@ -88,16 +88,6 @@ def suffix_array(texts: DataFrame, key: str = "header", text: str = "seq") -> Da
     return texts.select(key, text).mapInArrow(run, f"{key} {kind}, sa_rank bigint, pos bigint, bwt string")
 
 
-def backward_search(sa: DataFrame, texts: DataFrame, pattern: str, key: str = "header", text: str = "seq") -> DataFrame:
-    """(key, sp, ep, n): the interval of ranks whose suffixes begin with the pattern; keys without one aren't listed."""
-    if not pattern:
-        raise ValueError("the pattern is empty")
-    known = texts.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    here = F.substring(F.col("_t"), (F.col("pos") + 1).cast("int"), F.lit(len(pattern))) == pattern
-    hits = sa.join(known, F.col(key) == F.col("_k")).filter(here)
-    return hits.groupBy(key).agg(F.min("sa_rank").alias("sp"), F.max("sa_rank").alias("ep"), F.count(F.lit(1)).alias("n"))
-
-
 def sampled(sa: DataFrame, factor: int = 32) -> DataFrame:
     """The entries of a suffix array whose position is a multiple of the factor."""
     return sa.filter(F.col("pos") % factor == 0)
@@ -159,6 +149,28 @@ def canonical_codes(lengths: dict[str, int]) -> dict[str, str]:
     return out
 
 
+def encode_text(text: str, codes: dict[str, str]) -> bytes:
+    """The letters' codes one after another, first bit first, with zeros to the last byte's end."""
+    bits = "".join(map(codes.__getitem__, text))
+    return int(bits + "0" * (-len(bits) % 8) or "0", 2).to_bytes(-(-len(bits) // 8))
+
+
+def decode_text(data: bytes, n: int, codes: dict[str, str]) -> str:
+    """The first n letters of what encode_text made."""
+    letters_ = {c: s for s, c in codes.items()}
+    out, code = [], ""
+    for bit in format(int.from_bytes(data), f"0{8 * len(data)}b") if n else "":
+        code += bit
+        if code in letters_:
+            out.append(letters_[code])
+            code = ""
+            if len(out) == n:
+                return "".join(out)
+    if n:
+        raise EOFError("the data ends before the last letter")
+    return ""
+
+
 def huffman_codes(counts: DataFrame, most: int = 15) -> DataFrame:
     """(ch, n, bits, code) for a histogram (ch, n), which has a row a symbol and so comes to the driver."""
     rows = {r["ch"]: r["n"] for r in counts.collect()}

@@ -466,8 +466,7 @@ def q_sampled_sa(spark, sf_dir):
 
 @query(f"SELECT header, min(sa_rank) AS sp, max(sa_rank) AS ep, count(*) AS n FROM {SUFFIXES} WHERE substring(url, pos + 1, 2) = 'th' GROUP BY header")
 def q_backward_search(spark, sf_dir):
-    a = addresses(spark, sf_dir)
-    return textindex.backward_search(textindex.suffix_array(a), a, "th")
+    return fmindex.backward_search(fmindex.build_indexes(addresses(spark, sf_dir)), "th")
 
 
 @query("""SELECT doc_id AS header, ((n - 1) >> 16) * 6 + ((n - 1) >> 9) * 2 + ((n + 7) >> 3) AS bit_bytes,

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandlake.operators import blocks, intervals, search, textindex
+from strandlake.operators import blocks, fmindex, intervals, search, textindex
 
 SEQUENCES = [("chr1", "AAAACGTTTTACGT"), ("chr2", "ACGTN"), ("chr3", "ttacgtA"), ("dup", "GATTACA"), ("dup", "GATTACA"), ("empty", ""), ("null", None)]
 
@@ -140,7 +140,13 @@ def test_suffix_array_equals_sorting(spark, texts):
 
 def test_backward_search(spark, seqs):
     known = seqs.filter("header = 'chr1'")
-    assert rows(textindex.backward_search(textindex.suffix_array(known), known, "ACGT").select("header", "n")) == [("chr1", 2)]
+    order = sorted(range(14), key=lambda p: SEQUENCES[0][1][p:])
+    ranks = sorted(order.index(p) for p in (3, 10))
+    indexes = fmindex.build_indexes(known)
+    assert rows(fmindex.backward_search(indexes, "ACGT")) == [("chr1", ranks[0], ranks[1], 2)]
+    assert rows(fmindex.backward_search(indexes, "GGG")) == []
+    with pytest.raises(ValueError, match="empty"):
+        fmindex.backward_search(indexes, "")
 
 
 @given(st.dictionaries(st.characters(codec="ascii"), st.integers(1, 10**9), min_size=1, max_size=60), st.integers(6, 15))
@@ -152,6 +158,16 @@ def test_code_lengths_are_a_prefix_code(counts, most):
     assert all(not b.startswith(a) for a, b in zip(codes, codes[1:], strict=False))
 
 
+@given(st.text("abcdé", max_size=60))
+def test_codes_round_trip(text):
+    codes = textindex.canonical_codes(textindex.code_lengths(collections.Counter(text + "ab")))
+    packed = textindex.encode_text(text, codes)
+    assert len(packed) == -(-sum(len(codes[c]) for c in text) // 8) and textindex.decode_text(packed, len(text), codes) == text
+    if len(text) > 8:
+        with pytest.raises(EOFError):
+            textindex.decode_text(packed[:-1][:1], len(text), codes)
+
+
 def test_skewed_codes():
     lengths = textindex.code_lengths({chr(i): i * i + 1 for i in range(256)})
     assert max(lengths.values()) <= 15 and lengths[chr(255)] <= lengths[chr(1)]

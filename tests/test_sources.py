@@ -282,10 +282,26 @@ def test_command_line(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "seq")).collect()] == ["AACG"]
     cli.run(spark, cli.arguments(["-i", store, "-o", str(tmp_path / "fasta")]))
     assert [r[0] for r in sorted(spark.read.text(str(tmp_path / "fasta")).collect())] == sorted([">chr1", "AAAACGTTTTACGT", ">dup", "GATTACA", ">chr2", "ACGTN"])
+    for path in ([], ["-idx", str(tmp_path / "fm")]):
+        cli.run(spark, cli.arguments(["-i", store, "-c", "AC", *path]), out := io.StringIO())
+        assert out.getvalue().splitlines() == [">chr1 found : 2", ">dup found : 1", ">chr2 found : 1"]
+        cli.run(spark, cli.arguments(["-i", store, "-s", "AC", *path]), out := io.StringIO())
+        assert out.getvalue().split("\n")[:3] == [">chr1 found : 2", "3", "10"]
     with pytest.raises(SystemExit):
         cli.arguments(["-i", "x", "-c", "a", "b", "c"])
 
 
+def test_command_line_keeps_records_of_one_header_apart(spark, tmp_path):
+    (tmp_path / "a.fa").write_bytes(b">x\nACGT\n>x\nACACAC\n>y\nAC\n")
+    store = str(tmp_path / "store")
+    cli.run(spark, cli.arguments(["-i", str(tmp_path / "a.fa"), "-o", store, "-idx", str(tmp_path / "fm")]))
+    for extra in (["-i", str(tmp_path / "a.fa")], ["-i", store], ["-i", store, "-idx", str(tmp_path / "fm")]):
+        cli.run(spark, cli.arguments([*extra, "-c", "AC"]), out := io.StringIO())
+        assert sorted(out.getvalue().splitlines()) == [">x found : 1", ">x found : 3", ">y found : 1"]
+        cli.run(spark, cli.arguments([*extra, "-s", "x", "AC"]), out := io.StringIO())
+        assert sorted(out.getvalue().split("\n")) == sorted([">x found : 1", "0", ">x found : 3", "0", "2", "4", ""])
+
+
 def run_stream(spark, df, name):
     q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
