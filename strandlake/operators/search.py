@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dna import gff_attributes, reverse_complement, rna_to_dna, wrap
@@ -53,6 +53,21 @@ def positions_in(pattern: str, most: int | None = None):
     return locate
 
 
+def register_locate(spark: SparkSession, name: str = "locate_pattern") -> None:
+    """A table function for SQL: ``SELECT header, pos FROM sequences, LATERAL locate_pattern(seq, 'ACGT')``."""
+
+    class Locate:
+        def eval(self, seq: str, pattern: str):
+            if not pattern:
+                raise ValueError("the pattern is empty")
+            at = seq.find(pattern) if seq else -1
+            while at >= 0:
+                yield (at,)
+                at = seq.find(pattern, at + 1)
+
+    spark.udtf.register(name, F.udtf(Locate, returnType="pos bigint"))
+
+
 def count_pattern(sequences: DataFrame, pattern: str, header: str = "header", seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
     """header and n_matches of the sequences that have the pattern, with the columns to keep; the filter reaches the Parquet scan."""
     hits = sequences.filter(F.col(seq).contains(_checked(pattern)))

@@ -1 +1,3 @@
-"""Part of the package; see the README."""
+"""The queries and their SQL."""
+
+from . import round_trips  # noqa: F401

@@ -477,12 +477,14 @@ def q_index_size(spark, sf_dir):
     return sequences(spark, sf_dir).select("header", bins.bit_vector_bytes(n).alias("bit_bytes"), bins.sampled_index_bytes(n).alias("index_bytes"))
 
 
-@query()
+@query(f"""SELECT header, sa_rank, CAST(CASE WHEN p IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(s), length(p)) + 1), lambda i: s[1:i] = p[1:i])) END AS BIGINT) AS lcp
+FROM (SELECT header, sa_rank, s, lag(s) OVER (PARTITION BY header ORDER BY sa_rank) AS p FROM (SELECT header, sa_rank, substring(url, pos + 1) AS s FROM {SUFFIXES}))""")
 def q_common_prefixes(spark, sf_dir):
     return textindex.common_prefixes(addresses(spark, sf_dir))
 
 
-@query()
+@query("""WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS crc)
+SELECT doc_id AS header, xor(list_reduce(list_transform(range(octet_length(encode(text))), lambda i: CAST('0x' || substring(hex(encode(text)), 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS crc32 FROM documents, t""")
 def q_crc32(spark, sf_dir):
     return sequences(spark, sf_dir).select("header", F.crc32(F.col("seq").cast("binary")).alias("crc32"))
 
@@ -492,30 +494,52 @@ def q_huffman_lengths(spark, sf_dir):
     return textindex.huffman_codes(textindex.histogram(sequences(spark, sf_dir)))
 
 
-@query()
+#: Joining the two smallest weights until one is left: their sums are the bits of the best prefix code.
+@query("""WITH RECURSIVE h AS (SELECT list_sort(list(n)) AS l, CAST(0 AS HUGEINT) AS bits FROM (SELECT CAST(count(*) AS HUGEINT) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch)
+  UNION ALL SELECT list_sort(list_append(l[3:], l[1] + l[2])), bits + l[1] + l[2] FROM h WHERE len(l) > 1)
+SELECT CAST(bits AS BIGINT) AS total_bits, CAST(1 AS DOUBLE) AS kraft FROM h WHERE len(l) = 1""")
+def q_huffman_cost(spark, sf_dir):
+    codes = textindex.huffman_codes(textindex.histogram(sequences(spark, sf_dir)), most=60)
+    return codes.agg(F.sum(F.col("n") * F.col("bits")).alias("total_bits"), F.sum(F.pow(F.lit(2.0), -F.col("bits"))).alias("kraft"))
+
+
+@query("""SELECT doc_id, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash
+FROM (SELECT doc_id, list_reduce(list_transform(string_split(source || lang, ''), lambda c: CAST(unicode(c) AS HUGEINT)), lambda a, c: (a * 31 + c) % 18446744073709551616, CAST(1125899906842597 AS HUGEINT)) AS h FROM documents)""")
 def q_header_hash(spark, sf_dir):
     ship(spark)
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", textindex.header_hash(F.array("source", "lang")).alias("hash"))
 
 
-@query()
+#: The two smallest blocks are joined as long as they fit; blocks are structs of size, longest item and items, sorted.
+PACKED = """(WITH RECURSIVE d AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS h, CAST(length(text) AS BIGINT) AS n FROM documents),
+p AS (SELECT list_sort(list({'s': n + 1, 'n': -n, 'h': h, 'items': [{'n': -n, 'h': h}]})) AS l, max(n) + 1 AS room FROM d
+  UNION ALL SELECT list_sort(list_append(l[3:], {'s': l[1].s + l[2].s, 'n': list_sort([{'n': l[1].n, 'h': l[1].h}, {'n': l[2].n, 'h': l[2].h}])[1].n,
+    'h': list_sort([{'n': l[1].n, 'h': l[1].h}, {'n': l[2].n, 'h': l[2].h}])[1].h, 'items': list_concat(l[1].items, l[2].items)})), room FROM p WHERE len(l) > 1 AND l[1].s + l[2].s <= room),
+b AS (SELECT unnest(l) AS b FROM (SELECT l FROM p ORDER BY len(l) LIMIT 1)),
+o AS (SELECT row_number() OVER (ORDER BY b.n, b.s, b.h) - 1 AS block_id, unnest(list_sort(b.items)) AS i, generate_subscripts(b.items, 1) - 1 AS ord FROM b)
+SELECT i.h AS header, -i.n AS seq_len, CAST(block_id AS BIGINT) AS block_id, CAST(ord AS BIGINT) AS ord FROM o)"""
+
+
+@query(f"SELECT * FROM {PACKED}")
 def q_block_pack(spark, sf_dir):
     return blocks.pack_blocks(sequences(spark, sf_dir).withColumn("header", F.col("header").cast("string")))
 
 
-@query()
+@query(f"""SELECT block_id, ord, '>' || header || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) % 50 = 0 AND length(x) > 0 THEN rtrim(regexp_replace(x, '(.{{50}})', '\\1' || chr(10), 'g'), chr(10))
+  ELSE regexp_replace(x, '(.{{50}})', '\\1' || chr(10), 'g') END), chr(10)) AS record FROM {PACKED} JOIN documents ON CAST(doc_id AS VARCHAR) = header""")
 def q_restore(spark, sf_dir):
     s = sequences(spark, sf_dir).withColumn("header", F.col("header").cast("string"))
     return search.restore(s.join(blocks.pack_blocks(s), ["header", "seq_len"]))
 
 
-@query()
+#: MD has m matches, a base and four matches; what it says beyond the read's end is N.
+@query(f"""SELECT l_orderkey, ref_id, left(b, m) || 'A' || substring(b, m + 2) AS reference FROM (SELECT l_orderkey, ref_id, m, CASE WHEN length(b) >= m + 5 THEN b ELSE rpad(b, m + 5, 'N') END AS b FROM
+  (SELECT l_orderkey, ref_id, CAST(mapq AS INT) AS m, substring(repeat('ACGTTGCA', 8), ref_id + 1 + flag % 3, CAST(regexp_extract(cigar, 'S([0-9]+)M', 1) AS INT)) || repeat('N', CAST(regexp_extract(cigar, 'M([0-9]+)D', 1) AS INT)) AS b FROM {ALN}))""")
 def q_reconstruct_ref(spark, sf_dir):
     ship(spark)
-    a = alignments(spark, sf_dir)
-    read = F.concat(F.repeat(F.lit("ACGTTGCA"), 8))
-    return a.select("l_orderkey", "ref_id", reconstruct_reference(read, F.col("cigar"), F.lit("3A4")).alias("reference"))
+    read = F.substring(F.repeat(F.lit("ACGTTGCA"), 8), (F.col("flag") % 3 + 1).cast("int"), F.lit(64))
+    return alignments(spark, sf_dir).select("l_orderkey", "ref_id", reconstruct_reference(read, F.col("cigar"), F.concat(F.col("mapq").cast("string"), F.lit("A4"))).alias("reference"))
 
 
 @query("SELECT page_id AS header, CAST(length(url) AS BIGINT) AS n_bytes, CAST((length(url) - length(replace(url, 'th', ''))) // 2 AS BIGINT) AS n_matches FROM pages")

@@ -13,6 +13,7 @@ qualities and tags are null and not decoded. The option ``part`` gives the ``hea
 from __future__ import annotations
 
 import struct
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from ..functions.cigar import OPS
 from ..functions.dna import BASE_CODES
 from ..schemas import ALIGNMENTS, BAI_BINS, BAI_LINEAR, REFS
 from .bgzf import BlockWriter, MemberReader, block_at
-from .files import in_batches, list_files, open_input, open_output
+from .files import in_batches, list_files, open_input, open_output, remove_others
 
 FIXED = struct.Struct("<iiBBHHHiiii")
 NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
@@ -415,12 +416,13 @@ class BamWriter(DataSourceWriter):
 
     def __init__(self, options, schema):
         self.path, self.header, self.names = options.get("path"), options.get("header", ""), schema.fieldNames()
+        self.job = uuid.uuid4().hex[:12]
         fields = [dict(f.split(":", 1) for f in line.split("\t")[1:] if ":" in f) for line in self.header.split("\n") if line.startswith("@SQ")]
         self.refs = [(f["SN"], int(f["LN"])) for f in fields]
 
     def write(self, iterator):
         context = TaskContext.get()
-        path = f"{self.path.rstrip('/')}/part-{context.partitionId():06d}-{context.taskAttemptId()}.bam"
+        path = f"{self.path.rstrip('/')}/part-{context.partitionId():06d}-{self.job}-{context.taskAttemptId()}.bam"
         with open_output(path) as sink:
             out, text = BlockWriter(sink), self.header.encode()
             out.write(b"BAM\x01" + struct.pack("<I", len(text)) + text + struct.pack("<I", len(self.refs)))
@@ -431,6 +433,9 @@ class BamWriter(DataSourceWriter):
             out.close()
         return Written(path)
 
+    def commit(self, messages):
+        remove_others(self.path, self.job, messages)
+
     def abort(self, messages):
         from .files import open_fs
 

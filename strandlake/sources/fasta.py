@@ -17,6 +17,7 @@ line; 0: one line for a sequence; by default 50, and one line for rows whose col
 from __future__ import annotations
 
 import io
+import uuid
 import zlib
 from dataclasses import dataclass
 from itertools import islice
@@ -26,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from ..schemas import SEQUENCES
 from .bgzf import BlockWriter, MemberReader, block_at, is_gzip, parse_member_header
-from .files import in_batches, list_files, open_input, open_output
+from .files import in_batches, list_files, open_input, open_output, remove_others
 
 SPLIT = 64 << 20
 
@@ -255,6 +256,8 @@ class FastaWriter(DataSourceWriter):
         self.gzip = str(options.get("gzip", "false")).lower() == "true"
         self.stops = options.get("markers", ">@")
         self.stops += "+" * ("@" in self.stops)
+        # One write's files are told from another's, also in one folder.
+        self.job = uuid.uuid4().hex[:12]
         names = schema.fieldNames()
         self.header, self.seq = names.index("header"), names.index("seq")
         self.quality = names.index("quality") if "quality" in names else None
@@ -262,7 +265,7 @@ class FastaWriter(DataSourceWriter):
 
     def write(self, iterator):
         context = TaskContext.get()
-        path = f"{self.path.rstrip('/')}/part-{context.partitionId():06d}-{context.taskAttemptId()}.{'fa.gz' if self.gzip else 'fa'}"
+        path = f"{self.path.rstrip('/')}/part-{context.partitionId():06d}-{self.job}-{context.taskAttemptId()}.{'fa.gz' if self.gzip else 'fa'}"
         with open_output(path) as sink:
             out = BlockWriter(sink) if self.gzip else sink
             for row in iterator:
@@ -278,15 +281,7 @@ class FastaWriter(DataSourceWriter):
         return Written(path)
 
     def commit(self, messages):
-        """Files of attempts that didn't count are removed."""
-        from .files import open_fs
-
-        good = {m.path.rpartition("/")[2] for m in messages if m}
-        for path, _ in list_files(self.path) if messages else []:
-            name = path.rpartition("/")[2]
-            if name.startswith("part-") and name not in good and name[:11] in {g[:11] for g in good}:
-                files, where = open_fs(path)
-                files.delete_file(where)
+        remove_others(self.path, self.job, messages)
 
     def abort(self, messages):
         from .files import open_fs

@@ -41,6 +41,16 @@ def open_output(uri: str):
     return files.open_output_stream(path, compression=None)
 
 
+def remove_others(folder: str, job: str, messages) -> None:
+    """Delete the files of a write's attempts that didn't count: those with its job in their name but no message."""
+    good = {m.path.rpartition("/")[2] for m in messages if m}
+    for path, _ in list_files(folder) if good else []:
+        name = path.rpartition("/")[2]
+        if name.startswith("part-") and f"-{job}-" in name and name not in good:
+            files, where = open_fs(path)
+            files.delete_file(where)
+
+
 def in_batches(rows, struct, most_rows: int = 4096, most_bytes: int = 8 << 20):
     """Rows (tuples in the order of a Spark schema) as Arrow batches, each of a bounded number of rows and some megabytes."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -124,6 +124,14 @@ def test_rows_are_written_as_they_were_read(spark, tmp_path):
     assert [r[0::3] for r in load(spark, tmp_path / "b")] == [("one", True), ("many", True)]
 
 
+def test_a_second_write_keeps_the_first(spark, tmp_path):
+    for i in range(2):
+        spark.createDataFrame([(f"s{i}", "ACGT")], "header string, seq string").coalesce(1).write.format("fasta").mode("append").save(str(tmp_path / "a"))
+        spark.createDataFrame([(f"q{i}", 4, -1)], "qname string, flag int, ref_id int").coalesce(1).write.format("bam").mode("append").save(str(tmp_path / "b"))
+    assert sorted(r[0] for r in load(spark, tmp_path / "a")) == ["s0", "s1"]
+    assert sorted(r["qname"] for r in spark.read.format("bam").load(str(tmp_path / "b")).collect()) == ["q0", "q1"]
+
+
 def test_no_line_begins_as_a_record():
     assert list(fasta.wrapped("ab@>+cdef@", 2)) == ["ab@>+", "cd", "ef@"]
     with pytest.raises(ValueError, match="begin"):
