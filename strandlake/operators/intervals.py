@@ -1,11 +1,11 @@
-"""Overlap joins by bins, and the parts of a bin index: chunks, linear offsets, counters."""
+"""Overlap joins by cells, and the parts of a bin index: chunks, linear offsets, counters."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bins import UNMAPPED_BIN, offset_block, record_bin, reg2bins
+from ..functions.bins import UNMAPPED_BIN, offset_block
 
 
 def overlaps(pos: Column, end_pos: Column, begin: Column, end: Column) -> Column:
@@ -13,16 +13,45 @@ def overlaps(pos: Column, end_pos: Column, begin: Column, end: Column) -> Column
     return (pos < end) & (end_pos > begin)
 
 
+#: Widths of cells, as powers of two; an interval's level is the first that is as wide as it is long, so it is in two cells at most.
+CELLS = (6, 9, 12, 14, 17, 20, 23, 26, 29)
+
+
+def _level(first: Column, last: Column) -> Column:
+    length = last - first + 1
+    out = F.when(length <= 1 << CELLS[0], F.lit(CELLS[0]))
+    for c in CELLS[1:-1]:
+        out = out.when(length <= 1 << c, F.lit(c))
+    return out.otherwise(F.lit(CELLS[-1]))
+
+
+def _in_cells(df: DataFrame, first: Column, last: Column, levels: list[int], prefix: str) -> DataFrame:
+    """df repeated for each cell of its intervals, at their own level or at wider ones that the other side has."""
+    low, high = F.least(first, last).cast("bigint"), F.greatest(first, last).cast("bigint")
+    named = df.withColumns({f"{prefix}low": low, f"{prefix}own": _level(low, high)})
+    at = F.array_distinct(F.transform(F.array(*map(F.lit, levels)), lambda x: F.greatest(x, F.col(f"{prefix}own"))))
+    wide = named.withColumn(f"{prefix}level", F.explode(at))
+    cell = lambda c: F.call_function("shiftright", c, F.col(f"{prefix}level"))
+    return wide.withColumn(f"{prefix}cell", F.explode(F.sequence(cell(F.col(f"{prefix}low")), cell(high))))
+
+
 def overlap_join(records: DataFrame, regions: DataFrame) -> DataFrame:
-    """Records (ref_id, flag, pos, end_pos, ...) with the columns of the regions (region_ref, begin, end, ...) they overlap.
+    """Records (ref_id, pos, end_pos, ...) with the columns of the regions (region_ref, begin, end, ...) they overlap.
 
-    Both sides meet on reference and bin, so this is an equi-join with a residual test; a record has one bin, so no
-    pair comes twice. Records without a bin column get one. Regions with more candidate bins than rows pay for those.
+    Both sides meet on reference and cell, so this is an equi-join with a residual test. A pair meets at the level of
+    the longer of the two, where each is in two cells at most, and in the first cell that both share; so no pair comes
+    twice, and no cell is filled by what happens to lie over a boundary. Only levels come to the driver.
     """
-    binned = records if "bin" in records.columns else records.withColumn("bin", record_bin(F.col("flag"), F.col("ref_id"), F.col("pos"), F.col("end_pos")))
-    spread = regions.withColumn("_bin", F.explode(reg2bins(F.col("begin"), F.col("end"))))
-    met = binned.join(spread, (F.col("ref_id") == F.col("region_ref")) & (F.col("bin") == F.col("_bin")))
-    return met.filter(overlaps(F.col("pos"), F.col("end_pos"), F.col("begin"), F.col("end"))).drop("_bin")
+    begin, end = F.col("begin").cast("bigint"), F.col("end").cast("bigint")
+    asked = sorted(r[0] for r in regions.select(_level(F.least(begin, end), F.greatest(begin, end)).alias("l")).distinct().collect())
+    ours = _in_cells(records, F.col("pos"), F.col("end_pos"), asked or [CELLS[0]], "_r")
+    theirs = _in_cells(regions, begin, end, list(CELLS), "_g")
+    met = ours.join(theirs, (F.col("ref_id") == F.col("region_ref")) & (F.col("_rlevel") == F.col("_glevel")) & (F.col("_rcell") == F.col("_gcell")))
+    # Both are at a level only if it is the wider one of their own.
+    here = F.col("_rlevel") == F.greatest("_rown", "_gown")
+    first = F.col("_rcell") == F.call_function("shiftright", F.greatest("_rlow", "_glow"), F.col("_rlevel"))
+    kept = met.filter(here & first & overlaps(F.col("pos"), F.col("end_pos"), F.col("begin"), F.col("end")))
+    return kept.drop(*[f"_{s}{c}" for s in "rg" for c in ("low", "own", "level", "cell")])
 
 
 def with_reference_names(records: DataFrame, refs: DataFrame) -> DataFrame:

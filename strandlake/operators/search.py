@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.dna import gff_attributes, reverse_complement, rna_to_dna, wrap
 from ..session import ship
 
-#: Letters of a seed, and patterns whose seeds go to every task as a set; with more, all k-mers are joined.
-SEED, SEED_SET = 12, 200_000
+#: Letters of a seed.
+SEED = 12
 #: Bases of a tile.
 TILE = 1 << 20
 
@@ -155,52 +155,73 @@ def _hashes(codes: np.ndarray, k: int) -> np.ndarray:
 
 
 class SeedFilter:
-    """Finds the places of seeds in a text: a bitmap of their hashes first, then the letters themselves."""
+    """Finds the places of seeds in a text by a bitmap of their hashes; a place that isn't a seed's may come along."""
 
-    BITS = 20
+    BITS = 24
 
-    def __init__(self, seeds: set[str]):
-        self.seeds, self.maps = seeds, {}
-        for k in {len(s) for s in seeds}:
-            hits = np.zeros(1 << self.BITS, bool)
-            for s in seeds:
-                if len(s) == k:
-                    hits[_hashes(_codes(s), k) & np.uint32((1 << self.BITS) - 1)] = True
-            self.maps[k] = hits
+    def __init__(self, maps: dict[int, bytes]):
+        self.maps = {k: np.frombuffer(m, np.uint8) for k, m in maps.items()}
 
-    def places(self, text: str, k: int) -> list[int]:
-        hits = self.maps.get(k)
-        if hits is None:
-            return []
-        found = np.flatnonzero(hits[_hashes(_codes(text), k) & np.uint32((1 << self.BITS) - 1)]).tolist()
-        return [i for i in found if text[i : i + k] in self.seeds]
+    @classmethod
+    def bucket(cls, text: str, k: int) -> np.ndarray:
+        return _hashes(_codes(text), k) & np.uint32((1 << cls.BITS) - 1)
+
+    def places(self, text: str, k: int) -> np.ndarray:
+        at = self.bucket(text, k)
+        return np.flatnonzero(self.maps[k][at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8) & 1)
+
+
+def seed_maps(seeded: DataFrame) -> dict[int, bytes]:
+    """A bitmap of seeds' hashes for each length: 2 MB for each of at most SEED lengths, however many seeds there are.
+
+    Tasks make stretches of the bitmaps, and only these come to the driver.
+    """
+    stretch = 13
+
+    def each(batches):
+        found: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = int(SeedFilter.bucket(s, k)[0])
+                part = found.setdefault((k, at >> stretch + 3), np.zeros(1 << stretch, np.uint8))
+                part[at >> 3 & (1 << stretch) - 1] |= 1 << (at & 7)
+        if found:
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in found], pa.int32()), "part": pa.array([p for _, p in found], pa.int32()), "bits": [m.tobytes() for m in found.values()]})
+
+    rows = seeded.select(F.col("k").cast("int"), "seed").distinct().coalesce(64).mapInArrow(each, "k int, part int, bits binary")
+    maps: dict[int, np.ndarray] = {}
+    for r in rows.toLocalIterator():
+        whole = maps.setdefault(r["k"], np.zeros(1 << SeedFilter.BITS - 3, np.uint8))
+        whole[r["part"] << stretch : (r["part"] + 1) << stretch] |= np.frombuffer(r["bits"], np.uint8)
+    return {k: m.tobytes() for k, m in maps.items()}
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def kmers(sequences: DataFrame, lengths: list[int], window: int, keep: set[str] | None = None, header: str = "header", seq: str = "seq") -> DataFrame:
-    """header, pos, kmer and window (the next ``window`` letters) at each place of each sequence, for the lengths given.
+def kmers(sequences: DataFrame, maps: dict[int, bytes], windows: dict[int, int], header: str = "header", seq: str = "seq") -> DataFrame:
+    """header, pos, kmer and window at each place whose k letters may be a seed by the maps of the lengths k.
 
-    With ``keep``, only for k-mers in that set.
+    window has the letters from the place on, as many as the longest pattern with a seed of that length.
     """
     spark = sequences.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(keep)
+    shared = spark.sparkContext.broadcast(maps)
     kind = sequences.schema[header].dataType
     step = 1 << 18
 
     def run(batches):
-        wanted = SeedFilter(shared.value) if shared.value is not None else None
+        wanted = SeedFilter(shared.value)
         for b in batches:
             for h, s in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
-                for k in lengths:
+                for k, window in windows.items():
                     for at in range(0, len(s or "") - k + 1, step):
                         part = s[at : at + step + k - 1]
-                        found = range(len(part) - k + 1) if wanted is None else wanted.places(part, k)
-                        if len(found):
-                            yield pa.RecordBatch.from_pydict({"header": pa.array([h] * len(found), b.schema.field(0).type), "pos": pa.array([at + i for i in found], pa.int64()), "kmer": [part[i : i + k] for i in found], "window": [s[at + i : at + i + window] for i in found]})
+                        found = wanted.places(part, k).tolist()
+                        for i in range(0, len(found), 4096):
+                            some = found[i : i + 4096]
+                            yield pa.RecordBatch.from_pydict({"header": pa.array([h] * len(some), b.schema.field(0).type), "pos": pa.array([at + i for i in some], pa.int64()), "kmer": [part[i : i + k] for i in some], "window": [s[at + i : at + i + window] for i in some]})
 
     return sequences.select(F.col(header), F.col(seq)).mapInArrow(run, f"header {kind.simpleString()}, pos bigint, kmer string, window string")
 
@@ -208,14 +229,13 @@ def kmers(sequences: DataFrame, lengths: list[int], window: int, keep: set[str]
 def seed_join(sequences: DataFrame, patterns: DataFrame, header: str = "header", seq: str = "seq", column: str = "pattern") -> DataFrame:
     """patterns' columns with header and pos of each occurrence: an equi-join on seeds, then a check of the rest.
 
-    Seeds go to all tasks only while there are at most SEED_SET of them; with more, every k-mer is joined.
+    Bitmaps of the seeds' hashes go to all tasks, some megabytes whatever their number, so that only places that may
+    be a seed's are joined. The join deals with what the bitmaps let through.
     """
+    ship(sequences.sparkSession)
     seeded = seeds(patterns, column)
-    facts = seeded.agg(F.collect_set("k").alias("k"), F.max(F.length(column)).alias("longest"), F.count(F.lit(1)).alias("n")).first()
-    lengths = sorted(facts["k"])
-    keep = {r["seed"] for r in seeded.select("seed").distinct().collect()} if facts["n"] <= SEED_SET else None
-    found = kmers(sequences, lengths or [1], facts["longest"] or 1, keep, header, seq)
-    joined = found.join(seeded, F.col("kmer") == F.col("seed"))
+    windows = {r["k"]: r["n"] for r in seeded.groupBy("k").agg(F.max(F.length(column)).alias("n")).collect()}
+    joined = kmers(sequences, seed_maps(seeded), windows, header, seq).join(seeded, F.col("kmer") == F.col("seed"))
     return joined.filter(F.startswith(F.col("window"), F.col(column))).drop("kmer", "window", "k", "seed")
 
 
