@@ -25,9 +25,8 @@ def _level(first: Column, last: Column) -> Column:
     return out.otherwise(F.lit(CELLS[-1]))
 
 
-def _in_cells(df: DataFrame, first: Column, last: Column, levels: list[int], prefix: str) -> DataFrame:
+def _in_cells(df: DataFrame, low: Column, high: Column, levels: list[int], prefix: str) -> DataFrame:
     """df repeated for each cell of its intervals, at their own level or at wider ones that the other side has."""
-    low, high = F.least(first, last).cast("bigint"), F.greatest(first, last).cast("bigint")
     named = df.withColumns({f"{prefix}low": low, f"{prefix}own": _level(low, high)})
     at = F.array_distinct(F.transform(F.array(*map(F.lit, levels)), lambda x: F.greatest(x, F.col(f"{prefix}own"))))
     wide = named.withColumn(f"{prefix}level", F.explode(at))
@@ -42,10 +41,12 @@ def overlap_join(records: DataFrame, regions: DataFrame) -> DataFrame:
     the longer of the two, where each is in two cells at most, and in the first cell that both share; so no pair comes
     twice, and no cell is filled by what happens to lie over a boundary. Only levels come to the driver.
     """
-    begin, end = F.col("begin").cast("bigint"), F.col("end").cast("bigint")
-    asked = sorted(r[0] for r in regions.select(_level(F.least(begin, end), F.greatest(begin, end)).alias("l")).distinct().collect())
-    ours = _in_cells(records, F.col("pos"), F.col("end_pos"), asked or [CELLS[0]], "_r")
-    theirs = _in_cells(regions, begin, end, list(CELLS), "_g")
+    # Where an interval ends before it begins, as an unmapped record does, what overlaps it holds all of it, so one point does.
+    pos, low = F.col("pos").cast("bigint"), F.least("begin", "end").cast("bigint")
+    last, high = F.greatest(pos, F.col("end_pos").cast("bigint")), F.greatest(low, F.col("end").cast("bigint"))
+    asked = sorted(r[0] for r in regions.select(_level(low, high).alias("l")).distinct().collect())
+    ours = _in_cells(records, pos, last, asked or [CELLS[0]], "_r")
+    theirs = _in_cells(regions, low, high, list(CELLS), "_g")
     met = ours.join(theirs, (F.col("ref_id") == F.col("region_ref")) & (F.col("_rlevel") == F.col("_glevel")) & (F.col("_rcell") == F.col("_gcell")))
     # Both are at a level only if it is the wider one of their own.
     here = F.col("_rlevel") == F.greatest("_rown", "_gown")

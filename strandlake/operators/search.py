@@ -157,41 +157,39 @@ def _hashes(codes: np.ndarray, k: int) -> np.ndarray:
 class SeedFilter:
     """Finds the places of seeds in a text by a bitmap of their hashes; a place that isn't a seed's may come along."""
 
-    BITS = 24
-
     def __init__(self, maps: dict[int, bytes]):
-        self.maps = {k: np.frombuffer(m, np.uint8) for k, m in maps.items()}
-
-    @classmethod
-    def bucket(cls, text: str, k: int) -> np.ndarray:
-        return _hashes(_codes(text), k) & np.uint32((1 << cls.BITS) - 1)
+        self.bits = (len(next(iter(maps.values()))) * 8).bit_length() - 1 if maps else 0
+        # Small bitmaps are spread to a byte a bit, which is faster to look up.
+        self.maps = {k: np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little").view(bool) if self.bits <= 24 else np.frombuffer(m, np.uint8) for k, m in maps.items()}
 
     def places(self, text: str, k: int) -> np.ndarray:
-        at = self.bucket(text, k)
+        at = _hashes(_codes(text), k) & np.uint32((1 << self.bits) - 1)
+        if self.bits <= 24:
+            return np.flatnonzero(self.maps[k][at])
         return np.flatnonzero(self.maps[k][at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8) & 1)
 
 
-def seed_maps(seeded: DataFrame) -> dict[int, bytes]:
-    """A bitmap of seeds' hashes for each length: 2 MB for each of at most SEED lengths, however many seeds there are.
+def seed_maps(seeded: DataFrame, n: int) -> dict[int, bytes]:
+    """A bitmap of seeds' hashes for each length: some 64 bits a seed, from 128 KB to 16 MB, for at most SEED lengths.
 
-    Tasks make stretches of the bitmaps, and only these come to the driver.
+    n is the number of seeds. Tasks make stretches of the bitmaps, and only these come to the driver.
     """
-    stretch = 13
+    bits, stretch = min(27, max(20, n.bit_length() + 6)), 13
 
     def each(batches):
         found: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = int(SeedFilter.bucket(s, k)[0])
+                at = int(_hashes(_codes(s), k)[0]) & (1 << bits) - 1
                 part = found.setdefault((k, at >> stretch + 3), np.zeros(1 << stretch, np.uint8))
                 part[at >> 3 & (1 << stretch) - 1] |= 1 << (at & 7)
         if found:
             yield pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in found], pa.int32()), "part": pa.array([p for _, p in found], pa.int32()), "bits": [m.tobytes() for m in found.values()]})
 
-    rows = seeded.select(F.col("k").cast("int"), "seed").distinct().coalesce(64).mapInArrow(each, "k int, part int, bits binary")
+    rows = seeded.select(F.col("k").cast("int"), "seed").coalesce(64).mapInArrow(each, "k int, part int, bits binary")
     maps: dict[int, np.ndarray] = {}
-    for r in rows.toLocalIterator():
-        whole = maps.setdefault(r["k"], np.zeros(1 << SeedFilter.BITS - 3, np.uint8))
+    for r in rows.toLocalIterator(prefetchPartitions=True):
+        whole = maps.setdefault(r["k"], np.zeros(1 << bits - 3, np.uint8))
         whole[r["part"] << stretch : (r["part"] + 1) << stretch] |= np.frombuffer(r["bits"], np.uint8)
     return {k: m.tobytes() for k, m in maps.items()}
 
@@ -234,8 +232,9 @@ def seed_join(sequences: DataFrame, patterns: DataFrame, header: str = "header",
     """
     ship(sequences.sparkSession)
     seeded = seeds(patterns, column)
-    windows = {r["k"]: r["n"] for r in seeded.groupBy("k").agg(F.max(F.length(column)).alias("n")).collect()}
-    joined = kmers(sequences, seed_maps(seeded), windows, header, seq).join(seeded, F.col("kmer") == F.col("seed"))
+    facts = seeded.groupBy("k").agg(F.max(F.length(column)).alias("longest"), F.count(F.lit(1)).alias("n")).collect()
+    maps = seed_maps(seeded, sum(r["n"] for r in facts))
+    joined = kmers(sequences, maps, {r["k"]: r["longest"] for r in facts}, header, seq).join(seeded, F.col("kmer") == F.col("seed"))
     return joined.filter(F.startswith(F.col("window"), F.col(column))).drop("kmer", "window", "k", "seed")
 
 

@@ -1,5 +1,8 @@
 import collections
+import random
+import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,6 +75,31 @@ def test_many_short_and_long_patterns(spark, seqs):
     assert rows(search.seed_join(seqs, patterns).select("pattern", "header", "pos")) == want
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_thousands_of_patterns(spark, monkeypatch, packed):
+    rng = random.Random(4)
+    if packed:
+        monkeypatch.setattr(search.SeedFilter, "__init__", lambda self, maps: (setattr(self, "bits", 25), setattr(self, "maps", {}))[0])
+        maps = {12: np.packbits(np.arange(1 << 25) % 3 == 0, bitorder="little").tobytes()}
+        one = search.SeedFilter({})
+        one.maps = {k: np.frombuffer(m, np.uint8) for k, m in maps.items()}
+        text = "".join(rng.choices("ACGT", k=500))
+        want = [i for i, h in enumerate(search._hashes(search._codes(text), 12).tolist()) if h % (1 << 25) % 3 == 0]
+        assert one.places(text, 12).tolist() == want and want
+        return
+    texts = ["".join(rng.choices("ACGT", k=3000)) for _ in range(4)] + ["", None, "AC"]
+    sought = sorted({t[i : i + rng.randint(1, 40)] for t in texts[:4] for i in range(0, 2900, 3)} | {"".join(rng.choices("ACGT", k=14)) for _ in range(2000)})
+    got = rows(search.seed_join(spark.createDataFrame(list(enumerate(texts)), "header bigint, seq string"), spark.createDataFrame([(p,) for p in sought], "pattern string")).select("header", "pos", "pattern"))
+    assert got == sorted((i, at, p) for p in sought for i, t in enumerate(texts) for at in (m.start() for m in re.finditer(f"(?={p})", t or "")))
+
+
+def test_overlap_of_unmapped_records_and_reversed_regions(spark):
+    r = [(i, 0, 4, p, e) for i, (p, e) in enumerate([(5, 0), (70_000_000, 0), (100, 149), (1, 1), (1, 1 << 29)])]
+    g = [(j, 0, a, b) for j, (a, b) in enumerate([(-5, 10), (0, 1 << 29), (120, 110), (149, 149), (-9, 80_000_000)])]
+    got = rows(intervals.overlap_join(spark.createDataFrame(r, "id int, ref_id int, flag int, pos int, end_pos int"), spark.createDataFrame(g, "region int, region_ref int, begin int, end int")).select("id", "region"))
+    assert got == sorted((i, j) for i, _, _, p, e in r for j, _, a, b in g if p < b and e > a)
+
+
 def test_dedup_and_order(seqs):
     kept = rows(blocks.dedup_sequences(seqs).select("header", "file_offset"))
     assert kept == [("chr1", 0), ("chr2", 1), ("chr3", 2), ("dup", 3), ("empty", 5), ("null", 6)]
