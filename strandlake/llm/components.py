@@ -21,6 +21,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links (u, v) are stars: each u has one v, which is no u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("is_u")).union(edges.select(F.col("v"), F.lit(0)))
+    odd = ends.groupBy("x").agg(F.sum("is_u").alias("n"), F.min("is_u").alias("least")).filter("n > 1 or (n = 1 and least = 0)")
+    return odd.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) for the nodes of links (u, v); others aren't listed.
 
@@ -31,14 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     oriented = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = stored(oriented.distinct(), "links")
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    seen = mark(now)
-    while seen[0]:
+    while not _settled(now):
         after = stored(_small_star(_large_star(now)), "links")
-        found = mark(after)
         discard(spark, now)
         now = after
-        if found == seen:
-            break
-        seen = found
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -233,7 +233,9 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _labels(links: DataFrame) -> DataFrame:
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return stored(found.select("node", "component"), "labels")
+    labels = stored(found.select("node", "component"), "labels")
+    discard(links.sparkSession, found)
+    return labels
 
 
 def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -248,7 +250,7 @@ def _tiled(open_: DataFrame, tile: int, stretch: int) -> DataFrame:
     """(band, tile, stretch, kind, doc, label, main): kind 0 rows are a tile's members, kind 1 rows stream past it.
 
     The members outside a group's largest component are cut to tiles; all members stream past each tile, in stretches.
-    A group of n members, o of them outside, gives some n * o * (1 / tile + 1 / stretch) rows.
+    A large group of n members, o of them outside, gives some n * o * (1 / tile + 1 / stretch) rows.
     """
     tiles, stretches = F.ceil(F.col("others") / tile).cast("long"), F.ceil(F.col("n") / stretch).cast("long")
     pick = lambda n, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), n)
@@ -389,36 +391,48 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b")
 
 
-def _extended(fresh: DataFrame, tested: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """tested, links and labels after a check of fresh pairs."""
-    if fresh.isEmpty():
-        return tested, links, labels
-    found = stored(_verified(fresh, texts), "near")
-    links = links.union(found)
-    return tested.union(fresh), links, labels if found.isEmpty() else _labels(links)
-
-
 def link_classes(classes: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
     """node and component for the classes (doc, n, registers, bands) that are linked to another.
 
-    texts has (doc, text); known are links (a, b) given beforehand.
+    texts has (doc, text); known are links (a, b) given beforehand. What is written on the way is deleted at the end.
     """
+    spark, made = classes.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(stored(df, name))
+        return made[-1]
+
+    def labelled(links: DataFrame) -> DataFrame:
+        made.append(_labels(links))
+        return made[-1]
+
+    def extended(fresh_: DataFrame) -> None:
+        """tested, links and labels after a check of fresh pairs."""
+        nonlocal tested, links, labels
+        if not fresh_.isEmpty():
+            found = kept(_verified(fresh_, texts), "near")
+            tested, links = tested.union(fresh_), links.union(found)
+            labels = labels if found.isEmpty() else labelled(links)
+
     rows = bands(classes)
     groups = rows.groupBy("band").agg(F.min(F.struct("doc", "n")).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("band").alias("g"), F.col("h.doc").alias("a"), F.col("h.n").alias("n_a"), "c")
-    members = stored(rows.join(splittable(groups), F.col("band") == F.col("g")).select("band", "doc", "n", "a", "n_a", "c"), "members")
+    members = kept(rows.join(splittable(groups), F.col("band") == F.col("g")).select("band", "doc", "n", "a", "n_a", "c"), "members")
     stars = members.filter("doc <> a and 100 * least(n, n_a) >= 75 * greatest(n, n_a)").select("band", "a", F.col("doc").alias("b"))
     # A part of the groups links most of what there is to link; the others then add pairs of different components only.
-    tested = stored(_estimated(stars.filter(F.pmod(F.xxhash64("band"), F.lit(PARTS)) == 0).select("a", "b").distinct(), classes), "pairs")
-    links = stored(_verified(tested, texts).union(known), "near")
-    labels = _labels(links)
+    tested = kept(_estimated(stars.filter(F.pmod(F.xxhash64("band"), F.lit(PARTS)) == 0).select("a", "b").distinct(), classes), "pairs")
+    links = kept(_verified(tested, texts).union(known), "near")
+    labels = labelled(links)
     apart = _apart(stars.select("a", "b").distinct(), labels).join(tested, ["a", "b"], "left_anti")
-    tested, links, labels = _extended(stored(_estimated(apart, classes), "pairs"), tested, links, labels, texts)
+    extended(kept(_estimated(apart, classes), "pairs"))
     larger = members.filter("c > 2").select("band", "doc")
     near = _best_across(_open_groups(larger, labels), classes).distinct().join(tested, ["a", "b"], "left_anti")
-    tested, links, labels = _extended(stored(near, "pairs"), tested, links, labels, texts)
-    open_ = stored(_open_groups(larger, labels), "open")
-    found = stored(_linked_across(open_, classes, texts), "near")
-    return labels if found.isEmpty() else _labels(links.union(found))
+    extended(kept(near, "pairs"))
+    open_ = kept(_open_groups(larger, labels), "open")
+    found = kept(_linked_across(open_, classes, texts), "near")
+    if not found.isEmpty():
+        labels = labelled(links.union(found))
+    discard(spark, *[df for df in made if df is not labels])
+    return labels
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -443,7 +457,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     several = named.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select(F.col("doc_id").alias("b"))
     by_name = named.join(several, F.col("doc_id") == F.col("b")).join(classes.select(F.col("digest").alias("_d"), F.col("doc").alias("a")), F.col("digest") == F.col("_d")).select("a", "b").distinct()
     labels = link_classes(classes, texts, by_name)
-    by_class = classes.select("digest", "doc").join(labels, F.col("doc") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("component", "doc").alias("found"))
+    by_class = stored(classes.select("digest", "doc").join(labels, F.col("doc") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("component", "doc").alias("found")), "components")
+    discard(spark, classes, labels)
     out = table.join(by_class, F.col("digest") == F.col("_d"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
