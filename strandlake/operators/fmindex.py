@@ -143,7 +143,7 @@ def fm_count(fm: Column, pattern: str) -> Column:
     @F.arrow_udf("bigint")
     def run(raws: pa.Array) -> pa.Array:
         load = loader()
-        return pa.array([None if r is None else load(r).count(sought) for r in raws.to_pylist()], pa.int64())
+        return pa.array([None if r is None else load(r).count(sought) for r in (x.as_py() for x in raws)], pa.int64())
 
     return run(fm)
 
@@ -157,7 +157,7 @@ def fm_interval(fm: Column, pattern: str) -> Column:
     @F.arrow_udf("struct<sp:bigint,ep:bigint>")
     def run(raws: pa.Array) -> pa.Array:
         load, out = loader(), []
-        for r in raws.to_pylist():
+        for r in (x.as_py() for x in raws):
             low, high = (0, 0) if r is None else load(r).interval(sought)
             out.append({"sp": low - 1, "ep": high - 2} if low < high else None)
         return pa.array(out, pa.struct([("sp", pa.int64()), ("ep", pa.int64())]))
@@ -178,7 +178,7 @@ def fm_locate(fm: Column, pattern: str) -> Column:
     @F.arrow_udf("array<bigint>")
     def run(raws: pa.Array) -> pa.Array:
         load = loader()
-        return pa.array([None if r is None else load(r).locate(sought) for r in raws.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([None if r is None else load(r).locate(sought) for r in (x.as_py() for x in raws)], pa.list_(pa.int64()))
 
     return run(fm)
 
@@ -189,6 +189,6 @@ def fm_extract(fm: Column, begin: int, end: int) -> Column:
     @F.arrow_udf("string")
     def run(raws: pa.Array) -> pa.Array:
         load = loader()
-        return pa.array([None if r is None else load(r).extract(begin, end).decode("utf-8", "replace") for r in raws.to_pylist()], pa.string())
+        return pa.array([None if r is None else load(r).extract(begin, end).decode("utf-8", "replace") for r in (x.as_py() for x in raws)], pa.string())
 
     return run(fm)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import bins, cigar, dna, flags, sam_header, tags
 from ..functions.reconstruct import reconstruct_reference
 from ..operators import blocks, fmindex, intervals, search, textindex
-from ..session import shared_dir, ship
+from ..session import shared_dir, ship, stored
 from ..sources import register
 from ..streaming.landing import windowed_counts
 
@@ -489,7 +489,15 @@ def q_crc32(spark, sf_dir):
     return sequences(spark, sf_dir).select("header", F.crc32(F.col("seq").cast("binary")).alias("crc32"))
 
 
-@query()
+#: Package-merge level by level: leaves and the packages of the level before, sorted, are paired. Codes of equal length count up.
+@query("""WITH RECURSIVE c AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch),
+leaves AS (SELECT list({'n': CAST(n AS HUGEINT), 's': [ch]}) AS l FROM c),
+p AS (SELECT 0 AS step, list_filter(l, lambda x: false) AS packages FROM leaves
+  UNION ALL SELECT step + 1, list_transform(range(1, len(r), 2), lambda i: {'n': r[i].n + r[i + 1].n, 's': list_concat(r[i].s, r[i + 1].s)})
+  FROM (SELECT step, list_sort(list_concat(l, packages)) AS r FROM p, leaves WHERE step < 15)),
+b AS (SELECT ch, count(*) AS bits FROM (SELECT unnest(x.s) AS ch FROM (SELECT unnest(packages[:len(l) - 1]) AS x FROM p, leaves WHERE step = 15)) GROUP BY ch),
+f AS (SELECT *, CAST(coalesce(sum(1 << (15 - bits)) OVER (ORDER BY bits, ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM b)
+SELECT ch, n, bits, lpad(bin(ahead >> (15 - bits)), CAST(bits AS INT), '0') AS code FROM f JOIN c USING (ch)""")
 def q_huffman_lengths(spark, sf_dir):
     return textindex.huffman_codes(textindex.histogram(sequences(spark, sf_dir)))
 
@@ -554,6 +562,32 @@ def q_fm_locate(spark, sf_dir):
     return fm.select("header", F.explode(fmindex.fm_locate(F.col("fm"), "th")).alias("pos"))
 
 
+#: The same over whole documents, whose positions count bytes.
+DOC_BYTES = PLACES.format(key="doc_id", size=len(PATTERN), text="text", pattern=f"'{PATTERN}'", source="documents").replace("length(part)", "strlen(part)")
+
+
+def document_indexes(spark, sf_dir) -> DataFrame:
+    """Each document's index, stored: building takes longer than any answer."""
+    return stored(fmindex.build_indexes(sequences(spark, sf_dir)), "indexes")
+
+
+@query(f"SELECT doc_id AS header, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST((length(text) - length(replace(text, '{PATTERN}', ''))) // {len(PATTERN)} AS BIGINT) AS n_matches FROM documents")
+def q_fm_count_documents(spark, sf_dir):
+    return document_indexes(spark, sf_dir).select("header", "n_bytes", fmindex.fm_count(F.col("fm"), PATTERN).alias("n_matches"))
+
+
+@query(f"SELECT header, pos FROM {DOC_BYTES} WHERE i < n")
+def q_fm_locate_documents(spark, sf_dir):
+    return document_indexes(spark, sf_dir).select("header", F.explode(fmindex.fm_locate(F.col("fm"), PATTERN)).alias("pos"))
+
+
+#: Whole texts read back from their transforms alone.
+@query("SELECT doc_id AS header, md5(text) AS digest FROM documents")
+def q_fm_restore_documents(spark, sf_dir):
+    text = fmindex.fm_extract(F.col("fm"), 0, 1 << 62)
+    return document_indexes(spark, sf_dir).select("header", F.md5(text.cast("binary")).alias("digest"))
+
+
 # Sources and sinks
 
 
