@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import bits, cigar, dna, gzip, sam_header, tags
-from ..operators import blocks, fmindex, intervals, search, textindex
-from ..session import shared_dir, ship
+from ..operators import blocks, fmindex, search, textindex
+from ..session import batches_of, shared_dir, ship
 from ..sources import bam, register, sniff
 from ..sources.files import list_files
 from .catalog import ALN, ALN_BIN, DOC_PLACES, PATTERN, QUERIES, SQL, addresses, alignments, big, query, sequences, table
@@ -124,8 +124,9 @@ def _bam_file(spark, sf_dir) -> str:
     """The alignments in the order of reference and position, in one file, as an index is about one."""
     register(spark)
     path = shared_dir(spark, "bam")
-    rows = _bam_rows(spark, sf_dir).repartition(1).sortWithinPartitions("ref_id", "pos")
-    rows.write.format("bam").options(header=BAM_HEADER).option("path", path).mode("append").save()
+    rows = _bam_rows(spark, sf_dir).orderBy("ref_id", "pos")
+    with batches_of(spark, 1000):
+        rows.write.format("bam").options(header=BAM_HEADER, single="true").option("path", path).mode("append").save()
     return list_files(path)[0][0]
 
 
@@ -157,7 +158,8 @@ def q_tags_roundtrip(spark, sf_dir):
     path, l = shared_dir(spark, "tags"), table(spark, sf_dir, "lineitem")  # noqa: E741
     made = F.create_map(F.lit("NM"), tags.make_tag("C", F.col("l_suppkey") % 200), F.lit("AS"), tags.make_tag("i", -F.col("l_partkey")), F.lit("RG"), tags.make_tag("Z", F.concat(F.lit("g"), F.col("l_linenumber").cast("string"))), F.lit("XA"), tags.make_tag("A", F.col("l_returnflag")), F.lit("XF"), tags.make_tag("f", F.col("l_quantity")), F.lit("FZ"), tags.make_tag("BS", F.array(F.col("l_suppkey") % 7, F.lit(65535).cast("bigint"))))
     rows = l.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("qname"), F.lit(4).alias("flag"), F.lit(-1).alias("ref_id"), F.lit("*").alias("cigar"), made.alias("tags"))
-    rows.write.format("bam").options(header=BAM_HEADER).option("path", path).mode("append").save()
+    with batches_of(spark, 1000):
+        rows.write.format("bam").options(header=BAM_HEADER).option("path", path).mode("append").save()
     t = F.col("tags")
     return spark.read.format("bam").load(path).select("qname", tags.int_tag(t, "NM").alias("nm"), tags.int_tag(t, "AS").alias("score"), tags.read_group(t).alias("rg"), tags.string_tag(t, "XA").alias("one"), tags.get_tag(t, "XF")["f"].alias("number"), F.array_join(tags.get_tag(t, "FZ")["ia"].cast("array<string>"), ",").alias("numbers"))
 
@@ -166,8 +168,7 @@ def q_tags_roundtrip(spark, sf_dir):
   CAST(max(((greatest(end_pos, pos) - 1) >> 14) + 1) FILTER (WHERE flag & 4 = 0) AS BIGINT) AS n_windows FROM {ALN_BIN} GROUP BY ref_id""")
 def q_bai_roundtrip(spark, sf_dir):
     path = _bam_file(spark, sf_dir)
-    records, refs = spark.read.format("bam").load(path), spark.read.format("bam").option("part", "refs").load(path)
-    bam.write_index(path + ".bai", refs.count(), *intervals.build_index(records, refs))
+    bam.make_index(spark, path, path + ".bai")
     told = spark.read.format("bai").load(path + ".bai").withColumn("at", F.monotonically_increasing_id())
     pseudo = F.col("bin") == bam.UNMAPPED_BIN
     counts = F.max(F.when(pseudo, F.struct("at", "chunk_beg", "chunk_end")))
@@ -185,8 +186,7 @@ def q_region_built_index(spark, sf_dir):
 @query(f"SELECT ref_id, bin, row_number() OVER (PARTITION BY ref_id ORDER BY bin) AS place FROM (SELECT DISTINCT CAST(ref_id - 1 AS INT) AS ref_id, CAST(bin AS BIGINT) AS bin FROM {ALN_BIN} WHERE flag & 4 = 0)")
 def q_bins_ordered(spark, sf_dir):
     path = _bam_file(spark, sf_dir)
-    records, refs = spark.read.format("bam").load(path), spark.read.format("bam").option("part", "refs").load(path)
-    bam.write_index(path + ".bai", refs.count(), *intervals.build_index(records, refs))
+    bam.make_index(spark, path, path + ".bai")
     told = spark.read.format("bai").load(path + ".bai").filter(F.col("bin") != bam.UNMAPPED_BIN).withColumn("at", F.monotonically_increasing_id())
     # The place of a bin is where the file has it.
     first = told.groupBy("ref_id", "bin").agg(F.min("at").alias("at"))

@@ -5,7 +5,7 @@ option ``index``) the file is read in parts that begin at the index's offsets, a
 leave out parts that can't hold a match. Without one it is read in parts of ``split`` bytes: a part finds its first record
 by the chain of records that follows, and the part before checks that it ends just there; if it doesn't, that is an
 error that asks for an index (``split`` 0: a file is a partition). With the option ``lazy`` (true) bases,
-qualities and tags are null and not decoded. The option ``part`` gives the ``header``
+qualities and tags are null and not decoded. Records are decoded and encoded in batches (``bam_batches``). The option ``part`` gives the ``header``
 (line_no, line) or the ``refs`` instead. ``spark.read.format("bai")`` gives the index's chunks, or with ``part`` =
 ``linear`` its linear offsets.
 """
@@ -19,18 +19,21 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..functions.bins import LEVELS, UNMAPPED_BIN, UNPLACED_BIN
 from ..functions.cigar import OPS
 from ..functions.dna import BASE_CODES
 from ..schemas import ALIGNMENTS, BAI_BINS, BAI_LINEAR, REFS
-from .bgzf import BlockWriter, MemberReader, block_at
-from .files import in_batches, list_files, open_input, open_output, remove_others
+from . import bam_batches
+from .bgzf import END_BLOCK, BlockWriter, MemberReader, block_at
+from .files import in_batches, list_files, open_fs, open_input, open_output, remove_others
 
 FIXED = struct.Struct("<iiBBHHHiiii")
 NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 PART_BYTES = 32 << 20
+#: Starting a task takes longer than a small part: one reads neighbouring parts up to this share of the file, and to PART_BYTES.
+TASKS = 512
 #: Records in a row that must fit together for a part's first to be believed, and bytes of a record at most.
 CHAIN, LONGEST = 12, 256 << 20
 
@@ -110,31 +113,6 @@ def bin_of(begin: int, end: int) -> int:
     return 0
 
 
-def decode_record(raw: bytes, names: list[str], begin: int, end: int, keep: bool = True) -> tuple:
-    """An ALIGNMENTS row from a record's bytes (without its size) and its virtual offsets.
-
-    Without ``keep``, bases, qualities and tags are null and not decoded.
-    """
-    ref_id, pos, l_name, mapq, bin_, n_cigar, flag, l_seq, next_ref, next_pos, tlen = FIXED.unpack_from(raw)
-    at = FIXED.size
-    qname = raw[at : at + l_name - 1].decode("latin-1")
-    at += l_name
-    ops = [(c >> 4, OPS[c & 15]) for c in struct.unpack_from(f"<{n_cigar}I", raw, at)]
-    at += 4 * n_cigar
-    name_of = lambda i: names[i] if 0 <= i < len(names) else None
-    end_pos = 0 if flag & 4 or not ops else pos + reference_span(ops)
-    place = qname, flag, ref_id, name_of(ref_id), pos + 1, end_pos, mapq, "".join(f"{n}{op}" for n, op in ops) or "*", next_ref, name_of(next_ref), next_pos + 1, tlen
-    if not keep:
-        return *place, None, None, bin_, begin, end, None
-    packed = raw[at : at + (l_seq + 1) // 2]
-    seq = "".join(BASE_CODES[b >> 4] + BASE_CODES[b & 15] for b in packed)[:l_seq]
-    at += len(packed)
-    qual = raw[at : at + l_seq]
-    at += l_seq
-    text = None if qual[:1] == b"\xff" else "".join(chr(q + 33) for q in qual)
-    return *place, seq or None, text if l_seq else None, bin_, begin, end, decode_tags(raw[at:])
-
-
 def encode_record(r) -> bytes:
     """A record's bytes with its size, from a row of ALIGNMENTS; the bin is computed."""
     import re
@@ -176,22 +154,24 @@ def first_record(source, size: int, begin: int, n_ref: int) -> int:
     block = block_at(source, size, begin)
     while block < size:
         stream = MemberReader(source, size, block << 16)
-        # The first block with content is searched; what follows it serves to check the chain.
-        parts, here, length = [], None, 0
-        for at, part in stream.parts():
-            here = at if here is None else here
-            parts.append(part)
-            length += len(part)
-            if length > 1 << 19:
-                break
+        # The first block with content is searched; what follows it serves to check the chain, and is read as the chain gets there.
+        parts = stream.parts()
+        here, data = next(parts, (None, b""))
         if here is None:
             return size << 16
-        data, whole = b"".join(parts), stream.next >= size
-        numbers = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 4).astype(np.uint32) if len(data) >= 4 else np.zeros((0, 4), np.uint32)
-        sizes = (numbers @ np.array([1, 1 << 8, 1 << 16, 1 << 24], np.uint32))[: len(parts[0])].astype(np.int64)
+        first, whole = len(data), stream.next >= size
+        padded = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+        sizes = padded[:first] | padded[1 : first + 1] << 8 | padded[2 : first + 2] << 16 | padded[3 : first + 3] << 24
+        # A size that goes on in the next block is left to the test.
+        sizes[-3:] = FIXED.size + 1
         for at in np.flatnonzero((sizes >= FIXED.size + 1) & (sizes <= LONGEST)).tolist():
             place, n = at, 0
-            while n < CHAIN and place < len(data):
+            while n < CHAIN:
+                while not whole and place + 4 + FIXED.size + 256 > len(data) and len(data) <= 1 << 19:
+                    data += next(parts, (0, b""))[1]
+                    whole = stream.next >= size
+                if place >= len(data):
+                    break
                 step = _fits(data, place, n_ref)
                 if step is None or (whole and (step == 0 or place + step > len(data))):
                     break
@@ -260,6 +240,16 @@ def write_index(path: str, n_ref: int, bins: DataFrame, linear: DataFrame, total
         sink.write(data)
 
 
+def make_index(spark: SparkSession, path: str, to: str) -> None:
+    """Write the index of a file. Its records are read once, without bases, qualities and tags, and their places stored."""
+    from ..operators.intervals import build_index
+    from ..session import stored
+
+    records, refs = spark.read.format("bam").option("lazy", "true").load(path), spark.read.format("bam").option("part", "refs").load(path)
+    places = stored(records.select("ref_id", "flag", "pos", "end_pos", "bin", "voffset", "voffset_end"), "places")
+    write_index(to, refs.count(), *build_index(places, refs))
+
+
 def find_index(path: str, given: str | None = None) -> str | None:
     """The index of a file: the given one, or the one beside it, or None."""
     for name in [given] if given else [path + ".bai", path.removesuffix(".bam") + ".bai"]:
@@ -277,7 +267,6 @@ def indexed(spark: SparkSession, path: str, index: str | None = None) -> DataFra
 
     A missing index is saved to ``index`` if that is given, and otherwise for the session only, in shared storage.
     """
-    from ..operators.intervals import build_index
     from ..session import shared_dir
 
     try:
@@ -286,20 +275,19 @@ def indexed(spark: SparkSession, path: str, index: str | None = None) -> DataFra
         found = None
     if found is None:
         found = index or f"{shared_dir(spark, 'index')}/index.bai"
-        records, refs = spark.read.format("bam").load(path), spark.read.format("bam").option("part", "refs").load(path)
-        write_index(found, refs.count(), *build_index(records, refs))
+        make_index(spark, path, found)
     return spark.read.format("bam").option("index", found).load(path)
 
 
 @dataclass
 class Part(InputPartition):
-    """A file from one virtual offset to another (None: its ends), or with ``span`` the records that start in those bytes."""
+    """A file from one virtual offset to another (None: its ends), or with ``spans`` the records that start in each of those ranges of bytes."""
 
     path: str
     size: int
     begin: int | None
     end: int | None
-    span: tuple[int, int] | None = None
+    spans: list[tuple[int, int]] | None = None
 
 
 class BamReader(DataSourceReader):
@@ -329,7 +317,9 @@ class BamReader(DataSourceReader):
             index = find_index(path, self.index) if self.part == "records" else None
             if index is None:
                 if self.part == "records" and 0 < self.split < size:
-                    out += [Part(path, size, None, None, (at, min(size, at + self.split))) for at in range(0, size, self.split)]
+                    spans = [(at, min(size, at + self.split)) for at in range(0, size, self.split)]
+                    n = max(1, min(PART_BYTES, size // TASKS) // self.split)
+                    out += [Part(path, size, None, None, spans[i : i + n]) for i in range(0, len(spans), n)]
                 else:
                     out.append(Part(path, size, None, None))
                 continue
@@ -361,38 +351,38 @@ class BamReader(DataSourceReader):
         return sorted(chunks)
 
     def read(self, partition):
-        return in_batches(self._read(partition), self.schema)
-
-    def _read(self, partition):
+        if self.part != "records":
+            yield from in_batches(self._told(partition), self.schema)
+            return
         with open_input(partition.path) as source:
             stream = MemberReader(source, partition.size)
-            text, refs = read_header(stream)
-            if self.part == "header":
-                yield from ((i, line) for i, line in enumerate(x for x in text.split("\n") if x))
-                return
-            if self.part == "refs":
-                yield from ((i, name, length) for i, (name, length) in enumerate(refs))
-                return
+            _, refs = read_header(stream)
             names = [name for name, _ in refs]
-            begin, end = partition.begin, partition.end
-            if partition.span:
-                low, high = partition.span
-                begin, end = first_record(source, partition.size, low, len(refs)) if low else None, high << 16
-            if begin is not None:
-                stream = MemberReader(source, partition.size, begin)
-            while stream.more():
-                begin = stream.voffset()
-                if end is not None and begin >= end:
-                    break
-                size = stream.exactly(4)
-                raw = stream.exactly(struct.unpack("<i", size)[0])
-                yield decode_record(raw, names, begin, stream.voffset(), self.keep)
-            if partition.span and high < partition.size:
-                here = stream.voffset() if stream.more() else partition.size << 16
-                if here < end:
-                    here = partition.size << 16
-                if first_record(source, partition.size, high, len(refs)) != here:
-                    raise ValueError(f"{partition.path} can't be split at {high} without an index: make one, or set split to 0")
+            if not partition.spans:
+                if partition.begin is not None:
+                    stream = MemberReader(source, partition.size, partition.begin)
+                for run in bam_batches.Runs(stream, partition.end):
+                    yield bam_batches.decode(*run, names, self.keep)
+                return
+            for low, high in partition.spans:
+                if low:
+                    stream = MemberReader(source, partition.size, first_record(source, partition.size, low, len(refs)))
+                runs = bam_batches.Runs(stream, high << 16)
+                for run in runs:
+                    yield bam_batches.decode(*run, names, self.keep)
+                if high < partition.size:
+                    here = partition.size << 16 if runs.here is None or runs.here < high << 16 else runs.here
+                    if first_record(source, partition.size, high, len(refs)) != here:
+                        raise ValueError(f"{partition.path} can't be split at {high} without an index: make one, or set split to 0")
+
+    def _told(self, partition):
+        """The header's lines, or the references."""
+        with open_input(partition.path) as source:
+            text, refs = read_header(MemberReader(source, partition.size))
+        if self.part == "header":
+            yield from ((i, line) for i, line in enumerate(x for x in text.split("\n") if x))
+        else:
+            yield from ((i, name, length) for i, (name, length) in enumerate(refs))
 
 
 def _joined(chunks):
@@ -411,38 +401,70 @@ class Written(WriterCommitMessage):
     path: str
 
 
-class BamWriter(DataSourceWriter):
-    """A file for each task, each with the header given by the option ``header``; references come from its @SQ lines."""
+class BamWriter(DataSourceArrowWriter):
+    """A file for each task, each with the header given by the option ``header``; references come from its @SQ lines.
+
+    With the option ``single`` (true) the tasks' records become one file in the partitions' order: tasks write blocks
+    of records to a folder beside it, and the commit copies them, as they are, behind the header.
+    """
 
     def __init__(self, options, schema):
-        self.path, self.header, self.names = options.get("path"), options.get("header", ""), schema.fieldNames()
+        self.path, self.header, self.names = options.get("path").rstrip("/"), options.get("header", ""), schema.fieldNames()
+        self.single = str(options.get("single", "false")).lower() == "true"
         self.job = uuid.uuid4().hex[:12]
+        self.pieces = f"{self.path}/.pieces-{self.job}"
         fields = [dict(f.split(":", 1) for f in line.split("\t")[1:] if ":" in f) for line in self.header.split("\n") if line.startswith("@SQ")]
         self.refs = [(f["SN"], int(f["LN"])) for f in fields]
 
+    def _write_header(self, out: BlockWriter) -> None:
+        text = self.header.encode()
+        out.write(b"BAM\x01" + struct.pack("<I", len(text)) + text + struct.pack("<I", len(self.refs)))
+        for name, length in self.refs:
+            out.write(struct.pack("<I", len(name) + 1) + name.encode() + b"\0" + struct.pack("<I", length))
+
     def write(self, iterator):
         context = TaskContext.get()
-        path = f"{self.path.rstrip('/')}/part-{context.partitionId():06d}-{self.job}-{context.taskAttemptId()}.bam"
+        path = f"{self.pieces if self.single else self.path}/part-{context.partitionId():06d}-{self.job}-{context.taskAttemptId()}.bam"
         with open_output(path) as sink:
-            out, text = BlockWriter(sink), self.header.encode()
-            out.write(b"BAM\x01" + struct.pack("<I", len(text)) + text + struct.pack("<I", len(self.refs)))
-            for name, length in self.refs:
-                out.write(struct.pack("<I", len(name) + 1) + name.encode() + b"\0" + struct.pack("<I", length))
-            for row in iterator:
-                out.write(encode_record(dict.fromkeys(("qname", "flag", "ref_id", "pos", "mapq", "cigar", "next_ref_id", "next_pos", "tlen", "seq", "qual", "tags")) | dict(zip(self.names, row, strict=True))))
-            out.close()
+            out = BlockWriter(sink)
+            if not self.single:
+                self._write_header(out)
+            for batch in iterator:
+                for data in bam_batches.encode(batch.rename_columns(self.names)):
+                    out.write(data)
+            if self.single:
+                out.flush()
+            else:
+                out.close()
         return Written(path)
 
     def commit(self, messages):
-        remove_others(self.path, self.job, messages)
+        if not self.single:
+            remove_others(self.path, self.job, messages)
+            return
+        with open_output(f"{self.path}/part-000000-{self.job}.bam") as sink:
+            out = BlockWriter(sink)
+            self._write_header(out)
+            out.flush()
+            for path in sorted(m.path for m in messages if m):
+                with open_input(path) as source:
+                    while part := source.read(1 << 24):
+                        sink.write(part)
+            sink.write(END_BLOCK)
+        self._drop_pieces()
 
     def abort(self, messages):
-        from .files import open_fs
-
         for m in messages:
-            if m:
+            if m and not self.single:
                 files, where = open_fs(m.path)
                 files.delete_file(where)
+        if self.single:
+            self._drop_pieces()
+
+    def _drop_pieces(self):
+        files, where = open_fs(self.pieces)
+        if files.get_file_info(where).type.name == "Directory":
+            files.delete_dir(where)
 
 
 class BamSource(DataSource):
