@@ -584,8 +584,10 @@ def q_fm_locate_documents(spark, sf_dir):
 #: Whole texts read back from their transforms alone.
 @query("SELECT doc_id AS header, md5(text) AS digest FROM documents")
 def q_fm_restore_documents(spark, sf_dir):
+    # The package is sent to workers with the indexes, and a function made before that would go without it.
+    indexes = document_indexes(spark, sf_dir)
     text = fmindex.fm_extract(F.col("fm"), 0, 1 << 62)
-    return document_indexes(spark, sf_dir).select("header", F.md5(text.cast("binary")).alias("digest"))
+    return indexes.select("header", F.md5(text.cast("binary")).alias("digest"))
 
 
 # Sources and sinks

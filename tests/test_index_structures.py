@@ -70,3 +70,22 @@ def test_index_rows(spark):
     fm = build_indexes(df)
     got = {r[0]: tuple(r[1:]) for r in fm.select("header", "n_bytes", fm_count(fm.fm, "AA"), fm_locate(fm.fm, "ACGT"), fm_extract(fm.fm, 2, 6)).collect()}
     assert got == {"chr1": (14, 3, [3, 10], "AACG"), "none": (0, 0, [], "")}
+
+
+def test_whole_texts_are_read_back_at_once_and_repetitive_ones_are_sorted():
+    import random
+    import time
+
+    from strandlake.operators.textindex import suffix_order
+
+    rng = random.Random(3)
+    texts = [b"", b"a", b"ab" * 40, b"\0\0\0", b"a" * 64, b"the same line\n" * 50, bytes(rng.choices(range(256), k=1000)), bytes(rng.choices(b"ab", k=333))]
+    for data in texts:
+        assert suffix_order(data).tolist() == sorted(range(len(data)), key=lambda i: data[i:])  # noqa: B023
+        index = FmIndex.load(FmIndex.of(data).dump())
+        for begin, end in ((0, 1 << 62), (0, 31), (5, 64), (31, 33), (32, 64), (63, 70), (200, 201)):
+            assert index.extract(begin, end) == data[begin:end]
+    data = b" ".join(rng.choices([b"the", b"corpus", b"of", b"texts", b"line"], k=60_000))
+    index, began = FmIndex.of(data), time.process_time()
+    # Letter by letter it takes some 5 microseconds a byte.
+    assert index.extract(0, len(data)) == data and time.process_time() - began < 0.5
