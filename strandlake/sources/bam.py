@@ -217,7 +217,7 @@ def index_bytes(n_ref: int, bins: list[tuple[int, int, int, int]], linear: list[
     windows: dict = {}
     for ref, win, at in linear:
         windows.setdefault(ref, {})[win] = at
-    out = b"BAI\x01" + struct.pack("<I", n_ref)
+    out = bytearray(b"BAI\x01" + struct.pack("<I", n_ref))
     for ref in range(n_ref):
         own = chunks.get(ref, {})
         out += struct.pack("<I", len(own))
@@ -229,7 +229,7 @@ def index_bytes(n_ref: int, bins: list[tuple[int, int, int, int]], linear: list[
             last = wins.get(w, last)
             offsets.append(last)
         out += struct.pack("<I", len(offsets)) + struct.pack(f"<{len(offsets)}Q", *offsets)
-    return out + struct.pack("<Q", unplaced)
+    return bytes(out + struct.pack("<Q", unplaced))
 
 
 def write_index(path: str, n_ref: int, bins: DataFrame, linear: DataFrame, totals: DataFrame) -> None:

@@ -82,3 +82,29 @@ def test_batches_of_tags_are_bounded_by_rows(spark, tmp_path):
     assert spark.conf.get(key) == before
     got = spark.read.format("bam").load(str(tmp_path / "tags")).select("qname", tags.int_tag(F.col("tags"), "NM"), tags.read_group(F.col("tags"))).collect()
     assert sorted(map(tuple, got)) == sorted((str(i), i, "g") for i in range(50))
+
+
+def test_an_index_of_many_bins_is_made_in_linear_time():
+    import time
+
+    bins = [(ref, 4681 + b, (ref << 40) + b, (ref << 40) + b + 1) for ref in range(4) for b in range(25_000)]
+    linear = [(ref, w, (ref << 40) + w) for ref in range(4) for w in range(25_000)]
+    began = time.process_time()
+    data = bam.index_bytes(4, bins, linear, 3)
+    assert time.process_time() - began < 5
+    told = bam.read_index(data)
+    assert sorted((r, b, *c) for (r, b), (c,) in told["bins"].items()) == bins and told["unplaced"] == 3
+    assert [(r, w, at) for r, offsets in told["linear"].items() for w, at in enumerate(offsets)] == linear
+
+
+def test_an_index_is_made_of_stored_places(spark, tmp_path):
+    register(spark)
+    rows = spark.range(3000).select(F.concat(F.lit("q"), "id").alias("qname"), F.when(F.col("id") % 5 == 0, 4).otherwise(0).alias("flag"), F.lit(0).alias("ref_id"), (F.col("id") * 90 + 1).cast("int").alias("pos"), F.lit("50M").alias("cigar"))
+    rows.orderBy("pos").write.format("bam").options(header=HEADER, single="true").mode("append").save(str(tmp_path / "x"))
+    path = list_files(str(tmp_path / "x"))[0][0]
+    bam.make_index(spark, path, path + ".bai")
+    with open(path + ".bai", "rb") as f:
+        told = bam.read_index(f.read())
+    assert told["bins"][0, bam.UNMAPPED_BIN][1] == (2400, 600) and told["n_ref"] == 2
+    got = spark.read.format("bam").load(path).filter("ref_id = 0 and pos < 9000 and end_pos > 4000").select("qname").collect()
+    assert sorted(r[0] for r in got) == sorted(f"q{i}" for i in range(3000) if i % 5 and i * 90 + 1 < 9000 and i * 90 + 50 > 4000)
