@@ -101,3 +101,19 @@ def build_index(records: DataFrame, refs: DataFrame | None = None) -> tuple[Data
     pseudo = sums.select("ref_id", F.lit(UNMAPPED_BIN).cast("bigint").alias("bin"), F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("c").alias("x"), F.col("d").alias("y")))).alias("p")).select("ref_id", "bin", F.col("p.x").alias("chunk_beg"), F.col("p.y").alias("chunk_end"))
     totals = records.agg(F.count_if(F.col("ref_id") < 0).alias("unplaced"), F.max(F.when(F.col("ref_id") >= 0, F.col("voffset_end"))).alias("last_mapped"))
     return merge_chunks(data).unionByName(pseudo), linear_index(placed), totals
+
+
+def join_index(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``build_index`` gives, from the runs' INDEX_PARTS.
+
+    A bin's chunks that meet within a run also meet among all of its chunks, so that merging twice changes nothing.
+    """
+    of = lambda kind: parts.filter(F.col("kind") == kind)
+    data = of("bin").select("ref_id", F.col("at").alias("bin"), F.col("low").alias("chunk_beg"), F.col("high").alias("chunk_end"))
+    only = lambda kind, value: F.when(F.col("kind") == kind, F.col(value))
+    told = parts.filter("kind in ('span', 'count')").groupBy("ref_id").agg(F.min(only("span", "low")).alias("a"), F.max(only("span", "high")).alias("b"), F.sum(only("count", "low")).alias("c"), F.sum(only("count", "high")).alias("d"))
+    pairs = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("c").alias("x"), F.col("d").alias("y")))
+    pseudo = told.select("ref_id", F.lit(UNMAPPED_BIN).cast("bigint").alias("bin"), F.explode(pairs).alias("p")).select("ref_id", "bin", F.col("p.x").alias("chunk_beg"), F.col("p.y").alias("chunk_end"))
+    linear = of("win").groupBy("ref_id", F.col("at").alias("win")).agg(F.min("low").alias("voffset"))
+    totals = parts.agg(F.coalesce(F.sum(only("unplaced", "low")), F.lit(0)).alias("unplaced"), F.max(only("span", "high")).alias("last_mapped"))
+    return merge_chunks(data).unionByName(pseudo), linear, totals

@@ -111,6 +111,8 @@ def q_blocked_members(spark, sf_dir):
 # Alignment files
 
 BAM_HEADER = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:ref{i}\tLN:536870912\n" for i in range(1, 8)) + "@RG\tID:g1\n@RG\tID:g2\n"
+#: Rows of a batch that is written; they are short, and each batch has costs of its own.
+BATCH = 10_000
 QNAME = "l_orderkey || '/' || ref_id"
 
 
@@ -125,7 +127,7 @@ def _bam_file(spark, sf_dir) -> str:
     register(spark)
     path = shared_dir(spark, "bam")
     rows = _bam_rows(spark, sf_dir).orderBy("ref_id", "pos")
-    with batches_of(spark, 1000):
+    with batches_of(spark, BATCH):
         rows.write.format("bam").options(header=BAM_HEADER, single="true").option("path", path).mode("append").save()
     return list_files(path)[0][0]
 

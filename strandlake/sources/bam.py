@@ -7,7 +7,7 @@ by the chain of records that follows, and the part before checks that it ends ju
 error that asks for an index (``split`` 0: a file is a partition). With the option ``lazy`` (true) bases,
 qualities and tags are null and not decoded. Records are decoded and encoded in batches (``bam_batches``). The option ``part`` gives the ``header``
 (line_no, line) or the ``refs`` instead. ``spark.read.format("bai")`` gives the index's chunks, or with ``part`` =
-``linear`` its linear offsets.
+``linear`` its linear offsets. An index is made from the parts ``index``: what each run of records gives to it, without the records.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from ..functions.bins import LEVELS, UNMAPPED_BIN, UNPLACED_BIN
 from ..functions.cigar import OPS
 from ..functions.dna import BASE_CODES
-from ..schemas import ALIGNMENTS, BAI_BINS, BAI_LINEAR, REFS
+from ..schemas import ALIGNMENTS, BAI_BINS, BAI_LINEAR, INDEX_PARTS, REFS
 from . import bam_batches
 from .bgzf import END_BLOCK, BlockWriter, MemberReader, block_at
 from .files import in_batches, list_files, open_fs, open_input, open_output, remove_others
@@ -34,6 +34,8 @@ NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f"
 PART_BYTES = 32 << 20
 #: Starting a task takes longer than a small part: one reads neighbouring parts up to this share of the file, and to PART_BYTES.
 TASKS = 512
+#: Parts that go by the records, not by the header.
+RECORDS = ("records", "index")
 #: Records in a row that must fit together for a part's first to be believed, and bytes of a record at most.
 CHAIN, LONGEST = 12, 256 << 20
 
@@ -241,13 +243,13 @@ def write_index(path: str, n_ref: int, bins: DataFrame, linear: DataFrame, total
 
 
 def make_index(spark: SparkSession, path: str, to: str) -> None:
-    """Write the index of a file. Its records are read once, without bases, qualities and tags, and their places stored."""
-    from ..operators.intervals import build_index
+    """Write the index of a file. Its records are read once; of each run of them only its chunks, windows and counts are stored."""
+    from ..operators.intervals import join_index
     from ..session import stored
 
-    records, refs = spark.read.format("bam").option("lazy", "true").load(path), spark.read.format("bam").option("part", "refs").load(path)
-    places = stored(records.select("ref_id", "flag", "pos", "end_pos", "bin", "voffset", "voffset_end"), "places")
-    write_index(to, refs.count(), *build_index(places, refs))
+    refs = spark.read.format("bam").option("part", "refs").load(path)
+    parts = stored(spark.read.format("bam").option("part", "index").load(path), "places")
+    write_index(to, refs.count(), *join_index(parts))
 
 
 def find_index(path: str, given: str | None = None) -> str | None:
@@ -314,9 +316,9 @@ class BamReader(DataSourceReader):
         for path, size in list_files(self.path):
             if path.endswith(".bai"):
                 continue
-            index = find_index(path, self.index) if self.part == "records" else None
+            index = find_index(path, self.index) if self.part in RECORDS else None
             if index is None:
-                if self.part == "records" and 0 < self.split < size:
+                if self.part in RECORDS and 0 < self.split < size:
                     spans = [(at, min(size, at + self.split)) for at in range(0, size, self.split)]
                     n = max(1, min(PART_BYTES, size // TASKS) // self.split)
                     out += [Part(path, size, None, None, spans[i : i + n]) for i in range(0, len(spans), n)]
@@ -351,7 +353,7 @@ class BamReader(DataSourceReader):
         return sorted(chunks)
 
     def read(self, partition):
-        if self.part != "records":
+        if self.part not in RECORDS:
             yield from in_batches(self._told(partition), self.schema)
             return
         with open_input(partition.path) as source:
@@ -362,19 +364,26 @@ class BamReader(DataSourceReader):
                 if partition.begin is not None:
                     stream = MemberReader(source, partition.size, partition.begin)
                 for run in bam_batches.Runs(stream, partition.end):
-                    yield bam_batches.decode(*run, names, self.keep)
+                    yield from self._batches(run, names)
                 return
             for low, high in partition.spans:
                 if low:
                     stream = MemberReader(source, partition.size, first_record(source, partition.size, low, len(refs)))
                 runs = bam_batches.Runs(stream, high << 16)
                 for run in runs:
-                    yield bam_batches.decode(*run, names, self.keep)
+                    yield from self._batches(run, names)
                 if high < partition.size:
                     here = partition.size << 16 if runs.here is None or runs.here < high << 16 else runs.here
                     if first_record(source, partition.size, high, len(refs)) != here:
                         raise ValueError(f"{partition.path} can't be split at {high} without an index: make one, or set split to 0")
 
+    def _batches(self, run, names):
+        """A run's records, or what it gives to an index."""
+        if self.part == "index":
+            yield from bam_batches.index_parts(*run, len(names))
+        else:
+            yield bam_batches.decode(*run, names, self.keep)
+
     def _told(self, partition):
         """The header's lines, or the references."""
         with open_input(partition.path) as source:
@@ -473,7 +482,7 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self):
-        return {"header": "line_no bigint, line string", "refs": REFS}.get(self.options.get("part"), ALIGNMENTS)
+        return {"header": "line_no bigint, line string", "refs": REFS, "index": INDEX_PARTS}.get(self.options.get("part"), ALIGNMENTS)
 
     def reader(self, schema):
         return BamReader(self.options, schema)

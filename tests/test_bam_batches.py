@@ -108,3 +108,43 @@ def test_an_index_is_made_of_stored_places(spark, tmp_path):
     assert told["bins"][0, bam.UNMAPPED_BIN][1] == (2400, 600) and told["n_ref"] == 2
     got = spark.read.format("bam").load(path).filter("ref_id = 0 and pos < 9000 and end_pos > 4000").select("qname").collect()
     assert sorted(r[0] for r in got) == sorted(f"q{i}" for i in range(3000) if i % 5 and i * 90 + 1 < 9000 and i * 90 + 50 > 4000)
+
+
+def test_an_index_of_merged_runs_is_that_of_all_records(spark, tmp_path, monkeypatch):
+    from strandlake.operators import intervals
+
+    register(spark)
+    mixed = F.col("id") * 7919 % 20_000
+    rows = spark.range(20_000).select(
+        F.concat(F.lit("q"), "id").alias("qname"),
+        F.when(F.col("id") % 11 == 0, 4).otherwise(16).alias("flag"),
+        F.when(F.col("id") < 400, -1).otherwise((F.col("id") % 2).cast("int")).alias("ref_id"),
+        F.when(F.col("id") % 3 == 0, mixed * 900 + 1).otherwise(F.col("id") * 5 + 1).cast("int").alias("pos"),
+        F.when(F.col("id") % 500 == 1, "9M300000N9M").when(F.col("id") % 13 == 0, "*").otherwise("50M").alias("cigar"),
+    )
+    rows.write.format("bam").options(header=HEADER, single="true").mode("append").save(str(tmp_path / "x"))
+    path = list_files(str(tmp_path / "x"))[0][0]
+    records, refs = spark.read.format("bam").option("lazy", "true").load(path), spark.read.format("bam").option("part", "refs").load(path)
+    want = [sorted(map(tuple, df.collect())) for df in intervals.build_index(records, refs)]
+    for split in (20_000, 0):
+        parts = spark.read.format("bam").options(part="index", split=split).load(path)
+        got = intervals.join_index(parts)
+        assert [sorted(map(tuple, df.select(*names).collect())) for df, names in zip(got, (["ref_id", "bin", "chunk_beg", "chunk_end"], ["ref_id", "win", "voffset"], ["unplaced", "last_mapped"]))] == want
+    # Windows are listed piece by piece.
+    with open(path, "rb") as f:
+        from strandlake.sources.bgzf import MemberReader
+
+        stream = MemberReader(f, list_files(path)[0][1])
+        bam.read_header(stream)
+        runs = list(bam_batches.Runs(stream, None))
+    least = lambda: sorted({(r, w): v for run in reversed(runs) for b in reversed(list(bam_batches.index_parts(*run, 2))) for k, r, w, v, _ in zip(*b.to_pydict().values()) if k == "win"}.items())
+    whole = least()
+    monkeypatch.setattr(bam_batches, "WINDOWS", 50)
+    assert least() == whole == [((r, w), v) for r, w, v in want[1]]
+
+
+def test_an_index_is_made_from_few_rows(spark, tmp_path):
+    register(spark)
+    rows = spark.range(30_000).select(F.lit("q").alias("qname"), F.lit(0).alias("flag"), F.lit(0).alias("ref_id"), (F.col("id") + 1).cast("int").alias("pos"), F.lit("50M").alias("cigar"))
+    rows.coalesce(1).write.format("bam").options(header=HEADER, single="true").mode("append").save(str(tmp_path / "x"))
+    assert spark.read.format("bam").option("part", "index").load(str(tmp_path / "x")).count() < 100
