@@ -8,9 +8,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship, stored
+from ..session import shared_dir, ship, shuffles_freed, stored
 
-__all__ = ["shared_dir", "stored"]
+__all__ = ["shared_dir", "shuffles_freed", "stored"]
 
 #: Rows of one Arrow batch; texts are long, and a worker holds one batch at a time.
 BATCH_ROWS = 256

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, discard, fresh, mix64, splittable, stored, tune
+from .common import arrow_rows, discard, fresh, mix64, shuffles_freed, splittable, stored, tune
 from .components import components
 from .shingles import linked, shingle_sets
 
@@ -456,7 +456,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # A doc_id that stands for several texts links the classes of these.
     several = named.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select(F.col("doc_id").alias("b"))
     by_name = named.join(several, F.col("doc_id") == F.col("b")).join(classes.select(F.col("digest").alias("_d"), F.col("doc").alias("a")), F.col("digest") == F.col("_d")).select("a", "b").distinct()
-    labels = link_classes(classes, texts, by_name)
+    with shuffles_freed(spark):
+        labels = link_classes(classes, texts, by_name)
     by_class = stored(classes.select("digest", "doc").join(labels, F.col("doc") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("component", "doc").alias("found")), "components")
     discard(spark, classes, labels)
     out = table.join(by_class, F.col("digest") == F.col("_d"), "left")

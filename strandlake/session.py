@@ -53,7 +53,23 @@ def batches_of(spark: SparkSession, rows: int):
     Spark's bound on a batch's bytes sums up all columns' buffers after each row, which for nested columns takes longer
     than the work: maps of tags went 18 times faster without it.
     """
-    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str((1 << 31) - 1), "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
+    with _conf(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str((1 << 31) - 1), "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}):
+        yield
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Within the block, a job's shuffle files are deleted when its query ends, and not when the driver next collects garbage.
+
+    Tasks of many small partitions write three small files each in every shuffle, which add up over the rounds of an operator.
+    """
+    with _conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        yield
+
+
+@contextmanager
+def _conf(spark: SparkSession, wanted: dict[str, str]):
+    """Settings that hold within the block."""
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -71,5 +87,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to shared storage and read back: its rows are fixed then, whatever is computed anew."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

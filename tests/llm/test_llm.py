@@ -979,3 +979,23 @@ def test_pipeline_of_odd_rows(spark, odd, empty, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, str(tmp_path)), "odd")
         docs.collect()
+
+
+def test_near_duplicates_leave_no_shuffle_files(spark, tmp_path):
+    import time
+    from pathlib import Path
+
+    from strandlake.llm import near_dedup
+
+    roots = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f for r in roots for f in r.rglob("shuffle_*")}
+    before = files()
+    texts = [f"w{i // 3} " + " ".join(f"v{i // 3}x{j}" for j in range(40 + i % 3)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_dedup.near_duplicates(spark, docs)
+    # Files are deleted by messages that nobody waits for.
+    until = time.time() + 30
+    while files() - before and time.time() < until:
+        time.sleep(0.5)
+    assert not files() - before
+    assert found.filter("kept").count() == 20
