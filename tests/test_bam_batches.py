@@ -84,6 +84,18 @@ def test_batches_of_tags_are_bounded_by_rows(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted((str(i), i, "g") for i in range(50))
 
 
+def test_queries_write_records_in_large_batches(spark, tmp_path, monkeypatch):
+    from strandlake.plans import round_trips
+
+    asked = []
+    monkeypatch.setattr(round_trips, "batches_of", lambda spark, rows: asked.append(rows) or batches_of(spark, rows))
+    lines = spark.range(30).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") + 190).alias("l_suppkey"), F.col("id").alias("l_partkey"), F.lit("R").alias("l_returnflag"), F.lit(2.5).alias("l_quantity"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = round_trips.q_tags_roundtrip(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((f"{i}/1", (i + 190) % 200, -i, "g1", "R", 2.5, f"{(i + 190) % 7},65535") for i in range(30))
+    assert asked == [round_trips.BATCH] and round_trips.BATCH >= 10_000
+
+
 def test_an_index_of_many_bins_is_made_in_linear_time():
     import time
 
