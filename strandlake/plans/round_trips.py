@@ -113,6 +113,8 @@ def q_blocked_members(spark, sf_dir):
 BAM_HEADER = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:ref{i}\tLN:536870912\n" for i in range(1, 8)) + "@RG\tID:g1\n@RG\tID:g2\n"
 #: Rows of a batch that is written; they are short, and each batch has costs of its own.
 BATCH = 10_000
+#: The files are read once or twice and dropped, so they are compressed as fast as zlib can.
+LEVEL = 1
 QNAME = "l_orderkey || '/' || ref_id"
 
 
@@ -128,7 +130,7 @@ def _bam_file(spark, sf_dir) -> str:
     path = shared_dir(spark, "bam")
     rows = _bam_rows(spark, sf_dir).orderBy("ref_id", "pos")
     with batches_of(spark, BATCH):
-        rows.write.format("bam").options(header=BAM_HEADER, single="true").option("path", path).mode("append").save()
+        rows.write.format("bam").options(header=BAM_HEADER, single="true", level=LEVEL).option("path", path).mode("append").save()
     return list_files(path)[0][0]
 
 
@@ -158,12 +160,12 @@ def q_lazy_alignments(spark, sf_dir):
 def q_tags_roundtrip(spark, sf_dir):
     register(spark)
     path, l = shared_dir(spark, "tags"), table(spark, sf_dir, "lineitem")  # noqa: E741
-    made = F.create_map(F.lit("NM"), tags.make_tag("C", F.col("l_suppkey") % 200), F.lit("AS"), tags.make_tag("i", -F.col("l_partkey")), F.lit("RG"), tags.make_tag("Z", F.concat(F.lit("g"), F.col("l_linenumber").cast("string"))), F.lit("XA"), tags.make_tag("A", F.col("l_returnflag")), F.lit("XF"), tags.make_tag("f", F.col("l_quantity")), F.lit("FZ"), tags.make_tag("BS", F.array(F.col("l_suppkey") % 7, F.lit(65535).cast("bigint"))))
-    rows = l.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("qname"), F.lit(4).alias("flag"), F.lit(-1).alias("ref_id"), F.lit("*").alias("cigar"), made.alias("tags"))
+    made = {"NM:C": F.col("l_suppkey") % 200, "AS:i": -F.col("l_partkey"), "RG:Z": F.concat(F.lit("g"), F.col("l_linenumber").cast("string")), "XA:A": F.col("l_returnflag"), "XF:f": F.col("l_quantity").cast("float"), "FZ:BS": F.array(F.col("l_suppkey") % 7, F.lit(65535).cast("bigint"))}
+    rows = l.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("qname"), F.lit(4).alias("flag"), F.lit(-1).alias("ref_id"), F.lit("*").alias("cigar"), *[value.alias(name) for name, value in made.items()])
     with batches_of(spark, BATCH):
-        rows.write.format("bam").options(header=BAM_HEADER).option("path", path).mode("append").save()
-    t = F.col("tags")
-    return spark.read.format("bam").load(path).select("qname", tags.int_tag(t, "NM").alias("nm"), tags.int_tag(t, "AS").alias("score"), tags.read_group(t).alias("rg"), tags.string_tag(t, "XA").alias("one"), tags.get_tag(t, "XF")["f"].alias("number"), F.array_join(tags.get_tag(t, "FZ")["ia"].cast("array<string>"), ",").alias("numbers"))
+        rows.write.format("bam").options(header=BAM_HEADER, level=LEVEL).option("path", path).mode("append").save()
+    told = spark.read.format("bam").schema("qname string, NM bigint, AS bigint, RG string, XA string, XF float, FZ array<bigint>").load(path)
+    return told.select("qname", F.col("NM").alias("nm"), F.col("AS").alias("score"), F.col("RG").alias("rg"), F.col("XA").alias("one"), F.col("XF").alias("number"), F.array_join(F.col("FZ").cast("array<string>"), ",").alias("numbers"))
 
 
 @query(f"""SELECT CAST(ref_id - 1 AS INT) AS ref_id, CAST(count(DISTINCT bin) FILTER (WHERE flag & 4 = 0) AS BIGINT) AS n_bins, CAST(count(*) FILTER (WHERE flag & 4 = 0) AS BIGINT) AS n_mapped, CAST(count(*) FILTER (WHERE flag & 4 <> 0) AS BIGINT) AS n_unmapped,

@@ -5,13 +5,15 @@ option ``index``) the file is read in parts that begin at the index's offsets, a
 leave out parts that can't hold a match. Without one it is read in parts of ``split`` bytes: a part finds its first record
 by the chain of records that follows, and the part before checks that it ends just there; if it doesn't, that is an
 error that asks for an index (``split`` 0: a file is a partition). With the option ``lazy`` (true) bases,
-qualities and tags are null and not decoded. Records are decoded and encoded in batches (``bam_batches``). The option ``part`` gives the ``header``
+qualities and tags are null and not decoded. With a schema, its columns alone are read, and a column of two letters (``NM bigint``)
+is that tag's value. Records are decoded and encoded in batches (``bam_batches``). The option ``part`` gives the ``header``
 (line_no, line) or the ``refs`` instead. ``spark.read.format("bai")`` gives the index's chunks, or with ``part`` =
 ``linear`` its linear offsets. An index is made from the parts ``index``: what each run of records gives to it, without the records.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from dataclasses import dataclass
@@ -32,6 +34,7 @@ from .files import in_batches, list_files, open_fs, open_input, open_output, rem
 FIXED = struct.Struct("<iiBBHHHiiii")
 NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 PART_BYTES = 32 << 20
+ALIGNMENT_NAMES = re.findall(r"(\w+) \w", ALIGNMENTS)
 #: Starting a task takes longer than a small part: one reads neighbouring parts up to this share of the file, and to PART_BYTES.
 TASKS = 512
 #: Parts that go by the records, not by the header.
@@ -117,8 +120,6 @@ def bin_of(begin: int, end: int) -> int:
 
 def encode_record(r) -> bytes:
     """A record's bytes with its size, from a row of ALIGNMENTS; the bin is computed."""
-    import re
-
     ops = [(int(n), OPS.index(op)) for n, op in re.findall(f"([0-9]+)([{OPS}])", r["cigar"] or "")] if r["cigar"] != "*" else []
     seq, name = r["seq"] or "", (r["qname"] or "*").encode("latin-1") + b"\0"
     codes = [BASE_CODES.find(c) if c in BASE_CODES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
@@ -295,6 +296,14 @@ class Part(InputPartition):
 class BamReader(DataSourceReader):
     def __init__(self, options, schema):
         self.path, self.part, self.index, self.schema = options.get("path"), options.get("part", "records"), options.get("index"), schema
+        self.wanted = None
+        if self.part == "records" and schema.fieldNames() != ALIGNMENT_NAMES:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            self.wanted = to_arrow_schema(schema)
+            unknown = [k for k in schema.fieldNames() if k not in ALIGNMENT_NAMES and not bam_batches.TAG_NAME.fullmatch(k)]
+            if unknown:
+                raise ValueError(f"alignments have no column {', '.join(unknown)}")
         self.split = int(options.get("split", PART_BYTES))
         self.keep = str(options.get("lazy", "false")).lower() != "true"
         self.ref, self.low, self.high = None, None, None
@@ -382,7 +391,7 @@ class BamReader(DataSourceReader):
         if self.part == "index":
             yield from bam_batches.index_parts(*run, len(names))
         else:
-            yield bam_batches.decode(*run, names, self.keep)
+            yield bam_batches.decode(*run, names, self.keep, self.wanted)
 
     def _told(self, partition):
         """The header's lines, or the references."""
@@ -414,12 +423,14 @@ class BamWriter(DataSourceArrowWriter):
     """A file for each task, each with the header given by the option ``header``; references come from its @SQ lines.
 
     With the option ``single`` (true) the tasks' records become one file in the partitions' order: tasks write blocks
-    of records to a folder beside it, and the commit copies them, as they are, behind the header.
+    of records to a folder beside it, and the commit copies them, as they are, behind the header. ``level`` is zlib's (6).
+    Columns named as ``NM:C`` are tags of that key and type, and save the map ``tags``.
     """
 
     def __init__(self, options, schema):
         self.path, self.header, self.names = options.get("path").rstrip("/"), options.get("header", ""), schema.fieldNames()
         self.single = str(options.get("single", "false")).lower() == "true"
+        self.level = int(options.get("level", 6))
         self.job = uuid.uuid4().hex[:12]
         self.pieces = f"{self.path}/.pieces-{self.job}"
         fields = [dict(f.split(":", 1) for f in line.split("\t")[1:] if ":" in f) for line in self.header.split("\n") if line.startswith("@SQ")]
@@ -435,7 +446,7 @@ class BamWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         path = f"{self.pieces if self.single else self.path}/part-{context.partitionId():06d}-{self.job}-{context.taskAttemptId()}.bam"
         with open_output(path) as sink:
-            out = BlockWriter(sink)
+            out = BlockWriter(sink, self.level)
             if not self.single:
                 self._write_header(out)
             for batch in iterator:

@@ -160,3 +160,38 @@ def test_an_index_is_made_from_few_rows(spark, tmp_path):
     rows = spark.range(30_000).select(F.lit("q").alias("qname"), F.lit(0).alias("flag"), F.lit(0).alias("ref_id"), (F.col("id") + 1).cast("int").alias("pos"), F.lit("50M").alias("cigar"))
     rows.coalesce(1).write.format("bam").options(header=HEADER, single="true").mode("append").save(str(tmp_path / "x"))
     assert spark.read.format("bam").option("part", "index").load(str(tmp_path / "x")).count() < 100
+
+
+def test_tags_are_written_from_and_read_as_typed_columns(spark, tmp_path):
+    register(spark)
+    some = lambda n, value: F.when(F.col("id") % n > 0, value)
+    made = {"NM:C": some(2, F.col("id") % 200), "AS:i": -F.col("id"), "RG:Z": some(3, F.concat(F.lit("g"), "id")), "XA:A": F.lit("x"), "XF:f": some(5, F.col("id") / 4), "FZ:BS": some(7, F.array(F.col("id") % 7, F.lit(65535)))}
+    rows = spark.range(3000).select(F.concat(F.lit("q"), "id").alias("qname"), F.lit(4).alias("flag"), *[x.alias(name) for name, x in made.items()])
+    rows.write.format("bam").options(header=HEADER, level=1).mode("append").save(str(tmp_path / "x"))
+    maps = {r["qname"]: {k: next(v for v in (t["i"], t["f"], t["s"], t["ia"]) if v is not None) for k, t in r["tags"].items()} for r in spark.read.format("bam").load(str(tmp_path / "x")).collect()}
+    want = {r["qname"]: {name[:2]: r[name] for name in made if r[name] is not None} for r in rows.collect()}
+    assert maps == want and len(want) == 3000
+    schema = "FZ array<bigint>, qname string, NM int, AS bigint, RG string, XA string, XF float, pos bigint, ZZ string"
+    got = spark.read.format("bam").schema(schema).load(str(tmp_path / "x"))
+    assert got.columns == [c.split()[0] for c in schema.split(", ")]
+    for r in got.collect():
+        assert {k: v for k, v in r.asDict().items() if v is not None} == want[r["qname"]] | {"qname": r["qname"], "pos": 0}
+
+
+def test_typed_columns_have_the_bytes_and_values_of_maps():
+    import numpy as np
+
+    rows = [{"NM:C": 3, "CO:Z": "a", "XB:Bf": [0.5], "tags": {"XA": tag("A", s="x")}}, {"NM:C": None, "CO:Z": "ü", "XB:Bf": [], "tags": None}, {"NM:C": 255, "CO:Z": None, "XB:Bf": None, "tags": None}]
+    typed = pa.schema([("NM:C", pa.int64()), ("CO:Z", pa.string()), ("XB:Bf", pa.list_(pa.float32())), ("tags", SCHEMA.field("tags").type)])
+    single = lambda r: bam.encode_record(dict.fromkeys(bam_batches.FIELDS) | {"tags": (r["tags"] or {}) | {k[:2]: tag(k[3:], **{p: r[k]}) for k, p in (("NM:C", "i"), ("CO:Z", "s"), ("XB:Bf", "fa")) if r[k] is not None}})
+    for some in (rows, rows[:1], rows[1:], rows[2:]):
+        batch = pa.RecordBatch.from_pylist([r | {"tags": list((r["tags"] or {}).items())} for r in some], typed)
+        assert b"".join(bam_batches.encode(batch)) == b"".join(map(single, some))
+    # The last of repeated tags counts, and a value of another type is none.
+    raws = [bam.encode_tags(r["tags"]) for r in odd_rows()] + [b"NMC\x01NMC\x02", b"MDZ\xe9\0", b"CGBi" + struct.pack("<i", 0), b"NMZ7\0", b"ab"]
+    ends = np.cumsum([len(r) for r in raws])
+    wanted = pa.schema([("NM", pa.int64()), ("XL", pa.int64()), ("XF", pa.float32()), ("MD", pa.string()), ("XA", pa.string()), ("CG", pa.list_(pa.int64())), ("FZ", pa.list_(pa.int64())), ("XB", pa.list_(pa.float32()))])
+    got = bam_batches.tag_columns(np.frombuffer(b"".join(raws), np.uint8), ends - [len(r) for r in raws], ends, wanted)
+    maps = [bam.decode_tags(r) for r in raws]
+    for key, place in {"NM": "i", "XL": "i", "XF": "f", "MD": "s", "XA": "s", "CG": "ia", "FZ": "ia", "XB": "fa"}.items():
+        assert got[key].to_pylist() == [m.get(key, {}).get(place) for m in maps]
