@@ -64,8 +64,11 @@ BIN_SQL = """CASE WHEN ({a}) >> 14 = (({b}) - 1) >> 14 THEN 4681 + (({a}) >> 14)
   WHEN ({a}) >> 26 = (({b}) - 1) >> 26 THEN 1 + (({a}) >> 26) ELSE 0 END"""
 
 
-def alignments(spark, sf_dir) -> DataFrame:
+def alignments(spark, sf_dir, ordered: bool = False) -> DataFrame:
+    """Line items as alignments; ``ordered`` by reference and position, which the numbers they are made of have, before texts are made."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    if ordered:
+        l = l.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").orderBy("l_linenumber", "l_orderkey")  # noqa: E741
     text = F.concat(F.col("l_linenumber").cast("string"), F.lit("S"), F.col("l_quantity").cast("int").cast("string"), F.lit("M"), (F.col("l_suppkey") % 5 + 1).cast("string"), F.lit("D"))
     base = l.select("l_orderkey", big("l_linenumber").alias("ref_id"), (F.col("l_orderkey") * 37 + 1).alias("pos"), (F.col("l_partkey") % 4096).alias("flag"), (F.col("l_suppkey") % 61).alias("mapq"), text.alias("cigar"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("voffset"))
     ops = base.withColumn("ops", cigar.parse_cigar(F.col("cigar")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, cigar, dna, gzip, sam_header, tags
 from ..operators import blocks, fmindex, search, textindex
-from ..session import batches_of, shared_dir, ship
+from ..session import batches_of, partitions_of, shared_dir, ship
 from ..sources import bam, register, sniff
 from ..sources.files import list_files
 from .catalog import ALN, ALN_BIN, DOC_PLACES, PATTERN, QUERIES, SQL, addresses, alignments, big, query, sequences, table
@@ -118,8 +118,8 @@ LEVEL = 1
 QNAME = "l_orderkey || '/' || ref_id"
 
 
-def _bam_rows(spark, sf_dir):
-    a = alignments(spark, sf_dir)
+def _bam_rows(spark, sf_dir, ordered=False):
+    a = alignments(spark, sf_dir, ordered)
     i32 = lambda c: c.cast("int")
     return a.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("ref_id").cast("string")).alias("qname"), i32(F.col("flag")).alias("flag"), i32(F.col("ref_id") - 1).alias("ref_id"), i32(F.col("pos")).alias("pos"), i32(F.col("mapq")).alias("mapq"), "cigar")
 
@@ -128,8 +128,8 @@ def _bam_file(spark, sf_dir) -> str:
     """The alignments in the order of reference and position, in one file, as an index is about one."""
     register(spark)
     path = shared_dir(spark, "bam")
-    rows = _bam_rows(spark, sf_dir).orderBy("ref_id", "pos")
-    with batches_of(spark, BATCH):
+    rows = _bam_rows(spark, sf_dir, ordered=True)
+    with batches_of(spark, BATCH), partitions_of(spark, "8m"):
         rows.write.format("bam").options(header=BAM_HEADER, single="true", level=LEVEL).option("path", path).mode("append").save()
     return list_files(path)[0][0]
 

@@ -67,6 +67,13 @@ def shuffles_freed(spark: SparkSession):
         yield
 
 
+@contextmanager
+def partitions_of(spark: SparkSession, size: str):
+    """Within the block, shuffles are read in partitions of about that size, so that tasks which do much for a byte are many."""
+    with _conf(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": size}):
+        yield
+
+
 @contextmanager
 def _conf(spark: SparkSession, wanted: dict[str, str]):
     """Settings that hold within the block."""

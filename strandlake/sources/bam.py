@@ -237,8 +237,8 @@ def index_bytes(n_ref: int, bins: list[tuple[int, int, int, int]], linear: list[
 
 def write_index(path: str, n_ref: int, bins: DataFrame, linear: DataFrame, totals: DataFrame) -> None:
     """Write an index built by ``build_index``; it is as long as a file's chunks and windows, and made on the driver."""
-    told = totals.first()
-    data = index_bytes(n_ref, [tuple(r) for r in bins.select("ref_id", "bin", "chunk_beg", "chunk_end").collect()], [tuple(r) for r in linear.select("ref_id", "win", "voffset").collect()], told["unplaced"] or 0)
+    rows = lambda df, *names: list(zip(*(c.to_pylist() for c in df.select(*names).toArrow().columns), strict=True))
+    data = index_bytes(n_ref, rows(bins, "ref_id", "bin", "chunk_beg", "chunk_end"), rows(linear, "ref_id", "win", "voffset"), totals.first()["unplaced"] or 0)
     with open_output(path) as sink:
         sink.write(data)
 
@@ -306,7 +306,7 @@ class BamReader(DataSourceReader):
                 raise ValueError(f"alignments have no column {', '.join(unknown)}")
         self.split = int(options.get("split", PART_BYTES))
         self.keep = str(options.get("lazy", "false")).lower() != "true"
-        self.ref, self.low, self.high = None, None, None
+        self.ref, self.low, self.high, self.ending = None, None, None, False
 
     def pushFilters(self, filters):
         """Notes bounds for leaving out parts; Spark tests every row again."""
@@ -318,6 +318,8 @@ class BamReader(DataSourceReader):
                 self.high = f.value if self.high is None else min(self.high, f.value)
             elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and name in ("pos", "end_pos"):
                 self.low = f.value if self.low is None else max(self.low, f.value)
+                # Records that are unmapped end at 0.
+                self.ending |= name == "end_pos" and f.value >= isinstance(f, GreaterThanOrEqual)
         return filters
 
     def partitions(self):
@@ -352,9 +354,12 @@ class BamReader(DataSourceReader):
         return out
 
     def _chosen(self, told):
-        """Chunks of one reference whose bins can hold a record between the bounds."""
+        """Chunks of one reference whose bins can hold a record between the bounds.
+
+        Unmapped records are in no bin but somewhere in the span of their reference, which is read where they can match.
+        """
         low, high = max(0, (self.low or 1) - 1), self.high if self.high is not None else (1 << 29)
-        wanted = {0, UNMAPPED_BIN} | {b for shift, base in LEVELS for b in range(base + (low >> shift), base + (max(high, low) >> shift) + 1)}
+        wanted = {0} | (set() if self.ending else {UNMAPPED_BIN}) | {b for shift, base in LEVELS for b in range(base + (low >> shift), base + (max(high, low) >> shift) + 1)}
         chunks = []
         for (ref, number), pairs in told["bins"].items():
             if ref == self.ref and number in wanted:

@@ -195,3 +195,27 @@ def test_typed_columns_have_the_bytes_and_values_of_maps():
     maps = [bam.decode_tags(r) for r in raws]
     for key, place in {"NM": "i", "XL": "i", "XF": "f", "MD": "s", "XA": "s", "CG": "ia", "FZ": "ia", "XB": "fa"}.items():
         assert got[key].to_pylist() == [m.get(key, {}).get(place) for m in maps]
+
+
+def test_a_region_by_end_leaves_out_the_span_of_unmapped_records(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, LessThan
+
+    register(spark)
+    rows = spark.range(40_000).select(F.concat(F.lit("q"), "id").alias("qname"), F.when(F.col("id") % 4 == 0, 4).otherwise(0).alias("flag"), F.lit(0).alias("ref_id"), (F.col("id") * 90 + 1).cast("int").alias("pos"), F.lit("50M").alias("cigar"))
+    rows.coalesce(1).write.format("bam").options(header=HEADER, single="true").mode("append").save(str(tmp_path / "x"))
+    path = list_files(str(tmp_path / "x"))[0][0]
+    bam.make_index(spark, path, path + ".bai")
+
+    def read(*filters):
+        reader = bam.BamReader({"path": path}, spark.read.format("bam").load(path).schema)
+        reader.pushFilters([EqualTo(("ref_id",), 0), LessThan(("pos",), 90_000), *filters])
+        return sum((p.end - p.begin) >> 16 for p in reader.partitions())
+
+    whole = read()
+    assert read(GreaterThan(("end_pos",), 20_000)) < whole / 5 and read(GreaterThanOrEqual(("end_pos",), 1)) < whole / 5
+    # Unmapped records end at 0 and may lie anywhere.
+    assert read(GreaterThan(("pos",), 20_000)) == read(GreaterThan(("end_pos",), -1)) == read(GreaterThanOrEqual(("end_pos",), 0)) == whole
+    got = spark.read.format("bam").load(path)
+    for where in ("end_pos > 20000", "end_pos >= 0", "end_pos > -1", "pos > 20000", "end_pos >= 1"):
+        want = got.filter(f"pos < 90000 and {where}").count()
+        assert got.filter(f"ref_id = 0 and pos < 90000 and {where}").count() == want > 500
