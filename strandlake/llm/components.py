@@ -2,11 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, splittable, stored
 
+#: Links up to this number are joined by one task: the shuffles of each round take longer, and 4 MB hold them.
+FEW = 1 << 18
+LABELS = pa.schema([("node", pa.int64()), ("component", pa.int64())])
+
+
+def joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links and the smallest node that each one reaches."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    least = np.arange(len(nodes))
+    while True:
+        x, y = least[a], least[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[least]
+        # Roots of links that aren't in one tree yet are hung under the smaller ones, then each node goes to its root.
+        np.minimum.at(least, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (least[least] != least).any():
+            least = least[least]
+
+
+def _joined_rows(batches):
+    """The rows of LABELS of all links (u, v) of a task."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        node, component = joined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(component)], schema=LABELS)
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,13 +61,17 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) for the nodes of links (u, v); others aren't listed.
 
-    Loops and repeated links do no harm; links with a null end are left out. Each round is written to shared
-    storage. Rounds grow with the logarithm of the longest chain, and a node of any degree is handled by partial
+    Loops and repeated links do no harm; links with a null end are left out. FEW links at most are joined by one task,
+    more in rounds. Each round is written to shared storage. Rounds grow with the logarithm of the longest chain, and a node of any degree is handled by partial
     aggregates and by joins that can deal it to several tasks, never gathered.
     """
     spark = edges.sparkSession
     oriented = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = stored(oriented.distinct(), "links")
+    given = stored(oriented.select(F.col("u").cast("long"), F.col("v").cast("long")), "links")
+    if given.count() <= FEW:
+        return given.coalesce(1).mapInArrow(_joined_rows, "node long, component long")
+    now = stored(given.distinct(), "links")
+    discard(spark, given)
     while not _settled(now):
         after = stored(_small_star(_large_star(now)), "links")
         discard(spark, now)

@@ -425,12 +425,14 @@ def link_classes(classes: DataFrame, texts: DataFrame, known: DataFrame) -> Data
     apart = _apart(stars.select("a", "b").distinct(), labels).join(tested, ["a", "b"], "left_anti")
     extended(kept(_estimated(apart, classes), "pairs"))
     larger = members.filter("c > 2").select("band", "doc")
-    near = _best_across(_open_groups(larger, labels), classes).distinct().join(tested, ["a", "b"], "left_anti")
-    extended(kept(near, "pairs"))
-    open_ = kept(_open_groups(larger, labels), "open")
-    found = kept(_linked_across(open_, classes, texts), "near")
-    if not found.isEmpty():
-        labels = labelled(links.union(found))
+    open_, known_labels = kept(_open_groups(larger, labels), "open"), labels
+    if not open_.isEmpty():
+        extended(kept(_best_across(open_, classes).distinct().join(tested, ["a", "b"], "left_anti"), "pairs"))
+        if labels is not known_labels:
+            open_ = kept(_open_groups(larger, labels), "open")
+        found = kept(_linked_across(open_, classes, texts), "near")
+        if not found.isEmpty():
+            labels = labelled(links.union(found))
     discard(spark, *[df for df in made if df is not labels])
     return labels
 

@@ -256,6 +256,19 @@ def test_components(spark, links):
     assert dict(rows(components.components(spark.createDataFrame(links, "u bigint, v bigint")))) == label
 
 
+def test_few_links_are_joined_without_rounds_and_many_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    links = [(i, i + 1) for i in range(-60, 60)] + [(int(a) * 1000, int(b) * 1000 + 7000) for a, b in rng.integers(0, 40, (25, 2))] + [(5, 5), (7, None), (900, 900)]
+    df = spark.createDataFrame(links + links[::-1], "u bigint, v bigint")
+    monkeypatch.setattr(components, "FEW", -1)
+    in_rounds = dict(rows(components.components(df)))
+    monkeypatch.setattr(components, "FEW", len(links) * 2)
+    monkeypatch.setattr(components, "_large_star", None)
+    found = rows(components.components(df))
+    assert dict(found) == in_rounds and len(found) == len(in_rounds) and in_rounds[60] == -60 and 900 not in in_rounds
+    assert rows(components.components(df.filter("u is null"))) == []
+
+
 # 2: token counts
 
 
